@@ -96,3 +96,30 @@ def vector_sum_agg(arr, width: int) -> Column:
 
 def vector_avg_agg(arr, width: int) -> Column:
     return F.array(*[F.avg(F.element_at(col_(arr), i + 1)) for i in range(width)])
+
+
+def array_sums(df, arr, by=None):
+    """Element-wise sums of an array column, optionally per group, as a small DataFrame.
+
+    ``posexplode`` evaluates the array once per row and the partial hash
+    aggregate combines map-side, so only (groups x width) rows are shuffled.
+    Returns ``(by?, pos, s, n)`` rows.
+    """
+    from pyspark.sql import functions as F
+
+    keys = [by] if by else []
+    # the _outer form: an inner posexplode makes Catalyst infer size(arr) > 0 and push that
+    # filter (with the whole array expression inlined) down to the scan
+    ex = df.select(*keys, F.posexplode_outer(arr).alias("pos", "val")).where(F.col("pos").isNotNull())
+    return ex.groupBy(*keys, "pos").agg(F.sum("val").alias("s"), F.count(F.lit(1)).alias("n"))
+
+
+def collect_array_sums(df, arr, by=None) -> dict:
+    """{group: (list of sums, row count)} -- bounded by groups x width."""
+    out: dict = {}
+    for r in array_sums(df, arr, by).collect():
+        g = r[by] if by else None
+        sums, n = out.setdefault(g, ({}, 0))
+        sums[r["pos"]] = r["s"]
+        out[g] = (sums, max(n, r["n"]))
+    return {g: ([s[i] for i in range(len(s))], n) for g, (s, n) in out.items()}

@@ -455,3 +455,120 @@ def d1_centroid_scores(spark, d):
     v = embedding_vectors(spark, d).df
     c = fit_centroid(normal_rows(v), "x", 64)
     return c.score(v, "x").select("row_id", "y", r6("score").alias("score"))
+
+
+# =========================================================================== kernels (G-*)
+
+from ..operators import kernels as G  # noqa: E402
+from ..operators.features import fit_angle_scaler  # noqa: E402
+
+
+def _angles(spark, d, n: int):
+    """F-6 on the first n embedding coordinates (the reduced input of the kernel maps)."""
+    v = embedding_vectors(spark, d).df.select("row_id", "y", F.slice("x", 1, n).alias("p"))
+    sc = fit_angle_scaler(v, "p", n)
+    return v.select("row_id", "y", sc.expr("p").alias("angle"))
+
+
+@query("f6_angle_scaling", f"""
+WITH {O.angle_ctes(4)}
+SELECT row_id, [round(x0, 6), round(x1, 6), round(x2, 6), round(x3, 6)] AS angle FROM an""")
+def f6_angle_scaling(spark, d):
+    return _angles(spark, d, 4).select("row_id", r6_arr("angle").alias("angle"))
+
+
+def _rowsum_query(map_type: str, reps: int, ent: str, n: int):
+    fmap = G.build_feature_map(n, reps, map_type, ent)
+
+    def run(spark, d):
+        vecs = G.kernel_vectors(_angles(spark, d, n), fmap)
+        tot = vecs.count()
+        rs = G.kernel_row_sums(vecs, "v", fmap.dim ** 2)
+        return rs.select("row_id", r6(F.col("k_sum") / F.lit(float(tot))).alias("k_mean"))
+
+    sql = f"""
+WITH {O.angle_ctes(n)},
+{O.amplitude_ctes(fmap, 'an')},
+{O.pair_kernel_cte('am')}
+SELECT i AS row_id, round(sum(k) / count(*), 6) AS k_mean FROM kp GROUP BY i"""
+    return run, sql
+
+
+for _name, _args in {"g1_zz_kernel_rowsum": ("zz", 1, "full", 4), "g3_z_kernel_rowsum": ("z", 1, "full", 4),
+                     "g4_pauli_kernel_rowsum": ("pauli", 1, "full", 4), "g5_rx_kernel_rowsum": ("rx", 1, "full", 4),
+                     "g2_zz2_linear_kernel_rowsum": ("zz", 2, "linear", 2)}.items():
+    _fn, _sql = _rowsum_query(*_args)
+    _fn.__name__ = _name
+    query(_name, _sql)(_fn)
+
+N_LANDMARKS = 8
+
+
+def _landmark_ids_sql(prefix: str = "lm") -> str:
+    return f"""{prefix} AS (SELECT row_id FROM an ORDER BY {O.hash_order('row_id')} LIMIT {N_LANDMARKS})"""
+
+
+@query("j7_kernel_to_landmarks", f"""
+WITH {O.angle_ctes(2)},
+{O.amplitude_ctes(G.build_feature_map(2, 2, 'zz', 'linear'), 'an')},
+{_landmark_ids_sql()},
+{O.pair_kernel_cte('am')}
+SELECT i AS row_id, j AS landmark, round(k, 6) AS k FROM kp WHERE j IN (SELECT row_id FROM lm)""")
+def j7_kernel_to_landmarks(spark, d):
+    """J-7 / M-8: test rows x a bounded landmark set (hash-sampled support rows)."""
+    fmap = G.build_feature_map(2, 2, "zz", "linear")
+    vecs = G.kernel_vectors(_angles(spark, d, 2), fmap)
+    lms = S.random_sample(vecs, N_LANDMARKS, "row_id").select("row_id", "v").collect()  # m rows: bounded
+    out = G.kernel_to_landmarks(vecs, [(r["row_id"], r["v"]) for r in lms])
+    return out.select("row_id", "landmark", r6("k").alias("k"))
+
+
+def _kmeans_step_sql(k: int = 2) -> str:
+    fmap = G.build_feature_map(4, 1, "zz", "full")
+    return f"""
+WITH {O.angle_ctes(4)},
+{O.amplitude_ctes(fmap, 'an')},
+{O.pair_kernel_cte('am')},
+c0 AS (SELECT row_id, CAST(least(floor({O.hash_unit_sql('row_id')} * {k}), {k - 1}) AS INTEGER) AS c0 FROM am),
+sz AS (SELECT c0 AS c, count(*) AS n FROM c0 GROUP BY 1),
+sx AS (SELECT p.i, cb.c0 AS c, sum(p.k) AS s FROM kp p JOIN c0 cb ON p.j = cb.row_id GROUP BY ALL),
+cc AS (SELECT ca.c0 AS c, sum(p.k) AS q FROM kp p JOIN c0 ca ON p.i = ca.row_id JOIN c0 cb ON p.j = cb.row_id
+       WHERE ca.c0 = cb.c0 GROUP BY 1),
+kxx AS (SELECT i, k AS kxx FROM kp WHERE i = j),
+dist AS (SELECT sx.i, sx.c, kxx.kxx - 2.0 * sx.s / sz.n + cc.q / (CAST(sz.n AS DOUBLE) * sz.n) AS d
+         FROM sx JOIN sz USING (c) JOIN cc USING (c) JOIN kxx USING (i)),
+best AS (SELECT i, arg_min(c, d) AS cluster, list(round(d, 6) ORDER BY c) AS dist FROM dist GROUP BY i)"""
+
+
+@query("g6_kernel_kmeans_step", _kmeans_step_sql() + """
+SELECT best.i AS row_id, c0.c0, best.dist, best.cluster FROM best JOIN c0 ON c0.row_id = best.i""")
+def g6_kernel_kmeans_step(spark, d):
+    fmap = G.build_feature_map(4, 1, "zz", "full")
+    vecs = G.kernel_vectors(_angles(spark, d, 4), fmap)
+    st = G.kernel_kmeans_step(vecs, 2)
+    return st.select("row_id", "c0", r6_arr("dist").alias("dist"), "cluster")
+
+
+@query("a20_kernel_cluster_sums", _kmeans_step_sql() + """
+SELECT c AS cluster, n AS size, round(q, 6) AS pair_sum FROM sz JOIN cc USING (c)""")
+def a20_kernel_cluster_sums(spark, d):
+    fmap = G.build_feature_map(4, 1, "zz", "full")
+    vecs = G.kernel_vectors(_angles(spark, d, 4), fmap)
+    st = G.cluster_state(vecs, G.initial_clusters(vecs, 2), 2, "v", fmap.dim ** 2)
+    rows = [(c, n, round(sum(x * x for x in S_), 6)) for c, (S_, n) in enumerate(zip(st.sums, st.sizes)) if n]
+    return spark.createDataFrame(rows, "cluster int, size long, pair_sum double")
+
+
+@query("g7_cluster_to_anomaly", _kmeans_step_sql() + """,
+lab AS (SELECT best.cluster, v.y FROM best JOIN am v ON v.row_id = best.i),
+mp AS (SELECT cluster, CAST(round_even(avg(y), 0) AS INTEGER) AS mapped FROM lab GROUP BY cluster),
+pr AS (SELECT lab.y, mp.mapped AS pred FROM lab JOIN mp USING (cluster)),
+met AS (""" + O.metrics_select("pr") + """)
+SELECT round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1 FROM met""")
+def g7_cluster_to_anomaly(spark, d):
+    fmap = G.build_feature_map(4, 1, "zz", "full")
+    vecs = G.kernel_vectors(_angles(spark, d, 4), fmap)
+    st = G.kernel_kmeans_step(vecs, 2)
+    pred = M.clusters_to_prediction(st, "cluster", "y")
+    return _round_cols(M.binary_metrics(pred).select("accuracy", "precision", "recall", "f1"))

@@ -158,3 +158,60 @@ SELECT round(best.pct, 6) AS best_pct, round(best.threshold, 6) AS threshold, ro
        round(accuracy, 6) AS accuracy, round(auc, 6) AS auc
 FROM best, met, au_auc
 """
+
+
+# --------------------------------------------------------------------------- kernels
+
+HASH_SPAN_SQL = "4503599627370496.0"  # 16^13
+
+
+def hash_unit_sql(key: str, seed: int = SEED) -> str:
+    return (f"CAST(CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 13) AS BIGINT) AS DOUBLE)"
+            f" / {HASH_SPAN_SQL}")
+
+
+def angle_ctes(n: int, prefix: str = "an") -> str:
+    """F-6 on the first ``n`` embedding coordinates: ``{prefix}(row_id, y, x0..x{n-1})``."""
+    ps = ", ".join(f"x[{i + 1}] AS p{i}" for i in range(n))
+    stats = ", ".join(f"avg(p{i}) AS m{i}, stddev_pop(p{i}) AS s{i}" for i in range(n))
+    zs = ", ".join(f"(p{i} - m{i}) * (1.0 / (s{i} + 1e-9)) AS z{i}" for i in range(n))
+    mins = ", ".join(f"min(z{i})" for i in range(n))
+    maxs = ", ".join(f"max(z{i})" for i in range(n))
+    xs = ", ".join(f"(z{i} - gmin) / (gmax - gmin + 1e-9) * pi() AS x{i}" for i in range(n))
+    return f"""
+{prefix}_v AS ({EMBEDDING_VECTORS}),
+{prefix}_p AS (SELECT row_id, y, {ps} FROM {prefix}_v),
+{prefix}_st AS (SELECT {stats} FROM {prefix}_p),
+{prefix}_z AS (SELECT row_id, y, {zs} FROM {prefix}_p, {prefix}_st),
+{prefix}_mm AS (SELECT least({mins}) AS gmin, greatest({maxs}) AS gmax FROM {prefix}_z),
+{prefix} AS (SELECT row_id, y, {xs} FROM {prefix}_z, {prefix}_mm)"""
+
+
+def amplitude_ctes(fmap, src: str, prefix: str = "am") -> str:
+    """Amplitude stages of a feature map as CTEs ending in ``{prefix}(row_id, y, re, im)``."""
+    xs = [f"x{i}" for i in range(fmap.n)]
+    stages = fmap.stages(xs)
+    ctes, prev, existing = [], src, set()
+    for si, st in enumerate(stages):
+        name = f"{prefix}_s{si}"
+        exprs = ", ".join(f"{e} AS {k}" for k, e in st.items())
+        redefined = [k for k in st if k in existing]
+        star = f"* EXCLUDE ({', '.join(redefined)})" if redefined else "*"
+        ctes.append(f"{name} AS (SELECT {star}, {exprs} FROM {prev})")
+        existing |= set(st)
+        prev = name
+    dim = fmap.dim
+    # later stages redefine re/im: DuckDB keeps the last definition via the final projection
+    re = ", ".join(f"re{z}" for z in range(dim))
+    im = ", ".join(f"im{z}" for z in range(dim))
+    ctes.append(f"{prefix} AS (SELECT row_id, y, [{re}] AS re, [{im}] AS im FROM {prev})")
+    return ",\n".join(ctes)
+
+
+def pair_kernel_cte(src: str, name: str = "kp") -> str:
+    """Brute-force K(i, j) = |<a_i|a_j>|^2 over all pairs of ``src(row_id, re, im)``."""
+    return f"""{name} AS (
+  SELECT a.row_id AS i, b.row_id AS j,
+         pow(list_dot_product(a.re, b.re) + list_dot_product(a.im, b.im), 2)
+         + pow(list_dot_product(a.re, b.im) - list_dot_product(a.im, b.re), 2) AS k
+  FROM {src} a, {src} b)"""
