@@ -572,3 +572,44 @@ def g7_cluster_to_anomaly(spark, d):
     st = G.kernel_kmeans_step(vecs, 2)
     pred = M.clusters_to_prediction(st, "cluster", "y")
     return _round_cols(M.binary_metrics(pred).select("accuracy", "precision", "recall", "f1"))
+
+
+# =========================================================================== neighbours / LOF (J-6, W-4, D-5, D-6)
+
+from ..operators import neighbors as NB  # noqa: E402
+
+LOF_K_OUTLIER = 10
+LOF_K_NOVELTY = 20
+
+
+@query("w4_knn_kdistance", f"""
+WITH v AS ({O.EMBEDDING_VECTORS}), {O.knn_ctes('v', 'v', LOF_K_OUTLIER, True, 'k')}
+SELECT q AS row_id, round(max(d), 6) AS kdist, count(*) AS n_neighbors FROM k_nn GROUP BY q""")
+def w4_knn_kdistance(spark, d):
+    v = embedding_vectors(spark, d).df.select("row_id", "x")
+    nn = NB.knn(v, v, LOF_K_OUTLIER, exclude_self=True)
+    return nn.groupBy(F.col("qid").alias("row_id")).agg(r6(F.max("d")).alias("kdist"),
+                                                        F.count(F.lit(1)).alias("n_neighbors"))
+
+
+@query("d6_lof_outlier", f"""
+WITH v AS ({O.EMBEDDING_VECTORS}), {O.lof_ctes('v', None, LOF_K_OUTLIER)}
+SELECT row_id, round(score, 6) AS score FROM lf_lof""")
+def d6_lof_outlier(spark, d):
+    v = embedding_vectors(spark, d).df.select("row_id", "x")
+    return NB.lof_scores(v, None, LOF_K_OUTLIER).select("row_id", r6("score").alias("score"))
+
+
+@query("d5_lof_novelty", f"""
+WITH v AS ({O.EMBEDDING_VECTORS}),
+{O.split_ctes('v', 'row_id', 'y', 0.25, 'sp')},
+tr AS (SELECT row_id, x FROM sp_split WHERE split = 'train'),
+ev AS (SELECT row_id, x FROM sp_split WHERE split = 'test'),
+{O.lof_ctes('tr', 'ev', LOF_K_NOVELTY)}
+SELECT row_id, round(score, 6) AS score FROM lf_lof""")
+def d5_lof_novelty(spark, d):
+    v = embedding_vectors(spark, d).df.select("row_id", "y", "x")
+    sp = S.stratified_split(v, 0.25, "row_id", "y")
+    tr = sp.where(F.col("split") == "train").select("row_id", "x")
+    ev = sp.where(F.col("split") == "test").select("row_id", "x")
+    return NB.lof_scores(tr, ev, LOF_K_NOVELTY).select("row_id", r6("score").alias("score"))

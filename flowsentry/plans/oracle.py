@@ -215,3 +215,33 @@ def pair_kernel_cte(src: str, name: str = "kp") -> str:
          pow(list_dot_product(a.re, b.re) + list_dot_product(a.im, b.im), 2)
          + pow(list_dot_product(a.re, b.im) - list_dot_product(a.im, b.re), 2) AS k
   FROM {src} a, {src} b)"""
+
+
+# --------------------------------------------------------------------------- neighbours / LOF
+
+def knn_ctes(q_src: str, r_src: str, k: int, exclude_self: bool, prefix: str) -> str:
+    """``{prefix}_nn(q, r, d, rk)``: k nearest rows of ``r_src`` for each row of ``q_src`` (brute force)."""
+    cond = "WHERE a.row_id <> b.row_id" if exclude_self else ""
+    return f"""
+{prefix}_pr AS (SELECT a.row_id AS q, b.row_id AS r, list_distance(a.x, b.x) AS d FROM {q_src} a, {r_src} b {cond}),
+{prefix}_nn AS (SELECT q, r, d, row_number() OVER (PARTITION BY q ORDER BY d, r) AS rk FROM {prefix}_pr
+                QUALIFY rk <= {k})"""
+
+
+def lof_ctes(train: str, evaluate: str | None, k: int, prefix: str = "lf") -> str:
+    """``{prefix}_lof(row_id, score)`` -- LOF in outlier (evaluate=None) or novelty mode."""
+    s = knn_ctes(train, train, k, True, f"{prefix}_t") + f""",
+{prefix}_kd AS (SELECT q, max(d) AS kdist FROM {prefix}_t_nn GROUP BY q),
+{prefix}_lrd AS (SELECT n.q, 1.0 / (avg(greatest(kd.kdist, n.d)) + 1e-10) AS lrd
+                 FROM {prefix}_t_nn n JOIN {prefix}_kd kd ON kd.q = n.r GROUP BY n.q)"""
+    if evaluate is None:
+        qn, ql = f"{prefix}_t_nn", f"{prefix}_lrd"
+    else:
+        s += "," + knn_ctes(evaluate, train, k, False, f"{prefix}_e") + f""",
+{prefix}_elrd AS (SELECT n.q, 1.0 / (avg(greatest(kd.kdist, n.d)) + 1e-10) AS lrd
+                  FROM {prefix}_e_nn n JOIN {prefix}_kd kd ON kd.q = n.r GROUP BY n.q)"""
+        qn, ql = f"{prefix}_e_nn", f"{prefix}_elrd"
+    s += f""",
+{prefix}_lof AS (SELECT n.q AS row_id, avg(o.lrd) / l.lrd AS score
+                 FROM {qn} n JOIN {prefix}_lrd o ON o.q = n.r JOIN {ql} l ON l.q = n.q GROUP BY n.q, l.lrd)"""
+    return s
