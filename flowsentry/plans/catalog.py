@@ -613,3 +613,86 @@ def d5_lof_novelty(spark, d):
     tr = sp.where(F.col("split") == "train").select("row_id", "x")
     ev = sp.where(F.col("split") == "test").select("row_id", "x")
     return NB.lof_scores(tr, ev, LOF_K_NOVELTY).select("row_id", r6("score").alias("score"))
+
+
+# =========================================================================== silhouette, remaining detectors
+
+from ..operators import forest as FR  # noqa: E402
+from ..operators.detect import fit_kmeans, fit_reconstruction, presumed_normal  # noqa: E402
+
+
+def _label_clusters(spark, d):
+    return embedding_vectors(spark, d).df.select("row_id", "x", F.col("label").cast("int").alias("cluster"))
+
+
+_SIL_SQL = """
+WITH v AS (SELECT vec_id AS row_id, label AS cluster, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+pr AS (SELECT a.row_id AS q, a.cluster AS c, b.cluster AS rc, {dist} AS d FROM v a, v b WHERE a.row_id <> b.row_id),
+m AS (SELECT q, c, rc, avg(d) AS md FROM pr GROUP BY ALL),
+ab AS (SELECT q, c, max(md) FILTER (WHERE rc = c) AS a, min(md) FILTER (WHERE rc <> c) AS b FROM m GROUP BY q, c)
+SELECT q AS row_id, c AS cluster, round(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette
+FROM ab"""
+
+
+@query("a16_silhouette_exact", _SIL_SQL.format(dist="list_distance(a.x, b.x)"))
+def a16_silhouette_exact(spark, d):
+    return NB.silhouette_exact(_label_clusters(spark, d)).select("row_id", "cluster", r6("silhouette").alias("silhouette"))
+
+
+@query("a16_silhouette_squared", _SIL_SQL.format(dist="pow(list_distance(a.x, b.x), 2)"))
+def a16_silhouette_squared(spark, d):
+    return NB.silhouette_squared(_label_clusters(spark, d)).select("row_id", "cluster",
+                                                                    r6("silhouette").alias("silhouette"))
+
+
+@query("d8_presumed_normal", f"""
+WITH s AS ({_EVENT_SCORES}), q AS (SELECT quantile_cont(-score, CAST('0.3' AS DOUBLE)) AS cut FROM s)
+SELECT row_id FROM s, q WHERE -score >= cut""")
+def d8_presumed_normal(spark, d):
+    return presumed_normal(_event_scores(spark, d), y=None, score="score", contamination_frac=0.3).select("row_id")
+
+
+@query("d9_threshold_decision", f"""
+SELECT row_id, y, CASE WHEN score > 50.0 THEN 1 ELSE 0 END AS pred FROM ({_EVENT_SCORES})""")
+def d9_threshold_decision(spark, d):
+    return M.threshold_decision(_event_scores(spark, d), "score", 50.0).select("row_id", "y", "pred")
+
+
+def _detector_metrics(scored: DataFrame, contamination: float) -> DataFrame:
+    """A-9 cut, then accuracy / P / R / F1 and AUC of the detector (E-7)."""
+    cut = A.contamination_cut(scored, "score", contamination)
+    met = M.binary_metrics(cut)
+    auc = M.roc_auc(scored, "score", "y").collect()[0]["auc"]
+    return _round_cols(met.select("accuracy", "precision", "recall", "f1", F.lit(auc).cast("double").alias("auc")))
+
+
+@query("d2_kmeans_distance")
+def d2_kmeans_distance(spark, d):
+    """D-2: min distance to k-means centres (fit on all rows), 10 % cut.  Randomised init: rows-only check."""
+    v = embedding_vectors(spark, d).df
+    km = fit_kmeans(v, "x", 3)
+    return _detector_metrics(km.score(v, "x"), 0.1)
+
+
+@query("d3_isolation_forest")
+def d3_isolation_forest(spark, d):
+    """D-3: isolation forest (100 trees x 256 rows), 10 % cut.  Randomised: rows-only check."""
+    v = embedding_vectors(spark, d).df
+    m = FR.fit_isolation_forest(v, "x")
+    return _detector_metrics(m.score(v, "x"), 0.1)
+
+
+@query("d4_one_class_svm")
+def d4_one_class_svm(spark, d):
+    """D-4: nu-one-class SVM on random Fourier features, fit on normal rows, cut at nu."""
+    v = embedding_vectors(spark, d).df
+    m = FR.fit_one_class_svm(normal_rows(v), "x", nu=0.05, kernel="rbf", gamma="scale", steps=20)
+    return _detector_metrics(m.score(v, "x"), 0.05)
+
+
+@query("d7_reconstruction_error")
+def d7_reconstruction_error(spark, d):
+    """D-7: PCA reconstruction error (latent min(32, d/2)), fit on normal rows, 10 % cut."""
+    v = embedding_vectors(spark, d).df
+    m = fit_reconstruction(normal_rows(v), "x", width=64)
+    return _detector_metrics(m.score(v, "x"), 0.1)
