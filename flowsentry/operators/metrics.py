@@ -222,3 +222,25 @@ def clusters_to_prediction(df: DataFrame, cluster: str = "cluster", y: str = "y"
 
 def col_list(cols):
     return [col_(c) for c in cols]
+
+
+def contamination_sweep(df: DataFrame, score: str = "score", y: str = "y",
+                        contaminations: Sequence[float] = (0.01, 0.03, 0.05, 0.1, 0.15)) -> DataFrame:
+    """A-9 over a grid in one scan: inclusive cut at quantile(1 - c), F1 per grid point.
+
+    ``best`` marks the first maximal F1 in grid order (O-4)."""
+    ths = exact_quantiles(df, score, [1.0 - c for c in contaminations])
+    s, yy = F.col(score), F.col(y)
+    aggs = [F.count_if(yy == 1).alias("P")]
+    for i, t in enumerate(ths):
+        hit = s >= F.lit(t)
+        aggs += [F.count_if(hit & (yy == 1)).alias(f"tp{i}"), F.count_if(hit & (yy != 1)).alias(f"fp{i}")]
+    row = df.agg(*aggs)
+    st = row.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(float(c)).alias("contamination"), F.lit(t).cast("double").alias("threshold"),
+                 F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"), F.col("P").alias("P"))
+        for i, (c, t) in enumerate(zip(contaminations, ths))])).alias("r")).select("r.*")
+    out = st.select("i", "contamination", "threshold",
+                    safe_ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("P")).alias("f1"))
+    w = Window.orderBy(F.desc("f1"), F.asc("i"))
+    return out.withColumn("best", (F.row_number().over(w) == 1).cast("int")).drop("i")

@@ -696,3 +696,118 @@ def d7_reconstruction_error(spark, d):
     v = embedding_vectors(spark, d).df
     m = fit_reconstruction(normal_rows(v), "x", width=64)
     return _detector_metrics(m.score(v, "x"), 0.1)
+
+
+# =========================================================================== grid argmax / comparison (O-4, M-11)
+
+CONTAMINATION_GRID = [0.01, 0.03, 0.05, 0.1, 0.15]
+
+
+def _grid_sql() -> str:
+    parts = []
+    for col in ("value", "k"):
+        fr = ", ".join(O.dbl(1.0 - c) for c in CONTAMINATION_GRID)
+        cs = ", ".join(O.dbl(c) for c in CONTAMINATION_GRID)
+        parts.append(f"""
+SELECT '{col}' AS model, i, [{cs}][i] AS contamination, (q.qs)[i] AS threshold,
+       count(*) FILTER (WHERE f.{col} >= (q.qs)[i] AND f.y = 1) AS tp,
+       count(*) FILTER (WHERE f.{col} >= (q.qs)[i] AND f.y <> 1) AS fp,
+       count(*) FILTER (WHERE f.y = 1) AS P
+FROM f, (SELECT quantile_cont({col}, [{fr}]) AS qs FROM f) q, range(1, {len(CONTAMINATION_GRID) + 1}) t(i)
+GROUP BY ALL""")
+    return f"""
+WITH f AS ({O.EVENT_FLOWS}),
+g AS ({' UNION ALL '.join(parts)}),
+m AS (SELECT model, i, contamination, threshold,
+             COALESCE(CAST(2 * tp AS DOUBLE) / NULLIF(tp + fp + P, 0), 0.0) AS f1 FROM g)
+SELECT model, round(contamination, 6) AS contamination, round(threshold, 6) AS threshold, round(f1, 6) AS f1,
+       CASE WHEN row_number() OVER (PARTITION BY model ORDER BY f1 DESC, i) = 1 THEN 1 ELSE 0 END AS best
+FROM m"""
+
+
+@query("o4_grid_argmax", _grid_sql())
+def o4_grid_argmax(spark, d):
+    """O-4 + M-11: per-model F1 over a contamination grid; first best in grid order."""
+    df = event_flows(spark, d).df
+    out = None
+    for col in ("value", "k"):
+        sw = M.contamination_sweep(df, col, "y", CONTAMINATION_GRID).select(F.lit(col).alias("model"), "*")
+        out = sw if out is None else out.unionByName(sw)
+    return _round_cols(out)
+
+
+@query("m7_guarded_auc", """
+WITH s AS (SELECT quality AS y, CAST(toxic AS DOUBLE) AS score FROM labels),
+g AS (SELECT score, count(*) AS c, count(*) FILTER (WHERE y = 1) AS p FROM s GROUP BY score),
+c AS (SELECT score, c, p, sum(c) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) - c AS below FROM g),
+a AS (SELECT CASE WHEN sum(p) > 0 AND sum(c) - sum(p) > 0 THEN
+        (sum(p * (below + (c + 1) / 2.0)) - sum(p) * (sum(p) + 1) / 2.0) / (CAST(sum(p) AS DOUBLE) * (sum(c) - sum(p)))
+      END AS auc FROM c)
+SELECT 'all' AS part, round(auc, 6) AS auc FROM a
+UNION ALL SELECT 'positives_only', NULL FROM (SELECT 1)""")
+def m7_guarded_auc(spark, d):
+    """M-7: AUC only when both classes are present (else NULL)."""
+    s = read_table(spark, d, "labels").select(F.col("quality").alias("y"), F.col("toxic").cast("double").alias("score"))
+    a = M.roc_auc(s, "score", "y").select(F.lit("all").alias("part"), r6("auc").alias("auc"))
+    b = M.roc_auc(s.where(F.col("y") == 1), "score", "y").select(F.lit("positives_only").alias("part"),
+                                                                  r6("auc").alias("auc"))
+    return a.unionByName(b)
+
+
+# =========================================================================== model runs (rows-only: randomised / iterative fits)
+
+from . import experiments as E  # noqa: E402
+
+
+@query("m1_decision_tree")
+def m1_decision_tree(spark, d):
+    """M-1 via E-1: unweighted tree (D1), depth <= 30."""
+    return E.run_supervised(spark, d, "dt", weighted=False).drop("train_s", "eval_s")
+
+
+@query("m2_random_forest")
+def m2_random_forest(spark, d):
+    """M-2 via E-1: 200 trees, balanced class weights."""
+    return E.run_supervised(spark, d, "rf", weighted=True).drop("train_s", "eval_s")
+
+
+@query("m3_linear_svc")
+def m3_linear_svc(spark, d):
+    """M-3 via E-1: linear SVM, C = 1, class-weighted, scaled."""
+    return E.run_supervised(spark, d, "linear_svc", weighted=True).drop("train_s", "eval_s")
+
+
+@query("m4_rbf_svm")
+def m4_rbf_svm(spark, d):
+    """M-4: rbf SVM via random Fourier features (D = 256) + LinearSVC."""
+    return E.run_kernel_svm_features(spark, d, "rbf")
+
+
+@query("m5_poly_svm")
+def m5_poly_svm(spark, d):
+    """M-5: poly SVM via a Nystrom map (256 hash-sampled landmarks) + LinearSVC."""
+    return E.run_kernel_svm_features(spark, d, "poly")
+
+
+@query("m8_fidelity_kernel_svm")
+def m8_fidelity_kernel_svm(spark, d):
+    """M-8 / E-6: ZZ(reps 2, linear) fidelity-kernel SVM as LinearSVC on density vectors."""
+    return E.run_kernel_svm(spark, d)
+
+
+@query("m9_angle_logit")
+def m9_angle_logit(spark, d):
+    """M-9 re-aimed: logistic head on the angle encoding."""
+    return E.run_angle_logit(spark, d)
+
+
+@query("e4_kernel_clustering")
+def e4_kernel_clustering(spark, d):
+    """E-4: kernel k-means (ZZ, 4 components) vs k-means baseline (G-6..G-8)."""
+    return E.run_kernel_clustering(spark, d)
+
+
+@query("e3_compare_detectors")
+def e3_compare_detectors(spark, d):
+    """E-3: PCA 30 -> 80/10/10 -> grid search -> refit -> test metrics per detector."""
+    return E.compare_detectors(spark, d)

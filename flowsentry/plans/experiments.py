@@ -53,3 +53,243 @@ def run_centroid_anomaly(spark: SparkSession, sf_dir: str, val_frac: float = 0.2
         F.lit(best["f1"]).alias("val_f1"), "precision", "recall", "f1", "accuracy",
         F.lit(auc).cast("double").alias("auc"))
     return _round_cols(out)
+
+
+# =========================================================================== E-1 supervised run
+
+def _flow_split(spark: SparkSession, sf_dir: str, test_frac: float = 0.2):
+    from ..sources.standins import lineitem_flows
+    ft = lineitem_flows(spark, sf_dir)
+    sp = stratified_split(ft.df, test_frac, "row_id", "y", SEED)
+    return ft, sp.where(F.col("split") == "train").drop("split"), sp.where(F.col("split") == "test").drop("split")
+
+
+def run_supervised(spark: SparkSession, sf_dir: str, kind: str = "rf", weighted: bool = True,
+                   scaled: bool = True, **params) -> DataFrame:
+    """E-1: split -> encoder fitted on train (F-7) -> weights (A-3) -> fit -> score -> report."""
+    import time
+
+    from ..operators.features import Standardizer, fit_flow_encoder
+    from ..operators.models import evaluate_classifier, fit_classifier
+
+    ft, train, test = _flow_split(spark, sf_dir)
+    enc = fit_flow_encoder(train, ft.numeric, ft.categorical)
+    if not scaled:
+        enc.scaler = Standardizer(enc.scaler.cols, [0.0] * len(enc.scaler.cols), [1.0] * len(enc.scaler.cols))
+    tr = enc.transform(train)
+    te = enc.transform(test)
+    t0 = time.time()
+    fitted = fit_classifier(tr, kind, "features", "y", weighted=weighted, **params)
+    train_s = time.time() - t0
+    met, auc, eval_s = evaluate_classifier(fitted, te)
+    row = [(kind, "lineitem", float(train_s), float(eval_s), float(met["accuracy"]), float(met["precision"]),
+            float(met["recall"]), float(met["f1"]), None if auc is None else float(auc), enc.width)]
+    return spark.createDataFrame(row, "model string, dataset string, train_s double, eval_s double, "
+                                      "accuracy double, precision double, recall double, f1 double, auc double, "
+                                      "n_features int")
+
+
+def run_kernel_svm_features(spark: SparkSession, sf_dir: str, kind: str = "rbf", C: float = 1.0,
+                            n_components: int = 256) -> DataFrame:
+    """M-4 / M-5: kernel SVM through an explicit kernel map + LinearSVC (class-weighted)."""
+    from ..operators.forest import fit_kernel_map
+    from ..operators.models import evaluate_classifier, fit_classifier
+    from ..operators.features import fit_flow_encoder
+
+    ft, train, test = _flow_split(spark, sf_dir)
+    enc = fit_flow_encoder(train, ft.numeric, ft.categorical)
+    tr, te = enc.transform(train), enc.transform(test)
+    km = fit_kernel_map(tr, "features", kind, "scale", n_components)
+    trp = km.transform(tr, "features", "phi")
+    tep = km.transform(te, "features", "phi")
+    fitted = fit_classifier(trp, "linear_svc", "phi", "y", weighted=True, C=C)
+    met, auc, eval_s = evaluate_classifier(fitted, tep)
+    return spark.createDataFrame(
+        [(f"svm_{kind}", float(met["accuracy"]), float(met["precision"]), float(met["recall"]), float(met["f1"]),
+          None if auc is None else float(auc))],
+        "model string, accuracy double, precision double, recall double, f1 double, auc double")
+
+
+# =========================================================================== E-4 / E-6 kernel runs
+
+def _reduced_angles(spark: SparkSession, sf_dir: str, n: int, train_frac: float | None = None):
+    """embeddings -> PCA(n) -> angle scaling (both fitted on the training part)."""
+    from ..operators.features import fit_angle_scaler, fit_pca
+    from ..sources.standins import embedding_vectors
+
+    v = embedding_vectors(spark, sf_dir).df
+    if train_frac is None:
+        fit_on, parts = v, {"all": v}
+    else:
+        sp = stratified_split(v, 1.0 - train_frac, "row_id", "y", SEED)
+        fit_on = sp.where(F.col("split") == "train")
+        parts = {"train": fit_on, "test": sp.where(F.col("split") == "test")}
+    pca = fit_pca(fit_on, "x", n, 64)
+    red = {k: p.select("row_id", "y", pca.project("x").alias("pc")) for k, p in parts.items()}
+    sc = fit_angle_scaler(red["train" if train_frac is not None else "all"], "pc", n)
+    return {k: p.select("row_id", "y", sc.expr("pc").alias("angle")) for k, p in red.items()}
+
+
+def run_kernel_clustering(spark: SparkSession, sf_dir: str, n_qubits: int = 4, reps: int = 1,
+                          map_type: str = "zz", k: int = 2, max_iter: int = 100) -> DataFrame:
+    """E-4: fidelity-kernel k-means vs plain k-means on the same angles (G-6, G-7, G-8)."""
+    from ..operators import kernels as G
+    from ..operators.detect import fit_kmeans
+
+    ang = _reduced_angles(spark, sf_dir, n_qubits)["all"]
+    fmap = G.build_feature_map(n_qubits, reps, map_type)
+    vecs = G.kernel_vectors(ang, fmap)
+    clustered, steps = G.kernel_kmeans(vecs, k, max_iter)
+    q = M.binary_metrics(M.clusters_to_prediction(clustered, "cluster", "y")).collect()[0]
+    km = fit_kmeans(ang, "angle", k)
+    base = km.score(ang, "angle")
+    c = M.binary_metrics(M.clusters_to_prediction(base, "cluster", "y")).collect()[0]
+    rows = [("kernel_kmeans", steps, float(q["accuracy"]), float(q["precision"]), float(q["recall"]), float(q["f1"])),
+            ("kmeans_baseline", None, float(c["accuracy"]), float(c["precision"]), float(c["recall"]), float(c["f1"]))]
+    return spark.createDataFrame(rows, "method string, iterations int, accuracy double, precision double, "
+                                       "recall double, f1 double")
+
+
+def run_kernel_svm(spark: SparkSession, sf_dir: str, n_qubits: int = 2, reps: int = 2,
+                   entanglement: str = "linear", C: float = 1.0) -> DataFrame:
+    """E-6 / M-8: fidelity-kernel SVM = LinearSVC on the density vectors (exact primal form)."""
+    from ..operators import kernels as G
+    from ..operators.models import evaluate_classifier, fit_classifier
+
+    parts = _reduced_angles(spark, sf_dir, n_qubits, train_frac=0.75)
+    fmap = G.build_feature_map(n_qubits, reps, "zz", entanglement)
+    tr = G.kernel_vectors(parts["train"], fmap)
+    te = G.kernel_vectors(parts["test"], fmap)
+    fitted = fit_classifier(tr, "linear_svc", "v", "y", weighted=False, C=C)
+    met, auc, eval_s = evaluate_classifier(fitted, te)
+    return spark.createDataFrame(
+        [("kernel_svm", float(met["accuracy"]), float(met["precision"]), float(met["recall"]), float(met["f1"]))],
+        "model string, accuracy double, precision double, recall double, f1 double")
+
+
+def run_angle_logit(spark: SparkSession, sf_dir: str, n_qubits: int = 2) -> DataFrame:
+    """M-9 re-aimed: logistic head on cos/sin of the angle encoding; M-10 cut at 0.5."""
+    from ..operators.models import angle_trig_features, evaluate_classifier, fit_classifier
+
+    parts = _reduced_angles(spark, sf_dir, n_qubits, train_frac=0.75)
+    tr = parts["train"].select("row_id", "y", angle_trig_features("angle").alias("trig"))
+    te = parts["test"].select("row_id", "y", angle_trig_features("angle").alias("trig"))
+    fitted = fit_classifier(tr, "logreg", "trig", "y")
+    met, auc, _ = evaluate_classifier(fitted, te)
+    return spark.createDataFrame(
+        [("angle_logit", float(met["accuracy"]), float(met["precision"]), float(met["recall"]), float(met["f1"]),
+          None if auc is None else float(auc))],
+        "model string, accuracy double, precision double, recall double, f1 double, auc double")
+
+
+# =========================================================================== E-2 / E-3 detector comparison
+
+ISO_GRID = [0.01, 0.03, 0.05, 0.1, 0.15]
+OCSVM_GRID = [(nu, g, k) for nu in (0.01, 0.03, 0.05, 0.1) for g in ("scale", "auto") for k in ("rbf", "poly")]
+LOF_GRID = [(n, c) for n in (10, 20, 35) for c in (0.01, 0.03, 0.05, 0.1)]
+KMEANS_GRID = [(k, c) for k in (2, 3, 4) for c in (0.01, 0.03, 0.05, 0.1)]
+
+
+def _f1_at_cut(scored: DataFrame, contamination: float) -> float:
+    from ..operators.stats import contamination_cut
+    return M.binary_metrics(contamination_cut(scored, "score", contamination)).collect()[0]["f1"]
+
+
+def grid_search_detectors(train: DataFrame, val: DataFrame, supervised: bool = True, ocsvm_steps: int = 20):
+    """E-2: fit once per model-affecting parameter; contamination only moves the cut.
+
+    Metric: validation F1 (supervised) or score separation / silhouette;
+    ties keep the first grid point (O-4).  Failures are recorded (E-8).
+    """
+    from ..operators import forest as FR
+    from ..operators import neighbors as NB
+    from ..operators.detect import fit_kmeans
+    from ..operators.stats import score_separation
+
+    results = []
+
+    def metric(scored, c):
+        return _f1_at_cut(scored, c) if supervised else score_separation(scored, "score")
+
+    def record(model, params, fn):
+        try:
+            results.append((model, params, float(fn()), "ok"))
+        except Exception as e:  # E-8: keep the failure visible
+            results.append((model, params, float("-inf"), f"failed: {type(e).__name__}"))
+
+    iso = FR.fit_isolation_forest(train, "x")
+    iso_val = iso.score(val, "x").persist()
+    for c in ISO_GRID:
+        record("isolation_forest", {"contamination": c}, lambda c=c: metric(iso_val, c))
+    for nu, g, k in OCSVM_GRID:
+        def oc(nu=nu, g=g, k=k):
+            m = FR.fit_one_class_svm(train, "x", nu=nu, kernel=k, gamma=g, steps=ocsvm_steps)
+            return metric(m.score(val, "x"), nu)
+        record("oneclass_svm", {"nu": nu, "gamma": g, "kernel": k}, oc)
+    for nn in sorted({n for n, _ in LOF_GRID}):
+        lof_val = NB.lof_scores(train, val.select("row_id", "x"), nn).join(val.select("row_id", "y"), "row_id").persist()
+        for n2, c in LOF_GRID:
+            if n2 == nn:
+                record("lof", {"n_neighbors": nn, "contamination": c}, lambda c=c: metric(lof_val, c))
+    for kk in sorted({k for k, _ in KMEANS_GRID}):
+        km = fit_kmeans(train, "x", kk)
+        km_val = km.score(val, "x").persist()
+        for k2, c in KMEANS_GRID:
+            if k2 == kk:
+                if supervised:
+                    record("kmeans", {"n_clusters": kk, "contamination": c}, lambda c=c: metric(km_val, c))
+                else:
+                    record("kmeans", {"n_clusters": kk, "contamination": c},
+                           lambda: NB.silhouette_score(NB.silhouette_exact(km_val, "x", "cluster")))
+    best = {}
+    for model, params, m, status in results:  # grid order; strict > keeps the first best
+        if model not in best or m > best[model][1]:
+            best[model] = (params, m)
+    return results, best
+
+
+def compare_detectors(spark: SparkSession, sf_dir: str, pca_components: int = 30, supervised: bool = True,
+                      hold_frac: float = 0.2, ocsvm_steps: int = 20) -> DataFrame:
+    """E-3: PCA -> 80/10/10 -> grid search -> refit best -> test metrics per detector (E-7)."""
+    from ..operators import forest as FR
+    from ..operators import neighbors as NB
+    from ..operators.detect import fit_kmeans, fit_reconstruction, presumed_normal
+    from ..operators.features import fit_pca
+    from ..operators.sample import three_way_split
+    from ..operators.stats import contamination_cut
+    from ..session import cut_lineage
+    from ..sources.standins import embedding_vectors
+
+    v = embedding_vectors(spark, sf_dir).df
+    sp = cut_lineage(three_way_split(v, hold_frac, "row_id", "y", SEED))
+    train = sp.where(F.col("split") == "train")
+    pca = fit_pca(train, "x", pca_components, 64)
+    red = cut_lineage(sp.select("row_id", "y", "split", pca.project("x").alias("x")) if pca else sp)
+    tr, va, te = (red.where(F.col("split") == s).drop("split") for s in ("train", "val", "test"))
+    _, best = grid_search_detectors(tr, va, supervised, ocsvm_steps)
+    rows = []
+
+    def add(name, scored, c, params):
+        cut = contamination_cut(scored, "score", c)
+        m = M.binary_metrics(cut).collect()[0]
+        auc = M.roc_auc(scored, "score", "y").collect()[0]["auc"]
+        rows.append((name, str(params), float(m["accuracy"]), float(m["precision"]), float(m["recall"]),
+                     float(m["f1"]), None if auc is None else float(auc)))
+
+    p, _ = best["isolation_forest"]
+    add("IsolationForest", FR.fit_isolation_forest(tr, "x").score(te, "x"), p["contamination"], p)
+    p, _ = best["oneclass_svm"]
+    oc = FR.fit_one_class_svm(tr, "x", nu=p["nu"], kernel=p["kernel"], gamma=p["gamma"], steps=ocsvm_steps)
+    add("OneClassSVM", oc.score(te, "x"), p["nu"], p)
+    p, _ = best["lof"]
+    lof_tr = tr.unionByName(va)  # U-2: LOF refits on train + validation
+    lof = NB.lof_scores(lof_tr, te.select("row_id", "x"), p["n_neighbors"]).join(te.select("row_id", "y"), "row_id")
+    add("LocalOutlierFactor", lof, p["contamination"], p)
+    p, _ = best["kmeans"]
+    add("KMeans-distance", fit_kmeans(tr, "x", p["n_clusters"]).score(te, "x"), p["contamination"], p)
+    normal = presumed_normal(tr, y="y" if supervised else None, score=None if supervised else "score")
+    width = len(tr.select("x").first()[0])
+    rec = fit_reconstruction(normal, "x", width=width)
+    add("Reconstruction", rec.score(te, "x"), 0.1, {"latent": min(32, width // 2)})
+    return spark.createDataFrame(rows, "detector string, params string, accuracy double, precision double, "
+                                       "recall double, f1 double, auc double")
