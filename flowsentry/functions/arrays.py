@@ -82,11 +82,12 @@ def distances_to(points: Sequence[Sequence[float]], a, squared: bool = False) ->
 
 
 def argmin(arr) -> Column:
-    """O-3: index of the smallest entry; ties -> lowest index (numpy rule); NULL/inf never win over finite."""
+    """O-3: 0-based index of the smallest entry; ties -> lowest index (numpy rule).
+
+    Use +inf (not NULL) for entries that must never win, e.g. empty clusters.
+    """
     a = col_(arr)
-    idx = F.sequence(F.lit(0), F.size(a) - 1)
-    structs = F.zip_with(a, idx, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
-    return F.array_min(structs)["i"]
+    return (F.array_position(a, F.array_min(a)) - 1).cast("int")
 
 
 def vector_sum_agg(arr, width: int) -> Column:
@@ -98,28 +99,19 @@ def vector_avg_agg(arr, width: int) -> Column:
     return F.array(*[F.avg(F.element_at(col_(arr), i + 1)) for i in range(width)])
 
 
-def array_sums(df, arr, by=None):
-    """Element-wise sums of an array column, optionally per group, as a small DataFrame.
+def collect_array_sums(df, arr, by=None) -> dict:
+    """Element-wise sums of an array column, optionally per group: {group: (sums, row count)}.
 
-    ``posexplode`` evaluates the array once per row and the partial hash
-    aggregate combines map-side, so only (groups x width) rows are shuffled.
-    Returns ``(by?, pos, s, n)`` rows.
+    One vector aggregate per group (Spark ML ``Summarizer``, partial +
+    final), so every row is read once and only groups x width numbers
+    reach the driver.  (Exploding the array instead would let Catalyst
+    evaluate per-row label expressions once per array element.)
     """
-    from pyspark.sql import functions as F
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
 
     keys = [by] if by else []
-    # the _outer form: an inner posexplode makes Catalyst infer size(arr) > 0 and push that
-    # filter (with the whole array expression inlined) down to the scan
-    ex = df.select(*keys, F.posexplode_outer(arr).alias("pos", "val")).where(F.col("pos").isNotNull())
-    return ex.groupBy(*keys, "pos").agg(F.sum("val").alias("s"), F.count(F.lit(1)).alias("n"))
-
-
-def collect_array_sums(df, arr, by=None) -> dict:
-    """{group: (list of sums, row count)} -- bounded by groups x width."""
-    out: dict = {}
-    for r in array_sums(df, arr, by).collect():
-        g = r[by] if by else None
-        sums, n = out.setdefault(g, ({}, 0))
-        sums[r["pos"]] = r["s"]
-        out[g] = (sums, max(n, r["n"]))
-    return {g: ([s[i] for i in range(len(s))], n) for g, (s, n) in out.items()}
+    summ = Summarizer.metrics("sum", "count").summary(array_to_vector(arr)).alias("s")
+    rows = df.groupBy(*keys).agg(summ).collect()
+    return {(r[by] if by else None): ([float(x) for x in r["s"]["sum"].toArray()], int(r["s"]["count"]))
+            for r in rows}

@@ -216,29 +216,47 @@ def cluster_state(df: DataFrame, label, k: int, v: str, width: int | None = None
     return ClusterState(sums, sizes)
 
 
+def _state_and_changes(df: DataFrame, new_label, old_label, k: int, v: str) -> tuple[ClusterState, int]:
+    """One pass: cluster sums under ``new_label`` and how many rows changed cluster."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    from pyspark.sql import functions as F2
+
+    lab = df.select(new_label.alias("_c"), (new_label != old_label).cast("long").alias("_chg"),
+                    array_to_vector(v).alias("_v"))
+    rows = lab.groupBy("_c").agg(Summarizer.metrics("sum", "count").summary(F2.col("_v")).alias("s"),
+                                 F2.sum("_chg").alias("chg")).collect()
+    sums, sizes, changed = [None] * k, [0] * k, 0
+    for r in rows:
+        sums[r["_c"]] = [float(x) for x in r["s"]["sum"].toArray()]
+        sizes[r["_c"]] = int(r["s"]["count"])
+        changed += r["chg"]
+    return ClusterState(sums, sizes), changed
+
+
 def kernel_kmeans(vecs: DataFrame, k: int = 2, max_iter: int = 100, v: str = "v", seed: int = 42,
                   key: str = "row_id") -> tuple[DataFrame, int]:
     """G-6: Lloyd iterations in kernel space; stops when no label changes.
 
-    Each step reads the (persisted) vector table once and carries only the
-    k cluster sums; the label of step t is a pure expression of the step
-    t-1 sums, so lineage never grows.  Returns ``(vecs + cluster, steps)``.
+    Each step is ONE aggregation over the materialised vector table: it
+    assigns rows with the previous step's k cluster sums (literals), sums
+    the vectors per new cluster and counts changed labels.  The label of
+    step t is a pure expression of the step t-1 sums, so lineage never grows.
+    Returns ``(vecs + cluster, steps)``.
     """
     # reused every step: materialise once in the shared checkpoint folder; this also hands
     # Catalyst a leaf instead of the long amplitude expression chain
-    base = cut_lineage(vecs)
-    width = None
+    base = cut_lineage(vecs).persist()  # checkpoint = durable copy; persist = fast re-reads per step
     label = initial_clusters(base, k, key, seed)
-    state = cluster_state(base, label, k, v, width)
+    state = cluster_state(base, label, k, v)
     steps = 0
     for _ in range(max_iter):
         new_label = argmin(state.distances(v))
-        changed = base.where(new_label != label).limit(1).count()
+        new_state, changed = _state_and_changes(base, new_label, label, k, v)
         steps += 1
         if changed == 0:
             break
-        label = new_label
-        state = cluster_state(base, label, k, v, width)
+        label, state = new_label, new_state
     return base.withColumn("cluster", label), steps
 
 
