@@ -47,11 +47,10 @@ class OneHot:
 
 def fit_one_hot(df: DataFrame, cols: Sequence[str]) -> OneHot:
     """Vocabulary per column (bounded by the categorical cardinality)."""
-    cats = {}
-    for c in cols:
-        vals = [r[0] for r in df.select(F.col(c).cast("string")).where(F.col(c).isNotNull()).distinct().collect()]
-        cats[c] = sorted(vals)
-    return OneHot(list(cols), cats)
+    if not cols:
+        return OneHot([], {})
+    row = df.agg(*[F.collect_set(F.col(c).cast("string")).alias(c) for c in cols]).collect()[0]  # one job
+    return OneHot(list(cols), {c: sorted(row[c]) for c in cols})
 
 
 # --------------------------------------------------------------------------- standard scaler (F-2)

@@ -811,3 +811,63 @@ def e4_kernel_clustering(spark, d):
 def e3_compare_detectors(spark, d):
     """E-3: PCA 30 -> 80/10/10 -> grid search -> refit -> test metrics per detector."""
     return E.compare_detectors(spark, d)
+
+
+# =========================================================================== more feature / set operators
+
+@query("u2_stack_train_val", f"""
+WITH f AS ({O.EVENT_FLOWS}),
+{O.split_ctes('f', 'row_id', 'y', 0.2, 'a')},
+h AS (SELECT * EXCLUDE (split) FROM a_split WHERE split = 'test'),
+{O.split_ctes('h', 'row_id', 'y', 0.5, 'b')},
+parts AS (SELECT row_id, y, 'train' AS part FROM a_split WHERE split = 'train'
+          UNION ALL SELECT row_id, y, CASE WHEN split = 'train' THEN 'val' ELSE 'test' END FROM b_split)
+SELECT part, y, count(*) AS n FROM (
+  SELECT row_id, y, 'train_val' AS part FROM parts WHERE part IN ('train', 'val')
+  UNION ALL SELECT row_id, y, part FROM parts WHERE part = 'test')
+GROUP BY part, y""")
+def u2_stack_train_val(spark, d):
+    """X-3 twice (80/10/10) then U-2: train and validation stacked (as the LOF refit uses)."""
+    df = event_flows(spark, d).df.select("row_id", "y")
+    sp = S.three_way_split(df, 0.2, "row_id", "y")
+    tv = sp.where(F.col("split") == "train").unionByName(sp.where(F.col("split") == "val")) \
+        .withColumn("part", F.lit("train_val"))
+    te = sp.where(F.col("split") == "test").withColumn("part", F.lit("test"))
+    return tv.unionByName(te).groupBy("part", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _scale_all_sql() -> str:
+    num = ", ".join(f"({c} - avg({c}) OVER ()) * (1.0 / stddev_pop({c}) OVER ())" for c in _LI_NUM)
+    return f"""
+WITH f AS ({O.LINEITEM_FLOWS}),
+ls AS (SELECT list_sort(list_distinct(list(l_linestatus))) AS cats FROM f),
+sy AS (SELECT list_sort(list_distinct(list(ship_year))) AS cats FROM f),
+oh AS (SELECT row_id, [{num}] AS num,
+              list_concat(list_transform(ls.cats, lambda c: CASE WHEN f.l_linestatus = c THEN 1.0 ELSE 0.0 END),
+                          list_transform(sy.cats, lambda c: CASE WHEN f.ship_year = c THEN 1.0 ELSE 0.0 END)) AS cat
+       FROM f, ls, sy),
+e AS (SELECT row_id, i, cat[i] AS v FROM oh, range(1, (SELECT len(cat) FROM oh LIMIT 1) + 1) t(i)),
+st AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM e GROUP BY i),
+sc AS (SELECT e.row_id, list((e.v - st.m) * (CASE WHEN st.s > 0 THEN 1.0 / st.s ELSE 1.0 END) ORDER BY e.i) AS cat
+       FROM e JOIN st USING (i) GROUP BY e.row_id)
+SELECT oh.row_id, list_transform(list_concat(oh.num, sc.cat), lambda v: round(v, 6)) AS features
+FROM oh JOIN sc USING (row_id)"""
+
+
+@query("f3_scale_all_columns", _scale_all_sql())
+def f3_scale_all_columns(spark, d):
+    """F-3: scale scope 'all' -- numerics and one-hot columns standardised together (F-1, F-2, P-11)."""
+    ft = lineitem_flows(spark, d)
+    enc = fit_flow_encoder(ft.df, ft.numeric, ft.categorical, scale_scope="all")
+    return enc.transform(ft.df, keep=("row_id",)).select("row_id", r6_arr("features").alias("features"))
+
+
+@query("f4_pca_projection")
+def f4_pca_projection(spark, d):
+    """F-4 / F-5 / F-7: centred PCA (sign-fixed) fitted on a training split, applied to all rows.
+    Eigenvectors are not SQL-expressible: rows-only check; the unit tests compare with numpy."""
+    from ..operators.features import fit_pca
+    v = embedding_vectors(spark, d).df
+    sp = S.stratified_split(v, 0.25, "row_id", "y")
+    pca = fit_pca(sp.where(F.col("split") == "train"), "x", 4, 64)
+    return sp.select("row_id", "split", r6_arr(pca.project("x")).alias("pc"))

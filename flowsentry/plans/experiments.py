@@ -39,9 +39,9 @@ def run_centroid_anomaly(spark: SparkSession, sf_dir: str, val_frac: float = 0.2
     validation split -> strict-threshold evaluation (D-1, X-3, O-2, D-9, A-12, A-13, W-2)."""
     feats = event_features(spark, sf_dir)
     centroid = fit_centroid(normal_rows(feats), "features", 2)
-    scored = centroid.score(feats).select("row_id", "y", "score")
+    scored = centroid.score(feats).select("row_id", "y", "score").persist()  # split, sweep, eval, AUC reuse it
     split = stratified_split(scored, val_frac, "row_id", "y", SEED)
-    val = split.where(F.col("split") == "test")
+    val = split.where(F.col("split") == "test").persist()  # 3-4 passes of the exact quantile search + sweep
     sweep = M.threshold_sweep(val, "score", "y")
     best = sweep.where(F.col("best") == 1).collect()[0]
     target = scored if eval_split == "all" else split.where(F.col("split") == eval_split)
@@ -60,7 +60,7 @@ def run_centroid_anomaly(spark: SparkSession, sf_dir: str, val_frac: float = 0.2
 def _flow_split(spark: SparkSession, sf_dir: str, test_frac: float = 0.2):
     from ..sources.standins import lineitem_flows
     ft = lineitem_flows(spark, sf_dir)
-    sp = stratified_split(ft.df, test_frac, "row_id", "y", SEED)
+    sp = stratified_split(ft.df, test_frac, "row_id", "y", SEED).persist()  # reused by every fit / eval job
     return ft, sp.where(F.col("split") == "train").drop("split"), sp.where(F.col("split") == "test").drop("split")
 
 

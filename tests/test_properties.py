@@ -143,3 +143,20 @@ def test_threshold_sweep_first_best(spark):
     best = [r for r in sw if r["best"]][0]
     assert best["f1"] == max(r["f1"] for r in sw)
     assert best["pct"] == min(r["pct"] for r in sw if r["f1"] == best["f1"])
+
+
+def test_pca_matches_numpy_with_sign_rule(spark):
+    from flowsentry.operators.features import fit_pca
+    rng = np.random.default_rng(7)
+    X = rng.normal(size=(300, 6)) @ rng.normal(size=(6, 6))
+    df = spark.createDataFrame([(i, [float(v) for v in X[i]]) for i in range(300)], "row_id long, x array<double>")
+    fit = fit_pca(df, "x", 3, 6)
+    Xc = X - X.mean(0)
+    _, s, Vt = np.linalg.svd(Xc, full_matrices=False)
+    for j in range(3):
+        v = Vt[j] * (1 if Vt[j][np.argmax(np.abs(Vt[j]))] > 0 else -1)
+        assert np.allclose(fit.components[j], v, atol=1e-8)
+        assert fit.explained_variance[j] == pytest.approx(s[j] ** 2 / (len(X) - 1), rel=1e-8)
+    proj = np.array([r["pc"] for r in df.select("row_id", fit.project("x").alias("pc")).orderBy("row_id").collect()])
+    assert np.allclose(proj, Xc @ np.array(fit.components).T, atol=1e-9)
+    assert fit_pca(df, "x", 6, 6) is None  # F-5 bypass when k is out of range
