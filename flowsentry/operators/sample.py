@@ -93,7 +93,7 @@ def assign_segments(df: DataFrame, key: str, strata: str | None, cuts: Mapping[s
         aggs = []
         keys = list(bands)
         for i, (s, j) in enumerate(keys):
-            lo, hi, _c = bands[(s, j)]
+            lo, hi, _c = bands[(s, j)][:3]
             in_s = F.col("_s") == F.lit(s)
             aggs += [F.count_if(in_s & (F.col("_u") < F.lit(lo))).alias(f"b{i}"),
                      F.count_if(in_s & (F.col("_u") >= F.lit(lo)) & (F.col("_u") <= F.lit(hi))).alias(f"c{i}")]

@@ -160,3 +160,17 @@ def test_pca_matches_numpy_with_sign_rule(spark):
     proj = np.array([r["pc"] for r in df.select("row_id", fit.project("x").alias("pc")).orderBy("row_id").collect()])
     assert np.allclose(proj, Xc @ np.array(fit.components).T, atol=1e-9)
     assert fit_pca(df, "x", 6, 6) is None  # F-5 bypass when k is out of range
+
+
+def test_split_band_miss_is_widened_and_exact(spark):
+    """Force the band-miss path: tiny classes make the first band guess fail for some cuts."""
+    from flowsentry.operators import sample as S2
+    old = S2._SIGMAS
+    S2._SIGMAS = 0.0  # zero-width first guess -> misses -> widened -> re-verified
+    try:
+        df = spark.range(400).select(F.col("id").alias("row_id"), (F.col("id") % 5).alias("label"))
+        got = {r["row_id"]: r["split"] for r in S2.stratified_split(df, 0.3, "row_id", "label").collect()}
+    finally:
+        S2._SIGMAS = old
+    ref = {r["row_id"]: r["split"] for r in S2.stratified_split(df, 0.3, "row_id", "label").collect()}
+    assert got == ref
