@@ -846,12 +846,14 @@ oh AS (SELECT row_id, [{num}] AS num,
               list_concat(list_transform(ls.cats, lambda c: CASE WHEN f.l_linestatus = c THEN 1.0 ELSE 0.0 END),
                           list_transform(sy.cats, lambda c: CASE WHEN f.ship_year = c THEN 1.0 ELSE 0.0 END)) AS cat
        FROM f, ls, sy),
-e AS (SELECT row_id, i, cat[i] AS v FROM oh, range(1, (SELECT len(cat) FROM oh LIMIT 1) + 1) t(i)),
+e AS (SELECT i, cat[i] AS v FROM oh, range(1, (SELECT len(cat) FROM oh LIMIT 1) + 1) t(i)),
 st AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM e GROUP BY i),
-sc AS (SELECT e.row_id, list((e.v - st.m) * (CASE WHEN st.s > 0 THEN 1.0 / st.s ELSE 1.0 END) ORDER BY e.i) AS cat
-       FROM e JOIN st USING (i) GROUP BY e.row_id)
-SELECT oh.row_id, list_transform(list_concat(oh.num, sc.cat), lambda v: round(v, 6)) AS features
-FROM oh JOIN sc USING (row_id)"""
+sl AS (SELECT list(m ORDER BY i) AS m, list(CASE WHEN s > 0 THEN 1.0 / s ELSE 1.0 END ORDER BY i) AS k FROM st)
+SELECT oh.row_id,
+       list_transform(list_concat(oh.num, list_transform(range(1, len(oh.cat) + 1),
+                                                         lambda i: (oh.cat[i] - sl.m[i]) * sl.k[i])),
+                      lambda v: round(v, 6)) AS features
+FROM oh, sl"""
 
 
 @query("f3_scale_all_columns", _scale_all_sql())
