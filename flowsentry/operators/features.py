@@ -148,16 +148,6 @@ class PCAFit:
         centred = F.zip_with(F.col(arr) if isinstance(arr, str) else arr, lit_vector(self.mean), lambda a, m: a - m)
         return matvec(self.components, centred)
 
-    def reconstruct(self, pcs):
-        """D-7: back-projection mean + pcs . components."""
-        d = len(self.mean)
-        k = len(self.components)
-        col = F.col(pcs) if isinstance(pcs, str) else pcs
-        return F.array(*[
-            F.lit(self.mean[j]) + sum((F.element_at(col, i + 1) * F.lit(self.components[i][j]) for i in range(k)),
-                                      F.lit(0.0))
-            for j in range(d)])
-
 
 def fit_pca(df: DataFrame, arr: str, k: int, width: int | None = None) -> PCAFit | None:
     """Centred PCA with scikit-learn's sign rule (largest |loading| positive).

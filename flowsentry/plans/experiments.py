@@ -221,9 +221,12 @@ def grid_search_detectors(train: DataFrame, val: DataFrame, supervised: bool = T
     iso_val = iso.score(val, "x").persist()
     for c in ISO_GRID:
         record("isolation_forest", {"contamination": c}, lambda c=c: metric(iso_val, c))
+    maps = {}  # the kernel map depends on (gamma, kernel) only: fit it once per pair, reuse over nu
     for nu, g, k in OCSVM_GRID:
         def oc(nu=nu, g=g, k=k):
-            m = FR.fit_one_class_svm(train, "x", nu=nu, kernel=k, gamma=g, steps=ocsvm_steps)
+            if (g, k) not in maps:
+                maps[(g, k)] = FR.kernel_features(train, "x", k, g)
+            m = FR.fit_one_class_svm(train, "x", nu=nu, kernel=k, gamma=g, steps=ocsvm_steps, features=maps[(g, k)])
             return metric(m.score(val, "x"), nu)
         record("oneclass_svm", {"nu": nu, "gamma": g, "kernel": k}, oc)
     for nn in sorted({n for n, _ in LOF_GRID}):

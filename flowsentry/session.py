@@ -49,10 +49,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only a local-mode session without one gets a private temp folder.
     """
     sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
