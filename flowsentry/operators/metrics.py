@@ -60,37 +60,32 @@ def binary_metrics(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame
 def report_from_confusion(conf: DataFrame) -> DataFrame:
     """A-14: per-class P/R/F1/support, then accuracy, macro and weighted rows.
 
-    ``conf`` is ``(label, pred, n)``; it is tiny (classes^2 rows), so the
-    windows below run on a bounded input.
+    ``conf`` is ``(label, pred, n)``: one aggregation over the predictions,
+    bounded by classes^2 rows.  It is collected once and the report is
+    derived from it, so the (possibly huge) prediction table is read once.
     """
-    lab = conf.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("support"))
-    prd = conf.groupBy(F.col("pred").alias("cls")).agg(F.sum("n").alias("predicted"))
-    hit = conf.where(F.col("label") == F.col("pred")).select(F.col("label").alias("cls"), F.col("n").alias("tp"))
-    per = (lab.join(prd, "cls", "full").join(hit, "cls", "left")
-           .select(F.col("cls").cast("string").alias("row"),
-                   F.coalesce("support", F.lit(0)).cast("bigint").alias("support"),
-                   F.coalesce("predicted", F.lit(0)).cast("bigint").alias("predicted"),
-                   F.coalesce("tp", F.lit(0)).cast("bigint").alias("tp")))
-    per = per.select(
-        "row", "support",
-        safe_ratio("tp", "predicted").alias("precision"),
-        safe_ratio("tp", "support").alias("recall"),
-        safe_ratio(2 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1"),
-        "tp")
-    tot = per.agg(F.sum("support").alias("N"), F.sum("tp").alias("T"), F.count(F.lit(1)).alias("K"),
-                  F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-                  F.sum(F.col("precision") * F.col("support")).alias("wp"),
-                  F.sum(F.col("recall") * F.col("support")).alias("wr"),
-                  F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    acc = tot.select(F.lit("accuracy").alias("row"), F.col("N").alias("support"),
-                     safe_ratio("T", "N").alias("precision"), safe_ratio("T", "N").alias("recall"),
-                     safe_ratio("T", "N").alias("f1"))
-    macro = tot.select(F.lit("macro avg").alias("row"), F.col("N").alias("support"),
-                       F.col("mp").alias("precision"), F.col("mr").alias("recall"), F.col("mf").alias("f1"))
-    weighted = tot.select(F.lit("weighted avg").alias("row"), F.col("N").alias("support"),
-                          safe_ratio("wp", "N").alias("precision"), safe_ratio("wr", "N").alias("recall"),
-                          safe_ratio("wf", "N").alias("f1"))
-    return per.drop("tp").unionByName(acc).unionByName(macro).unionByName(weighted)
+    cells = [(r["label"], r["pred"], int(r["n"])) for r in conf.collect()]
+    classes = sorted({c for lab, prd, _ in cells for c in (lab, prd) if c is not None}, key=lambda v: (str(type(v)), v))
+    support = {c: sum(n for lab, _, n in cells if lab == c) for c in classes}
+    predicted = {c: sum(n for _, prd, n in cells if prd == c) for c in classes}
+    tp = {c: sum(n for lab, prd, n in cells if lab == c and prd == c) for c in classes}
+
+    def div(a, b):
+        return a / b if b else 0.0
+
+    rows = []
+    for c in classes:
+        rows.append((str(c), support[c], div(tp[c], predicted[c]), div(tp[c], support[c]),
+                     div(2 * tp[c], predicted[c] + support[c])))
+    total = sum(support.values())
+    hits = sum(tp.values())
+    k = len(rows)
+    acc = div(hits, total)
+    rows.append(("accuracy", total, acc, acc, acc))
+    rows.append(("macro avg", total, *(div(sum(r[i] for r in rows[:k]), k) for i in (2, 3, 4))))
+    rows.append(("weighted avg", total, *(div(sum(r[i] * r[1] for r in rows[:k]), total) for i in (2, 3, 4))))
+    return conf.sparkSession.createDataFrame(rows, "row string, support bigint, precision double, recall double, "
+                                                   "f1 double")
 
 
 def classification_report(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
