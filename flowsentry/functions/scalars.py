@@ -69,3 +69,13 @@ def hash_key(key, seed: int) -> Column:
 def hash_unit(hex_col) -> Column:
     """Map an md5 hex string to [0, 1), monotone in the string order."""
     return F.conv(F.substring(col_(hex_col), 1, _HASH_HEX), 16, 10).cast("double") / F.lit(_HASH_SPAN)
+
+
+# Largest side (rows) joined with a broadcast hint; beyond it the join is left to a shuffle.
+BROADCAST_ROW_LIMIT = 200_000
+
+
+def broadcast_if_small(df, n_rows: int, limit: int = BROADCAST_ROW_LIMIT):
+    """Broadcast hint only for a side whose row count is known and small."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if n_rows <= limit else df

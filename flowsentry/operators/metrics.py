@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bce_with_logits, col_, safe_ratio
+from ..functions.scalars import bce_with_logits, broadcast_if_small, col_, safe_ratio
 from .stats import exact_quantiles
 
 # Percentile grid of the threshold sweep: linspace(80, 99.5, 40).
@@ -135,7 +135,7 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str], desce
     ordered = o.desc() if descending else o.asc()
     w = Window.partitionBy("_bucket").orderBy(ordered).rowsBetween(Window.unboundedPreceding, 0)
     inner = b.select("*", *[F.sum(c).over(w).alias(f"_r_{c}") for c in sum_cols])
-    joined = inner.join(F.broadcast(offs), "_bucket")
+    joined = inner.join(broadcast_if_small(offs, buckets), "_bucket")  # <= buckets rows
     return joined.select(*df.columns, *[(F.col(f"_r_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}")
                                         for c in sum_cols])
 
@@ -212,7 +212,8 @@ def cluster_majority(df: DataFrame, cluster: str = "cluster", y: str = "y") -> D
 def clusters_to_prediction(df: DataFrame, cluster: str = "cluster", y: str = "y", pred: str = "pred") -> DataFrame:
     """G-7 / J-3: map each row's cluster to its majority class (broadcast of k rows)."""
     m = cluster_majority(df, cluster, y).select(cluster, F.col("mapped").alias(pred))
-    return df.join(F.broadcast(m), cluster, "left")
+    k = m.count()  # one row per cluster
+    return df.join(broadcast_if_small(m, k), cluster, "left")
 
 
 def col_list(cols):

@@ -22,7 +22,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_key, hash_unit
+from ..functions.scalars import broadcast_if_small, hash_key, hash_unit
 
 _NULL_STRATUM = "\u0000null"
 _SIGMAS = 7.0
@@ -208,6 +208,7 @@ def stratum_ordinal(df: DataFrame, key: str, strata: str | None = None, seed: in
     offs = sizes.select("_s", "_b", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
     w = Window.partitionBy("_s", "_b").orderBy("_h", key)
     ranked = base.withColumn("_rn", F.row_number().over(w))
-    return (ranked.join(F.broadcast(offs), ["_s", "_b"])
+    n_offs = sum(nb.values())  # one row per (class, bucket): grows with N / rows_per_bucket, so checked
+    return (ranked.join(broadcast_if_small(offs, n_offs), ["_s", "_b"])
             .withColumn(out, F.col("_off") + F.col("_rn") - 1)
             .drop("_s", "_h", "_b", "_rn", "_off"))

@@ -229,8 +229,9 @@ w AS (SELECT y, CAST(sum(n_c) OVER () AS DOUBLE) / (count(*) OVER () * n_c) AS w
 SELECT f.row_id, f.y, round(w.weight, 6) AS weight FROM f JOIN w USING (y)""")
 def j2_class_weight_join(spark, d):
     df = event_flows(spark, d).df
-    w = A.class_weights(df, "y").select("y", "weight")  # one row per class: bounded
-    return df.join(F.broadcast(w), "y").select("row_id", "y", r6("weight").alias("weight"))
+    from ..functions.scalars import broadcast_if_small
+    w = A.class_weights(df, "y").select("y", "weight")
+    return df.join(broadcast_if_small(w, w.count()), "y").select("row_id", "y", r6("weight").alias("weight"))
 
 
 # =========================================================================== set ops + sampling
