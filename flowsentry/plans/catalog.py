@@ -874,3 +874,23 @@ def f4_pca_projection(spark, d):
     sp = S.stratified_split(v, 0.25, "row_id", "y")
     pca = fit_pca(sp.where(F.col("split") == "train"), "x", 4, 64)
     return sp.select("row_id", "split", r6_arr(pca.project("x")).alias("pc"))
+
+
+@query("p3_project_strict_cast", f"""
+SELECT row_id, y, CAST(value AS DOUBLE) AS value FROM ({O.EVENT_FLOWS})""")
+def p3_project_strict_cast(spark, d):
+    """P-2 / P-3 / P-5: drop the label, keep the binary target and a strict numeric cast
+    (under ANSI a bad value fails the job, as ``astype(float)`` does)."""
+    from ..functions.scalars import strict_double
+    df = event_flows(spark, d).df.drop("label")
+    return df.select("row_id", "y", strict_double("value").alias("value"))
+
+
+@query("a15_cluster_majority", _kmeans_step_sql() + """,
+lab AS (SELECT best.cluster, v.y FROM best JOIN am v ON v.row_id = best.i)
+SELECT cluster, CAST(round_even(avg(y), 0) AS INTEGER) AS mapped, count(*) AS n FROM lab GROUP BY cluster""")
+def a15_cluster_majority(spark, d):
+    """A-15: cluster -> class by the half-to-even rounded mean label (0.5 -> 0), on the G-6 step clusters."""
+    fmap = G.build_feature_map(4, 1, "zz", "full")
+    st = G.kernel_kmeans_step(G.kernel_vectors(_angles(spark, d, 4), fmap), 2)
+    return M.cluster_majority(st, "cluster", "y")
