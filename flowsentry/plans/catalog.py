@@ -7,7 +7,6 @@ SQL-expressible; doubles are rounded to 6 digits on both sides.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
