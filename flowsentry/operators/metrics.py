@@ -112,22 +112,34 @@ def distinct_score_counts(df: DataFrame, score: str, y: str = "y") -> DataFrame:
 
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str], descending: bool = False,
-                   buckets: int = 64) -> DataFrame:
+                   rows_per_bucket: int = 1_000_000, min_buckets: int = 64, max_buckets: int = 100_000) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` along ``order_col`` (distinct values).
 
-    Distributed prefix sum: range buckets from a sketch, in-bucket window
-    sums, plus bucket offsets computed over a ``buckets``-row table.
+    Distributed prefix sum: range buckets from a sketch (their number grows
+    with the input so one bucket holds ~``rows_per_bucket`` rows), in-bucket
+    window sums, plus bucket offsets computed over a (buckets)-row table.
     """
+    import math as _math
+
+    n = df.count()
+    buckets = int(min(max(min_buckets, _math.ceil(n / rows_per_bucket)), max_buckets))
     qs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(order_col, qs, 10_000).alias("q")).collect()[0]
+    acc = max(10_000, 10 * buckets)
+    row = df.agg(F.percentile_approx(order_col, qs, acc).alias("q")).collect()[0]
     edges = sorted(set(float(v) for v in (row["q"] or [])))
     o = F.col(order_col)
-    bucket = F.lit(0)
-    for e in edges:
-        bucket = bucket + F.when(o > F.lit(e), 1).otherwise(0)
+    if len(edges) <= min_buckets:
+        bucket = F.lit(0)
+        for e in edges:
+            bucket = bucket + F.when(o > F.lit(e), 1).otherwise(0)
+        b = df.withColumn("_bucket", bucket)
+    else:  # many edges: JVM binary search instead of one comparison per edge
+        from pyspark.ml.feature import Bucketizer
+        b = Bucketizer(splits=[-float("inf")] + edges + [float("inf")], inputCol=order_col,
+                       outputCol="_bk", handleInvalid="keep").transform(df)
+        b = b.withColumn("_bucket", F.col("_bk").cast("int")).drop("_bk")
     if descending:
-        bucket = F.lit(len(edges)) - bucket
-    b = df.withColumn("_bucket", bucket)
+        b = b.withColumn("_bucket", F.lit(len(edges)) - F.col("_bucket"))
     tot = b.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
     offs = tot.select("_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
@@ -135,7 +147,7 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str], desce
     ordered = o.desc() if descending else o.asc()
     w = Window.partitionBy("_bucket").orderBy(ordered).rowsBetween(Window.unboundedPreceding, 0)
     inner = b.select("*", *[F.sum(c).over(w).alias(f"_r_{c}") for c in sum_cols])
-    joined = inner.join(broadcast_if_small(offs, buckets), "_bucket")  # <= buckets rows
+    joined = inner.join(broadcast_if_small(offs, buckets), "_bucket")
     return joined.select(*df.columns, *[(F.col(f"_r_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}")
                                         for c in sum_cols])
 

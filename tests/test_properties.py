@@ -174,3 +174,17 @@ def test_split_band_miss_is_widened_and_exact(spark):
         S2._SIGMAS = old
     ref = {r["row_id"]: r["split"] for r in S2.stratified_split(df, 0.3, "row_id", "label").collect()}
     assert got == ref
+
+
+def test_running_totals_many_buckets_equal_cumsum(spark):
+    """Force the Bucketizer path (hundreds of buckets) and compare with a numpy cumulative sum."""
+    rng = np.random.default_rng(8)
+    vals = np.unique(np.round(rng.normal(size=3000), 4))
+    df = spark.createDataFrame([(float(v), int(i % 3)) for i, v in enumerate(vals)], "score double, w int")
+    for desc in (False, True):
+        out = M.running_totals(df, "score", ["w"], descending=desc, rows_per_bucket=10, max_buckets=500)
+        got = {r["score"]: r["cum_w"] for r in out.collect()}
+        order = np.argsort(-vals if desc else vals, kind="stable")
+        cum = np.cumsum(np.array([i % 3 for i in range(len(vals))])[order])
+        for pos, idx in enumerate(order):
+            assert got[float(vals[idx])] == cum[pos]
