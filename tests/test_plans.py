@@ -32,3 +32,14 @@ def test_no_all_pairs_join(spark, name):
     plan = _plan(QUERIES[name](spark, SF_SMALL))
     for op in FORBIDDEN:
         assert op not in plan, f"{name} plans a {op}"
+
+
+def test_broadcast_hint_only_below_the_row_limit(spark):
+    from flowsentry.functions.scalars import broadcast_if_small
+
+    big = spark.range(100).withColumnRenamed("id", "k")
+    small = spark.range(5).withColumnRenamed("id", "k")
+    hinted = big.join(broadcast_if_small(small, 5, limit=10), "k")
+    plain = big.join(broadcast_if_small(small, 50, limit=10), "k")
+    assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in plain._jdf.queryExecution().analyzed().toString().lower()
