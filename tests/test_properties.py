@@ -188,3 +188,24 @@ def test_running_totals_many_buckets_equal_cumsum(spark):
         cum = np.cumsum(np.array([i % 3 for i in range(len(vals))])[order])
         for pos, idx in enumerate(order):
             assert got[float(vals[idx])] == cum[pos]
+
+
+def test_exact_quantiles_ignore_null_and_nan(spark):
+    rows = [(1.0,), (None,), (float("nan"),), (3.0,), (2.0,), (10.0,)]
+    df = spark.createDataFrame(rows, "v double")
+    got = A.exact_quantiles(df, "v", [0.0, 0.5, 0.9, 1.0])
+    assert got == pytest.approx([_np_quantile([1, 2, 3, 10], q) for q in (0.0, 0.5, 0.9, 1.0)])
+
+
+def test_contamination_sweep_matches_brute_force(spark):
+    rng = np.random.default_rng(9)
+    ys, ss = rng.integers(0, 2, 700), rng.normal(size=700)
+    df = spark.createDataFrame([(int(y), float(s)) for y, s in zip(ys, ss)], "y int, score double")
+    grid = [0.01, 0.05, 0.1, 0.2]
+    got = M.contamination_sweep(df, "score", "y", grid).collect()
+    for r, c in zip(sorted(got, key=lambda r: r["contamination"]), grid):
+        cut = _np_quantile(ss, 1.0 - c)
+        pred = ss >= cut
+        tp = int((pred & (ys == 1)).sum()); fp = int((pred & (ys == 0)).sum()); P = int((ys == 1).sum())
+        assert r["f1"] == pytest.approx(2 * tp / (tp + fp + P))
+    assert sum(r["best"] for r in got) == 1
