@@ -893,3 +893,26 @@ def a15_cluster_majority(spark, d):
     fmap = G.build_feature_map(4, 1, "zz", "full")
     st = G.kernel_kmeans_step(G.kernel_vectors(_angles(spark, d, 4), fmap), 2)
     return M.cluster_majority(st, "cluster", "y")
+
+
+@query("d2_centre_distance_scoring", f"""
+WITH v AS ({O.EMBEDDING_VECTORS}),
+e AS (SELECT CAST(label AS INTEGER) AS c, i, avg(x[i]) AS m FROM v, range(1, 65) t(i) GROUP BY ALL),
+cs AS (SELECT c, list(m ORDER BY i) AS centre FROM e GROUP BY c),
+dd AS (SELECT v.row_id, v.y, cs.c, list_distance(v.x, cs.centre) AS d FROM v, cs),
+best AS (SELECT row_id, y, min(d) AS score, arg_min(c, d) AS cluster FROM dd GROUP BY row_id, y),
+q AS (SELECT quantile_cont(score, CAST('0.9' AS DOUBLE)) AS cut FROM best)
+SELECT row_id, y, round(score, 6) AS score, cluster, CASE WHEN score >= cut THEN 1 ELSE 0 END AS pred
+FROM best, q""")
+def d2_centre_distance_scoring(spark, d):
+    """D-2 scoring given centres (J-4 + O-3 + A-9): distance to the nearest of the per-label
+    mean vectors, nearest index, 10 % contamination cut.  The k-means fit itself is rows-only."""
+    from ..functions.arrays import collect_array_sums
+    from ..operators.detect import KMeansDistance
+    v = embedding_vectors(spark, d).df.withColumn("c", F.col("label").cast("int"))
+    sums = collect_array_sums(v, "x", "c")  # one row per label: bounded
+    k = max(sums) + 1
+    centres = [[s / sums[c][1] for s in sums[c][0]] for c in range(k)]
+    scored = KMeansDistance(centres).score(v, "x")
+    cut = A.contamination_cut(scored, "score", 0.1)
+    return cut.select("row_id", "y", r6("score").alias("score"), "cluster", "pred")
