@@ -64,8 +64,7 @@ class Forest:
     def search(self, q: np.ndarray, visits: int) -> np.ndarray:
         """Leaves of a query in the order of the shared queue."""
         margin = np.append(q, 0.0) @ self.planes.T - self.offsets
-        heap = [(0.0, i, r) for i, r in enumerate(self.roots)]     # (negated smallest margin on the way, order, node)
-        heap = [(-np.inf, i, r) for _, i, r in heap]
+        heap = [(-np.inf, i, r) for i, r in enumerate(self.roots)]      # (largest margin crossed, order, node)
         heapq.heapify(heap)
         order, found = len(heap), []
         while heap and len(found) < visits:
@@ -142,11 +141,15 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 10, leaves: int = 64, visits: int = 52,
-            sample: int = 20000, block: int = 4096) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row whose id is divisible by ``every``."""
+            sample: int = 20000, leaf_rows: int = 100, block: int = 4096) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row whose id is divisible by ``every``.
+
+    A tree has ``leaves`` leaves, fewer on a table too small to give each about ``leaf_rows`` rows.
+    """
     spark = vectors.sparkSession
     rows = scratch(usable(vectors), "ann-rows")
     n = rows.count()
+    leaves = max(1, min(leaves, n // leaf_rows))
     share = min(1.0, sample / max(n, 1))
     drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
     fit = drawn.select("embedding").toArrow().column(0).combine_chunks()

@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, features_kept: i
     x = np.array([np.isin(keys, r, assume_unique=True) for _, r in rows], np.float32)
     w, b = np.zeros(len(keys), np.float32), np.float32(-1.0)
     is_voter = np.isin(keys, voters)
-    penalty = np.where(is_voter, 1e-4, 3e-2).astype(np.float32)      # a common word is weak evidence
+    penalty = np.where(is_voter, 1e-4, 1e-1).astype(np.float32)      # a common word is weak evidence
     weigh = np.where(post > 0.5, 0.5 / max((post > 0.5).mean(), 1e-3), 0.5 / max((post <= 0.5).mean(), 1e-3))
     weigh = (weigh / weigh.sum()).astype(np.float32)
     target = post.astype(np.float32)
@@ -203,12 +203,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, features_kept: i
         b -= np.float32(2.0 * d.sum())
     # calibration: one-dimensional logistic fit to the labels of the sample
     f = (x @ w + b).astype(float)
-    scale, shift = 1.0, 0.0
-    for _ in range(400):
-        p = 1 / (1 + np.exp(-np.clip(scale * f + shift, -30, 30)))
-        d = (p - y) * np.where(y, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)) / len(y)
-        scale -= 0.3 * ((d * f).sum() + 1e-3 * (scale - 1))
-        shift -= 0.3 * (d.sum() + 1e-3 * shift)
+    design = np.column_stack([f, np.ones(len(f))])
+    line = np.array([1.0, 0.0])
+    side = np.where(y, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)) / len(y)
+    for _ in range(50):     # Newton steps, held near the start by a small penalty
+        p = 1 / (1 + np.exp(-np.clip(design @ line, -30, 30)))
+        gradient = design.T @ ((p - y) * side) + 1e-3 * (line - [1.0, 0.0])
+        curve = (design * (p * (1 - p) * side)[:, None]).T @ design + 1e-3 * np.eye(2)
+        step = np.linalg.solve(curve, gradient)
+        line = line - step / max(1.0, np.abs(step).max())
+    scale, shift = line
     keep = np.abs(w) > 1e-4
     keep |= is_voter
     return Model(keys[keep], w[keep].astype(float), is_voter[keep], accuracy, float(b), float(max(scale, 0.1)), float(shift))
