@@ -200,16 +200,17 @@ def identify(docs: DataFrame, sample: int = 3000) -> DataFrame:
         run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
-def keep_identified(docs: DataFrame, sample: int = 3000) -> DataFrame:
+def keep_identified(docs: DataFrame, sample: int = 3000, sure: float = 0.95) -> DataFrame:
     """Rows with a recognised language, all columns: those without any letter go, and those whose
-    declared ``lang`` a clear prediction (not ambiguous) contradicts."""
+    declared ``lang`` a clear prediction (not ambiguous, score at least ``sure``) contradicts."""
     from .common import keep_rows
 
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
 
     def test(batch):
-        lang, _, vague = predictor(shared.value)(batch.column(batch.schema.get_field_index("text")))
+        lang, score, vague = predictor(shared.value)(batch.column(batch.schema.get_field_index("text")))
         said = batch.column(batch.schema.get_field_index("lang")).to_pylist()
-        return [p != UNDETERMINED and (v or s is None or s == p) for p, v, s in zip(lang, vague, said)]
+        return [p != UNDETERMINED and (v or x < sure or s is None or s == p)
+                for p, x, v, s in zip(lang, score, vague, said)]
 
     return keep_rows(docs, test)
