@@ -10,9 +10,9 @@
    most buckets is the centre.  Centres are confirmed against the members on the full
    shingle sets of their whole texts.
 4. Confirmed links are contracted to components by alternating large and small stars.
-   A bucket whose members are all in one component is done; in the others the next members
-   become centres for what is still apart (1, 1, 2, 4, ... centres per round) until every
-   pair of a bucket was compared or is connected.  No bucket is capped.
+   A bucket whose members are all in one component is done.  The members of the others are
+   compared across components by an exact prefix-filter join, so a star loses no link: every
+   pair that shares a bucket is compared or connected.  No bucket is capped.
 
 With r rows and b bands a pair of similarity s shares a bucket with probability
 1 - (1 - s^r)^b; the defaults (6, 64) miss a pair at exactly 0.75 with 4e-6.
@@ -181,6 +181,44 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, k: int = K_WORDS)
     return joined.mapInArrow(run, "a long, b long")
 
 
+def prefix_pairs(texts: DataFrame, nodes: DataFrame, percent: int, k: int = K_WORDS) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of different components among ``nodes``, without loss.
+
+    Prefix filter: with every set ordered by how rare its shingles are, two sets of the wanted
+    similarity share a shingle among their first ``n - ceil(percent * n / 100) + 1``.  A passage
+    that many documents share is common, hence late in the order, and makes no pairs.  Within a
+    shingle's bucket only members outside its largest component meet the others, so a large
+    group that is connected already is not paired with itself.
+    """
+    def run(batches):
+        for batch in batches:
+            for i, raw, off in text_chunks(batch.column(1)):
+                n, shingles, _ = chunk_sets(raw, off, k)
+                at = pa.array(np.repeat(np.arange(i, i + len(n)), n))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(2).take(at), pa.array(np.repeat(n, n)),
+                     pa.array(shingles.view(np.int64))], ["node", "comp", "size", "sh"])
+
+    sets = scratch(texts.join(nodes, "node").select("node", "text", "comp")
+                   .mapInArrow(run, "node long, comp long, size long, sh long"), "dup-sets")
+    often = sets.groupBy("sh").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "sh"))
+    prefix = scratch(sets.join(often, "sh").withColumn("place", place)
+                     .where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("df") > 1))
+                     .drop("df"), "dup-prefix")
+    by_comp = prefix.groupBy("sh", "comp").agg(F.count(F.lit(1)).alias("n"))
+    largest = (by_comp.groupBy("sh").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("parts"))
+               .where("parts > 1").select("sh", "main"))
+    mixed = prefix.join(largest, "sh")
+    a, b = mixed.where("comp <> main").alias("a"), prefix.alias("b")
+    sa, sb = F.col("a.size"), F.col("b.size")
+    rest = F.least(sa - F.col("a.place"), sb - F.col("b.place")) + 1        # all that the two can still share
+    return (a.join(b, (F.col("a.sh") == F.col("b.sh")) & (F.col("a.comp") != F.col("b.comp"))
+                   & (F.least(sa, sb) * 100 >= F.greatest(sa, sb) * percent)
+                   & (rest * (100 + percent) >= (sa + sb) * percent))
+            .select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct())
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, comp`` (smallest node of its component) by alternating large and small stars.
 
@@ -243,33 +281,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands:
     links = scratch(confirm(pairs, texts, percent, k), "dup-links")
     comps = scratch(components(links), "dup-comps")
 
-    done = 1
-    while True:
-        label = F.coalesce("comp", "node")
-        tagged = buckets.join(comps, "node", "left").select("key", "node", "size", label.alias("comp"))
-        apart = (tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                           F.count(F.lit(1)).alias("members"))
-                 .where((F.col("lo") != F.col("hi")) & (F.col("members") > done + 1)).select("key"))
-        order = Window.partitionBy("key").orderBy(F.desc("weight"), F.desc("node"))
-        rest = scratch(tagged.join(apart, "key").join(weight, "node")
-                       .withColumn("place", F.row_number().over(order) - 1), "dup-rest")
-        if rest.isEmpty():
-            drop_scratch(rest)
-            break
-        step = done                                     # centres so far: done; the next round doubles them
-        left = rest.where((F.col("place") >= done) & (F.col("place") < done + step))
-        pairs = (left.select("key", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("comp").alias("ca"),
-                             F.col("place").alias("pa"))
-                 .join(rest.select("key", F.col("node").alias("b"), F.col("size").alias("sb"),
-                                   F.col("comp").alias("cb"), F.col("place").alias("pb")), "key")
-                 .where("pb > pa and ca <> cb").where(close).select("a", "b").distinct())
-        more = scratch(confirm(pairs, texts, percent, k), "dup-links")
-        if not more.isEmpty():
-            links = scratch(links.union(more), "dup-links")
-            old, comps = comps, scratch(components(links), "dup-comps")
-            drop_scratch(old)
-        drop_scratch(rest)
-        done += step
+    # buckets that still hold several components: their members meet once more, exactly
+    tagged = buckets.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    apart = (tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .where("lo <> hi").select("key"))
+    open_nodes = scratch(tagged.join(apart, "key").select("node", "comp").distinct(), "dup-open")
+    if not open_nodes.isEmpty():
+        pairs = prefix_pairs(texts, open_nodes, percent, k)
+        links = links.union(scratch(confirm(pairs, texts, percent, k), "dup-links"))
+        comps = scratch(components(links), "dup-comps")
     drop_scratch(buckets, texts)
 
     # component id: smallest doc_id over all classes of the component
