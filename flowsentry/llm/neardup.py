@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,35 +226,27 @@ def components(links: DataFrame) -> DataFrame:
     Minima are partial aggregates and the joins can be split by the optimiser, so a hub with
     a great many links is not one task's work.
     """
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        if large:
-            both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-            out = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-            low = down.groupBy("u").agg(F.min("v").alias("m"))
-            out = (down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                   .union(low.select("u", F.col("m").alias("v"))))
-        return out.where("u <> v").distinct()
-
-    def state(edges: DataFrame):
-        r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
-
-    edges = scratch(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
-                    .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    was = state(edges)
-    while was[0]:
-        after = scratch(star(star(edges, True), False), "cc")
-        now = state(after)
-        drop_scratch(edges)
-        edges = after
-        if now == was:
-            break
-        was = now
-    return edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp").union(
-        edges.select("v", "v").distinct().toDF("node", "comp")).groupBy("node").agg(F.min("comp").alias("comp"))
+    def larger(edges: DataFrame) -> DataFrame:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+
+    def smaller(edges: DataFrame) -> DataFrame:
+        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        return (edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                .union(low.select("u", F.col("m").alias("v")))).where("u <> v").distinct()
+
+    edges = scratch(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    # done when every node has one edge and no root has any: then each edge leads to its root
+    while not edges.join(edges.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty():
+        before, edges = edges, scratch(smaller(larger(edges)), "cc")
+        drop_scratch(before)
+    rooted = edges.groupBy("u").agg(F.min("v").alias("comp"), F.max("v").alias("other"))
+    if not rooted.where("comp <> other").isEmpty():
+        again = scratch(smaller(larger(edges)), "cc")
+        return components(again.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    return (edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            .union(edges.select("v", "v").distinct().toDF("node", "comp")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands: int = BANDS,
@@ -264,14 +257,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands:
     classes = scratch(prints.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"),
                       F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
                       .select(F.col("k1").alias("node"), "rep", "size", "bands"), "dup-classes")
-    member = classes.select("node", "size", F.posexplode("bands").alias("band", "key")).select("node", "size", "key")
+    member = classes.select("node", "rep", "size", F.explode("bands").alias("key"))
     crowded = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = scratch(member.join(crowded, "key"), "dup-buckets")
-    weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
-    involved = classes.select("node", "rep").join(weight, "node", "left_semi")
-    texts = scratch(class_texts(docs, involved, k), "dup-texts")
+    weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"), F.first("rep").alias("rep"))
+    texts = scratch(class_texts(docs, weight.select("node", "rep"), k), "dup-texts")
 
-    ranked = buckets.join(weight, "node")
+    ranked = buckets.drop("rep").join(weight.drop("rep"), "node")
     centre = ranked.groupBy("key").agg(F.max_by(F.struct("node", "size"), F.struct("weight", "node")).alias("c"))
     close = F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent   # exact: no link beyond it
     pairs = (ranked.join(centre, "key")
@@ -288,8 +280,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands:
     open_nodes = scratch(tagged.join(apart, "key").select("node", "comp").distinct(), "dup-open")
     if not open_nodes.isEmpty():
         pairs = prefix_pairs(texts, open_nodes, percent, k)
-        links = links.union(scratch(confirm(pairs, texts, percent, k), "dup-links"))
-        comps = scratch(components(links), "dup-comps")
+        more = scratch(confirm(pairs, texts, percent, k), "dup-links")
+        if not more.isEmpty():
+            known = comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+            comps = scratch(components(known.union(more)), "dup-comps")
     drop_scratch(buckets, texts)
 
     # component id: smallest doc_id over all classes of the component
@@ -308,9 +302,8 @@ def class_texts(docs: DataFrame, wanted: DataFrame, k: int = K_WORDS) -> DataFra
     Rows are found by the representative's id and checked by their own set key, as an id may
     occur with several texts.
     """
-    found = docs.select("doc_id", "text").join(
-        wanted.select(F.col("rep").alias("rep_id")).distinct(),
-        F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
+    found = (docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
+             .select("node", "text"))
 
     def run(batches):
         for batch in batches:
@@ -321,11 +314,10 @@ def class_texts(docs: DataFrame, wanted: DataFrame, k: int = K_WORDS) -> DataFra
                 if len(first):
                     own[n > 0] = set_keys(shingles, first)[0]
                 key.append(pa.array(own, mask=n == 0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(key) if key else pa.array([], pa.int64()), batch.column(1)], ["node", "text"])
+            key = pa.concat_arrays(key) if key else pa.array([], pa.int64())
+            yield batch.filter(pc.equal(key, batch.column(0)))
 
-    keyed = found.mapInArrow(run, "node long, text string")
-    return keyed.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return found.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
