@@ -19,7 +19,8 @@ as any partition of space does in 64 dimensions; with structure a smaller ``visi
 
 Edge cases: vectors that are NULL, empty, zero, of another length than most, or with a NULL or
 non-finite component take no part; a query with fewer candidates than ``k`` returns all;
-rows of one id count as one candidate with the best of their scores; queries need a non-NULL id; extra columns are ignored.
+rows of one id count as one
+candidate with the best of their scores; rows without an id take no part; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -130,9 +131,9 @@ def to_matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, x`` of rows whose vector takes part (of the commonest length)."""
+    """``vec_id, embedding`` of rows whose vector takes part (of the commonest length)."""
     x = F.col("embedding").cast("array<double>")
-    ok = (F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    ok = (F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
           & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
           & F.exists(x, lambda v: v != 0))
     rows = vectors.where(F.coalesce(ok, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")

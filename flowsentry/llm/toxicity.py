@@ -79,8 +79,8 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.scale * self.margins(raw, off) + self.shift, -30, 30)))
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, sample: int) -> list:
-    """``(toxic, distinct feature keys)`` of about ``sample`` labelled training rows.
+def sample_features(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list, float]:
+    """``(toxic, distinct feature keys)`` of about ``sample`` labelled training rows; the share of toxic labels.
 
     All toxic rows are wanted first: half of the sample goes to either label if there are enough.
     """
@@ -103,8 +103,9 @@ def sample_features(docs: DataFrame, labels: DataFrame, sample: int) -> list:
                     [pa.array(rows, pa.binary()), batch.column(1).slice(i, len(rows)).cast(pa.int32())], ["x", "toxic"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")      # y: about `sample` rows
-    return [(r["toxic"], np.frombuffer(bytes(r["x"]), np.uint64)) for r in
+    rows = [(r["toxic"], np.frombuffer(bytes(r["x"]), np.uint64)) for r in
             joined.select("text", "toxic").mapInArrow(run, "x binary, toxic int").collect()]
+    return rows, sum(n for k, n in sizes.items() if k) / max(sum(sizes.values()), 1)
 
 
 def propose_voters(rows: list, most: int = 160, cover: int = 4, least: int = 4, candidates: int = 4000) -> np.ndarray:
@@ -144,9 +145,9 @@ def propose_voters(rows: list, most: int = 160, cover: int = 4, least: int = 4,
 def label_model(votes: np.ndarray, prior: float, steps: int = 60):
     """Posterior P(toxic | votes) and voter accuracies by expectation-maximisation.
 
-    Class-conditional firing rates are the model's parameters; the covariance of the votes within
-    the classes (their correlation) turns rates into weights, so that voters which fire together
-    are not counted as independent evidence.
+    Class-conditional firing rates are the model's parameters; the correlations of the votes within
+    the classes discount each voter's log-odds, so that voters which fire together are not counted
+    as independent evidence.
     """
     n, j = votes.shape
     if not j:
@@ -158,10 +159,14 @@ def label_model(votes: np.ndarray, prior: float, steps: int = 60):
         a = (post @ v + 0.5) / (post.sum() + 1)
         b = ((1 - post) @ v + 0.01) / ((1 - post).sum() + 1)
         da, db = v - a, v - b
-        cov = (da * post[:, None]).T @ da + (db * (1 - post)[:, None]).T @ db
-        cov = cov / n + np.diag(np.full(j, 1e-3))
-        w = np.linalg.solve(cov, a - b)
-        logit = v @ w - 0.5 * (a + b) @ w + np.log(pi / (1 - pi))
+        cov = ((da * post[:, None]).T @ da + (db * (1 - post)[:, None]).T @ db) / n
+        spread = np.sqrt(np.diag(cov)) + 1e-9
+        alike = np.clip(np.abs(cov / np.outer(spread, spread)) - 0.1, 0, 1)     # chance level taken off
+        np.fill_diagonal(alike, 0)
+        say = 1 / (1 + alike.sum(axis=1))
+        none = ~v.any(axis=1)
+        quiet = np.log(((post @ none) + 0.5) / (post.sum() + 1)) - np.log(((1 - post) @ none + 0.5) / ((1 - post).sum() + 1))
+        logit = v @ (say * np.log(a / b)) + quiet * none + np.log(pi / (1 - pi))
         now = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         pi = float(np.clip(now.mean(), 1e-3, 0.9))
         done = np.abs(now - post).max() < 1e-4
@@ -173,7 +178,7 @@ def label_model(votes: np.ndarray, prior: float, steps: int = 60):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, features_kept: int = 4096) -> Model:
-    rows = sample_features(docs, labels, sample)
+    rows, prior = sample_features(docs, labels, sample)
     seeds = np.array([word_key(w) for w in SEED_LEXICON], np.uint64)
     voters = np.unique(np.concatenate([seeds, propose_voters(rows)]))
     if not rows:
@@ -181,10 +186,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, features_kept: i
     y = np.array([bool(t) for t, _ in rows])
     votes = np.array([np.isin(voters, x, assume_unique=True) for _, x in rows])
     post, accuracy = label_model(votes, float(np.clip(y.mean(), 0.02, 0.6)))
-    # linear classifier over the voters and the most frequent other features, on posterior labels
+    # linear classifier on posterior labels: the voters, and those of the most frequent other features
+    # whose share among toxic rows differs beyond chance
     allk, n = np.unique(np.concatenate([x for _, x in rows]), return_counts=True)
-    common = allk[np.argsort(-n, kind="stable")[:features_kept]]
-    keys = np.unique(np.concatenate([voters, common]))
+    common = np.sort(allk[np.argsort(-n, kind="stable")[:features_kept]])
+    held = np.array([np.isin(common, r, assume_unique=True) for _, r in rows], np.float32)
+    n1, n0 = max(post.sum(), 1e-9), max((1 - post).sum(), 1e-9)
+    p1, p0, p = post @ held / n1, (1 - post) @ held / n0, held.mean(axis=0)
+    z = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+    keys = np.unique(np.concatenate([voters, common[z > 5]]))
     x = np.array([np.isin(keys, r, assume_unique=True) for _, r in rows], np.float32)
     w, b = np.zeros(len(keys), np.float32), np.float32(-1.0)
     is_voter = np.isin(keys, voters)
@@ -205,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, features_kept: i
     f = (x @ w + b).astype(float)
     design = np.column_stack([f, np.ones(len(f))])
     line = np.array([1.0, 0.0])
-    side = np.where(y, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)) / len(y)
+    side = np.where(y, prior / max(y.mean(), 1e-3), (1 - prior) / max(1 - y.mean(), 1e-3)) / len(y)   # as all labels
     for _ in range(50):     # Newton steps, held near the start by a small penalty
         p = 1 / (1 + np.exp(-np.clip(design @ line, -30, 30)))
         gradient = design.T @ ((p - y) * side) + 1e-3 * (line - [1.0, 0.0])
