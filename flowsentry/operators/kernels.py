@@ -91,26 +91,15 @@ class FeatureMap:
             first[f"re{z}"] = f"{norm} * cos(ph{z})"
             first[f"im{z}"] = f"{norm} * sin(ph{z})"
         st.append(first)
-        for _ in range(1, self.reps):
-            h = {}
-            for w in range(dim):
-                sre = " + ".join(("-" if bin(w & z).count("1") % 2 else "+") + f" re{z}" for z in range(dim))
-                sim = " + ".join(("-" if bin(w & z).count("1") % 2 else "+") + f" im{z}" for z in range(dim))
-                h[f"hr{w}"] = f"{norm} * ({sre})"
-                h[f"hi{w}"] = f"{norm} * ({sim})"
-            st.append(h)
-            rot = {}
-            for w in range(dim):
-                rot[f"re{w}"] = f"hr{w} * cos(ph{w}) - hi{w} * sin(ph{w})"
-                rot[f"im{w}"] = f"hr{w} * sin(ph{w}) + hi{w} * cos(ph{w})"
-            st.append(rot)
         return st
 
 
 def build_feature_map(n: int, reps: int = 1, map_type: str = "zz", entanglement: str = "full") -> FeatureMap:
     """G-1..G-5.  ``pauli`` with Z and ZZ terms is the ZZ map (full pairs)."""
     if map_type not in MAP_TYPES:
-        raise ValueError("Unknown map_type")
+        raise ValueError(f"feature map {map_type!r}; known maps: {', '.join(MAP_TYPES)}")
+    if reps != 1:
+        raise ValueError("only one-layer maps have the closed form used here")
     if map_type == "pauli":
         entanglement = "full"
     return FeatureMap(n, reps, map_type, entanglement)
@@ -119,8 +108,7 @@ def build_feature_map(n: int, reps: int = 1, map_type: str = "zz", entanglement:
 def amplitudes(df: DataFrame, fmap: FeatureMap, angle: str = "angle", keep: Sequence[str] = ("row_id", "y")) -> DataFrame:
     """Adds ``re``/``im`` arrays (length 2^n) computed from the ``angle`` array.
 
-    Phases are plain column expressions; the Hadamard layers between
-    repetitions are array functions so the generated code stays small.
+    Phases are plain column expressions of the closed one-layer form.
     """
     keep = [c for c in keep if c in df.columns]
     xs = [f"_x{i}" for i in range(fmap.n)]
@@ -135,20 +123,6 @@ def amplitudes(df: DataFrame, fmap: FeatureMap, angle: str = "angle", keep: Sequ
     norm = F.lit(2.0 ** (-fmap.n / 2.0))
     cur = cur.select(*keep, "ph", F.transform("ph", lambda p: norm * F.cos(p)).alias("re"),
                      F.transform("ph", lambda p: norm * F.sin(p)).alias("im"))
-    idx = F.sequence(F.lit(0), F.lit(dim - 1))
-
-    def wht(arr):
-        return F.transform(idx, lambda w: norm * F.aggregate(
-            idx, F.lit(0.0), lambda acc, z: acc + F.when(F.bit_count(w.bitwiseAND(z)) % 2 == 1, -F.col(arr)[z])
-            .otherwise(F.col(arr)[z])))
-
-    for _ in range(1, fmap.reps):
-        cur = cur.select(*keep, "ph", wht("re").alias("hr"), wht("im").alias("hi"))
-        cur = cur.select(*keep, "ph",
-                         F.transform(idx, lambda w: F.col("hr")[w] * F.cos(F.col("ph")[w])
-                                     - F.col("hi")[w] * F.sin(F.col("ph")[w])).alias("re"),
-                         F.transform(idx, lambda w: F.col("hr")[w] * F.sin(F.col("ph")[w])
-                                     + F.col("hi")[w] * F.cos(F.col("ph")[w])).alias("im"))
     return cur.select(*keep, "re", "im")
 
 

@@ -97,7 +97,7 @@ def p6_clean_numeric(spark, d):
 SELECT row_id, round(value, 6) AS value, round(k, 6) AS k FROM ({O.EVENT_FLOWS})
 WHERE label <> 'Label' AND y = 0""")
 def p9_normal_rows(spark, d):
-    df = event_flows(spark, d).df.where(F.col("label") != "Label")  # P-8 then P-9
+    df = event_flows(spark, d).df.where(~F.col("label").eqNullSafe("Label"))  # P-8 then P-9
     return normal_rows(df).select("row_id", r6("value").alias("value"), r6("k").alias("k"))
 
 
@@ -464,8 +464,10 @@ from ..operators.features import fit_angle_scaler  # noqa: E402
 
 
 def _angles(spark, d, n: int):
-    """F-6 on the first n embedding coordinates (the reduced input of the kernel maps)."""
-    v = embedding_vectors(spark, d).df.select("row_id", "y", F.slice("x", 1, n).alias("p"))
+    """F-6 on n sums of equal blocks of all embedding coordinates (a fixed projection)."""
+    width = 64 // n
+    blocks = [F.aggregate(F.slice("x", 1 + width * i, width), F.lit(0.0), lambda a, v: a + v) for i in range(n)]
+    v = embedding_vectors(spark, d).df.select("row_id", "y", F.array(*blocks).alias("p"))
     sc = fit_angle_scaler(v, "p", n)
     return v.select("row_id", "y", sc.expr("p").alias("angle"))
 
@@ -496,7 +498,7 @@ SELECT i AS row_id, round(sum(k) / count(*), 6) AS k_mean FROM kp GROUP BY i"""
 
 for _name, _args in {"g1_zz_kernel_rowsum": ("zz", 1, "full", 4), "g3_z_kernel_rowsum": ("z", 1, "full", 4),
                      "g4_pauli_kernel_rowsum": ("pauli", 1, "full", 4), "g5_rx_kernel_rowsum": ("rx", 1, "full", 4),
-                     "g2_zz2_linear_kernel_rowsum": ("zz", 2, "linear", 2)}.items():
+                     "g2_zz_linear_kernel_rowsum": ("zz", 1, "linear", 4)}.items():
     _fn, _sql = _rowsum_query(*_args)
     _fn.__name__ = _name
     query(_name, _sql)(_fn)
@@ -510,13 +512,13 @@ def _landmark_ids_sql(prefix: str = "lm") -> str:
 
 @query("j7_kernel_to_landmarks", f"""
 WITH {O.angle_ctes(2)},
-{O.amplitude_ctes(G.build_feature_map(2, 2, 'zz', 'linear'), 'an')},
+{O.amplitude_ctes(G.build_feature_map(2, 1, 'zz', 'linear'), 'an')},
 {_landmark_ids_sql()},
 {O.pair_kernel_cte('am')}
 SELECT i AS row_id, j AS landmark, round(k, 6) AS k FROM kp WHERE j IN (SELECT row_id FROM lm)""")
 def j7_kernel_to_landmarks(spark, d):
     """J-7 / M-8: test rows x a bounded landmark set (hash-sampled support rows)."""
-    fmap = G.build_feature_map(2, 2, "zz", "linear")
+    fmap = G.build_feature_map(2, 1, "zz", "linear")
     vecs = G.kernel_vectors(_angles(spark, d, 2), fmap)
     lms = S.random_sample(vecs, N_LANDMARKS, "row_id").select("row_id", "v").collect()  # m rows: bounded
     out = G.kernel_to_landmarks(vecs, [(r["row_id"], r["v"]) for r in lms])
@@ -686,7 +688,7 @@ def d3_isolation_forest(spark, d):
 def d4_one_class_svm(spark, d):
     """D-4: nu-one-class SVM on random Fourier features, fit on normal rows, cut at nu."""
     v = embedding_vectors(spark, d).df
-    m = FR.fit_one_class_svm(normal_rows(v), "x", nu=0.05, kernel="rbf", gamma="scale", steps=20)
+    m = FR.fit_one_class_svm(normal_rows(v), "x", nu=0.05, kernel="rbf", gamma="scale")
     return _detector_metrics(m.score(v, "x"), 0.05)
 
 
@@ -791,7 +793,7 @@ def m5_poly_svm(spark, d):
 
 @query("m8_fidelity_kernel_svm")
 def m8_fidelity_kernel_svm(spark, d):
-    """M-8 / E-6: ZZ(reps 2, linear) fidelity-kernel SVM as LinearSVC on density vectors."""
+    """M-8 / E-6: one-layer ZZ (linear) fidelity-kernel SVM as LinearSVC on density vectors."""
     return E.run_kernel_svm(spark, d)
 
 
@@ -809,7 +811,7 @@ def e4_kernel_clustering(spark, d):
 
 @query("e3_compare_detectors")
 def e3_compare_detectors(spark, d):
-    """E-3: PCA 30 -> 80/10/10 -> grid search -> refit -> test metrics per detector."""
+    """E-3: PCA 30 -> 80/10/10 -> grid search in one sweep -> test metrics and status per detector."""
     return E.compare_detectors(spark, d)
 
 

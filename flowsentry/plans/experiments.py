@@ -3,6 +3,9 @@ only orders the jobs and carries bounded fitted state between them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,7 +153,7 @@ def run_kernel_clustering(spark: SparkSession, sf_dir: str, n_qubits: int = 4, r
                                        "recall double, f1 double")
 
 
-def run_kernel_svm(spark: SparkSession, sf_dir: str, n_qubits: int = 2, reps: int = 2,
+def run_kernel_svm(spark: SparkSession, sf_dir: str, n_qubits: int = 2, reps: int = 1,
                    entanglement: str = "linear", C: float = 1.0) -> DataFrame:
     """E-6 / M-8: fidelity-kernel SVM = LinearSVC on the density vectors (exact primal form)."""
     from ..operators import kernels as G
@@ -184,115 +187,173 @@ def run_angle_logit(spark: SparkSession, sf_dir: str, n_qubits: int = 2) -> Data
 
 # =========================================================================== E-2 / E-3 detector comparison
 
-ISO_GRID = [0.01, 0.03, 0.05, 0.1, 0.15]
-OCSVM_GRID = [(nu, g, k) for nu in (0.01, 0.03, 0.05, 0.1) for g in ("scale", "auto") for k in ("rbf", "poly")]
-LOF_GRID = [(n, c) for n in (10, 20, 35) for c in (0.01, 0.03, 0.05, 0.1)]
-KMEANS_GRID = [(k, c) for k in (2, 3, 4) for c in (0.01, 0.03, 0.05, 0.1)]
+# fixed values: the study's grids
+CUTS = (0.01, 0.03, 0.05, 0.1)
+FOREST_CUTS = (0.01, 0.03, 0.05, 0.1, 0.15)
+NEIGHBOURS = (10, 20, 35)
+CLUSTERS = (2, 3, 4)
+KERNEL_MAPS = tuple((kernel, gamma) for gamma in ("scale", "auto") for kernel in ("rbf", "poly"))
 
 
-def _f1_at_cut(scored: DataFrame, contamination: float) -> float:
-    from ..operators.stats import contamination_cut
-    return M.binary_metrics(contamination_cut(scored, "score", contamination)).collect()[0]["f1"]
+@dataclass
+class Candidate:
+    """One fitted model: how it scores rows, and the cuts that share its scores."""
 
+    detector: str
+    params: dict
+    cuts: tuple
+    score: Callable[[DataFrame], DataFrame] | None = None
+    status: str = "ok"
 
-def grid_search_detectors(train: DataFrame, val: DataFrame, supervised: bool = True, ocsvm_steps: int = 20):
-    """E-2: fit once per model-affecting parameter; contamination only moves the cut.
 
-    Metric: validation F1 (supervised) or score separation / silhouette;
-    ties keep the first grid point (O-4).  Failures are recorded (E-8).
-    """
+def candidates(train: DataFrame) -> list[Candidate]:
+    """E-2: every model of the grids, fitted once; a fit that fails stays in the list with its reason (E-8)."""
     from ..operators import forest as FR
     from ..operators import neighbors as NB
     from ..operators.detect import fit_kmeans
-    from ..operators.stats import score_separation
 
-    results = []
+    def lof(n):
+        def score(rows):
+            return NB.lof_scores(train, rows.select("row_id", "x"), n).join(rows.select("row_id", "y"), "row_id")
+        return score
+
+    def k_means(k):
+        model = fit_kmeans(train, "x", k)
+        return lambda rows: model.score(rows, "x")
+
+    def one_class():
+        maps = {km: FR.fit_kernel_map(train, "x", *km) for km in KERNEL_MAPS}
+        fits = FR.fit_one_class_grid(train, "x", CUTS, maps)
+        return [({"kernel": k, "gamma": g, "nu": nu, "converged": fits[(k, g), nu].converged}, (nu,),
+                 fits[(k, g), nu].model.score) for nu in CUTS for k, g in KERNEL_MAPS]
+
+    families = [
+        ("IsolationForest", lambda: [({}, FOREST_CUTS, FR.fit_isolation_forest(train, "x").score)]),
+        ("OneClassSVM", one_class),
+        ("LocalOutlierFactor", lambda: [({"n_neighbors": n}, CUTS, lof(n)) for n in NEIGHBOURS]),
+        ("KMeans-distance", lambda: [({"n_clusters": k}, CUTS, k_means(k)) for k in CLUSTERS]),
+    ]
+    out = []
+    for name, fit in families:
+        try:
+            out += [Candidate(name, p, cuts, score) for p, cuts, score in fit()]
+        except Exception as e:
+            out.append(Candidate(name, {}, (), None, f"failed: {type(e).__name__}: {str(e)[:120]}"))
+    return out
 
-    def metric(scored, c):
-        return _f1_at_cut(scored, c) if supervised else score_separation(scored, "score")
 
-    def record(model, params, fn):
-        try:
-            results.append((model, params, float(fn()), "ok"))
-        except Exception as e:  # E-8: keep the failure visible
-            results.append((model, params, float("-inf"), f"failed: {type(e).__name__}"))
-
-    iso = FR.fit_isolation_forest(train, "x")
-    iso_val = iso.score(val, "x").persist()
-    for c in ISO_GRID:
-        record("isolation_forest", {"contamination": c}, lambda c=c: metric(iso_val, c))
-    maps = {}  # the kernel map depends on (gamma, kernel) only: fit it once per pair, reuse over nu
-    for nu, g, k in OCSVM_GRID:
-        def oc(nu=nu, g=g, k=k):
-            if (g, k) not in maps:
-                maps[(g, k)] = FR.kernel_features(train, "x", k, g)
-            m = FR.fit_one_class_svm(train, "x", nu=nu, kernel=k, gamma=g, steps=ocsvm_steps, features=maps[(g, k)])
-            return metric(m.score(val, "x"), nu)
-        record("oneclass_svm", {"nu": nu, "gamma": g, "kernel": k}, oc)
-    for nn in sorted({n for n, _ in LOF_GRID}):
-        lof_val = NB.lof_scores(train, val.select("row_id", "x"), nn).join(val.select("row_id", "y"), "row_id").persist()
-        for n2, c in LOF_GRID:
-            if n2 == nn:
-                record("lof", {"n_neighbors": nn, "contamination": c}, lambda c=c: metric(lof_val, c))
-    for kk in sorted({k for k, _ in KMEANS_GRID}):
-        km = fit_kmeans(train, "x", kk)
-        km_val = km.score(val, "x").persist()
-        for k2, c in KMEANS_GRID:
-            if k2 == kk:
-                if supervised:
-                    record("kmeans", {"n_clusters": kk, "contamination": c}, lambda c=c: metric(km_val, c))
-                else:
-                    record("kmeans", {"n_clusters": kk, "contamination": c},
-                           lambda: NB.silhouette_score(NB.silhouette_exact(km_val, "x", "cluster")))
-    best = {}
-    for model, params, m, status in results:  # grid order; strict > keeps the first best
-        if model not in best or m > best[model][1]:
-            best[model] = (params, m)
-    return results, best
+def score_all(models: list[Candidate], rows: DataFrame) -> DataFrame:
+    """``fit, y, score`` of every model over ``rows``, written once; scoring failures set the status."""
+    from functools import reduce
+
+    from ..session import cut_lineage
+
+    parts = []
+    for i, m in enumerate(models):
+        if m.status == "ok":
+            try:
+                parts.append(m.score(rows).select(F.lit(i).alias("fit"), "y", F.col("score").cast("double").alias("score")))
+            except Exception as e:
+                m.status = f"failed: {type(e).__name__}: {str(e)[:120]}"
+    return cut_lineage(reduce(DataFrame.unionAll, parts)) if parts else None
+
+
+def cut_counts(spark: SparkSession, scores: DataFrame, models: list[Candidate]) -> list:
+    """Counts at every cut of every model in two passes: thresholds, then one conditional sum per cut.
+
+    A threshold is the score of rank ``1 - cut`` (sketch with a rank error of 1e-5; exact up to
+    100,000 rows), and flagged rows reach it (inclusive).
+    """
+    wanted = [(i, float(c)) for i, m in enumerate(models) if m.status == "ok" for c in m.cuts]
+    grid = spark.createDataFrame(wanted, "fit int, cut double")
+    levels = sorted({1.0 - c for _, c in wanted})
+    marks = (scores.groupBy("fit").agg(F.percentile_approx("score", levels, 100_000).alias("t"))
+             .select("fit", F.posexplode("t").alias("at", "threshold")))
+    level = F.array(*[F.lit(x) for x in levels])
+    cuts = marks.withColumn("level", level[F.col("at")]).join(
+        F.broadcast(grid), ["fit"]).where(F.abs(F.col("level") - (1 - F.col("cut"))) < 1e-9)      # one row per cut
+    hit = F.col("score") >= F.col("threshold")
+    return (scores.join(F.broadcast(cuts.select("fit", "cut", "threshold")), "fit").groupBy("fit", "cut").agg(
+        F.count_if(hit & (F.col("y") == 1)).alias("tp"), F.count_if(hit & (F.col("y") != 1)).alias("fp"),
+        F.count_if(F.col("y") == 1).alias("p"), F.count(F.lit(1)).alias("n"),
+        F.avg(F.when(hit, F.col("score"))).alias("above"), F.avg(F.when(~hit, F.col("score"))).alias("below")).collect())
+
+
+def quality(r) -> dict:
+    """Metrics of one cut from its counts."""
+    tp, fp, p, n = (int(r[k]) for k in ("tp", "fp", "p", "n"))
+    return {"accuracy": (n - fp - (p - tp)) / n if n else 0.0, "precision": tp / (tp + fp) if tp + fp else 0.0,
+            "recall": tp / p if p else 0.0, "f1": 2 * tp / (tp + fp + p) if tp + fp + p else 0.0, "flagged": tp + fp, "rows": n}
+
+
+def pick(models: list[Candidate], counts: list, supervised: bool) -> dict:
+    """O-4: per detector the first grid point of the largest F1, or without labels of the widest
+    gap between the mean scores of flagged and other rows."""
+    by = {(r["fit"], r["cut"]): r for r in counts}
+    best: dict = {}
+    for i, m in enumerate(models):
+        for c in m.cuts if m.status == "ok" else ():
+            r = by.get((i, float(c)))
+            if r is None:
+                continue
+            value = quality(r)["f1"] if supervised else float((r["above"] or 0.0) - (r["below"] or 0.0))
+            if m.detector not in best or value > best[m.detector][2]:
+                best[m.detector] = (i, c, value)
+    return best
 
 
 def compare_detectors(spark: SparkSession, sf_dir: str, pca_components: int = 30, supervised: bool = True,
-                      hold_frac: float = 0.2, ocsvm_steps: int = 20) -> DataFrame:
-    """E-3: PCA -> 80/10/10 -> grid search -> refit best -> test metrics per detector (E-7)."""
-    from ..operators import forest as FR
+                      hold_frac: float = 0.2) -> DataFrame:
+    """E-3: PCA -> 80/10/10 -> one sweep over the grids -> test metrics per detector, with its status (E-7, E-8)."""
     from ..operators import neighbors as NB
-    from ..operators.detect import fit_kmeans, fit_reconstruction, presumed_normal
+    from ..operators.detect import fit_reconstruction, presumed_normal
     from ..operators.features import fit_pca
     from ..operators.sample import three_way_split
-    from ..operators.stats import contamination_cut
     from ..session import cut_lineage
     from ..sources.standins import embedding_vectors
 
     v = embedding_vectors(spark, sf_dir).df
     sp = cut_lineage(three_way_split(v, hold_frac, "row_id", "y", SEED))
-    train = sp.where(F.col("split") == "train")
-    pca = fit_pca(train, "x", pca_components, 64)
+    pca = fit_pca(sp.where(F.col("split") == "train"), "x", pca_components, 64)
     red = cut_lineage(sp.select("row_id", "y", "split", pca.project("x").alias("x")) if pca else sp)
     tr, va, te = (red.where(F.col("split") == s).drop("split") for s in ("train", "val", "test"))
-    _, best = grid_search_detectors(tr, va, supervised, ocsvm_steps)
+    models = candidates(tr)
+    scores = score_all(models, va)
+    best = pick(models, cut_counts(spark, scores, models), supervised) if scores is not None else {}
+
+    final = []
+    for name in dict.fromkeys(m.detector for m in models):
+        if name not in best:
+            why = next((m.status for m in models if m.detector == name and m.status != "ok"), "failed: no score")
+            final.append(Candidate(name, {}, (), None, why))
+            continue
+        i, c, _ = best[name]
+        score = models[i].score
+        if name == "LocalOutlierFactor":        # U-2: refits on train and validation
+            n = models[i].params["n_neighbors"]
+            both = tr.unionByName(va)
+            score = lambda rows: NB.lof_scores(both, rows.select("row_id", "x"), n).join(
+                rows.select("row_id", "y"), "row_id")
+        final.append(Candidate(name, {**models[i].params, "contamination": c}, (c,), score))
+    try:
+        if supervised:
+            normal = presumed_normal(tr)
+        else:       # without labels the forest's scores say which rows to trust
+            forest = next(m for m in models if m.detector == "IsolationForest" and m.status == "ok")
+            normal = presumed_normal(forest.score(tr), y=None, score="score").drop("score")
+        width = pca_components if pca else 64
+        rec = fit_reconstruction(normal, "x", width=width)
+        final.append(Candidate("Reconstruction", {"latent": min(32, width // 2), "contamination": 0.1}, (0.1,),
+                               lambda rows: rec.score(rows, "x")))
+    except Exception as e:
+        final.append(Candidate("Reconstruction", {}, (), None, f"failed: {type(e).__name__}: {str(e)[:120]}"))
+    scores = score_all(final, te)
+    counts = {r["fit"]: quality(r) for r in (cut_counts(spark, scores, final) if scores is not None else [])}
     rows = []
-
-    def add(name, scored, c, params):
-        cut = contamination_cut(scored, "score", c)
-        m = M.binary_metrics(cut).collect()[0]
-        auc = M.roc_auc(scored, "score", "y").collect()[0]["auc"]
-        rows.append((name, str(params), float(m["accuracy"]), float(m["precision"]), float(m["recall"]),
-                     float(m["f1"]), None if auc is None else float(auc)))
-
-    p, _ = best["isolation_forest"]
-    add("IsolationForest", FR.fit_isolation_forest(tr, "x").score(te, "x"), p["contamination"], p)
-    p, _ = best["oneclass_svm"]
-    oc = FR.fit_one_class_svm(tr, "x", nu=p["nu"], kernel=p["kernel"], gamma=p["gamma"], steps=ocsvm_steps)
-    add("OneClassSVM", oc.score(te, "x"), p["nu"], p)
-    p, _ = best["lof"]
-    lof_tr = tr.unionByName(va)  # U-2: LOF refits on train + validation
-    lof = NB.lof_scores(lof_tr, te.select("row_id", "x"), p["n_neighbors"]).join(te.select("row_id", "y"), "row_id")
-    add("LocalOutlierFactor", lof, p["contamination"], p)
-    p, _ = best["kmeans"]
-    add("KMeans-distance", fit_kmeans(tr, "x", p["n_clusters"]).score(te, "x"), p["contamination"], p)
-    normal = presumed_normal(tr, y="y" if supervised else None, score=None if supervised else "score")
-    width = len(tr.select("x").first()[0])
-    rec = fit_reconstruction(normal, "x", width=width)
-    add("Reconstruction", rec.score(te, "x"), 0.1, {"latent": min(32, width // 2)})
-    return spark.createDataFrame(rows, "detector string, params string, accuracy double, precision double, "
-                                       "recall double, f1 double, auc double")
+    for i, m in enumerate(final):
+        q = counts.get(i)
+        auc = M.roc_auc(scores.where(F.col("fit") == i), "score", "y").first()["auc"] if q else None
+        rows.append((m.detector, str(m.params), *((q[k] for k in ("accuracy", "precision", "recall", "f1"))
+                                                  if q else [None] * 4), auc, q and q["flagged"], q and q["rows"], m.status))
+    return spark.createDataFrame(rows, "detector string, params string, accuracy double, precision double, recall double, "
+                                       "f1 double, auc double, flagged long, rows long, status string")

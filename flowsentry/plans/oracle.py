@@ -39,7 +39,7 @@ LINEITEM_FLOWS = f"""
 
 EMBEDDING_VECTORS = """
   SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS label,
-         CASE WHEN label = 0 THEN 0 ELSE 1 END AS y,
+         CASE WHEN label = 0 THEN 1 ELSE 0 END AS y,
          CAST(embedding AS DOUBLE[]) AS x
   FROM embeddings"""
 
@@ -171,8 +171,9 @@ def hash_unit_sql(key: str, seed: int = SEED) -> str:
 
 
 def angle_ctes(n: int, prefix: str = "an") -> str:
-    """F-6 on the first ``n`` embedding coordinates: ``{prefix}(row_id, y, x0..x{n-1})``."""
-    ps = ", ".join(f"x[{i + 1}] AS p{i}" for i in range(n))
+    """F-6 on ``n`` sums of equal blocks of all coordinates: ``{prefix}(row_id, y, x0..x{n-1})``."""
+    width = 64 // n
+    ps = ", ".join("(" + " + ".join(f"x[{width * i + j + 1}]" for j in range(width)) + f") AS p{i}" for i in range(n))
     stats = ", ".join(f"avg(p{i}) AS m{i}, stddev_pop(p{i}) AS s{i}" for i in range(n))
     zs = ", ".join(f"(p{i} - m{i}) * (1.0 / (s{i} + 1e-9)) AS z{i}" for i in range(n))
     mins = ", ".join(f"min(z{i})" for i in range(n))

@@ -81,7 +81,7 @@ def read_cic(spark: SparkSession, paths: str | Sequence[str], label_col: str = "
     df = raw.toDF(*names).withColumn("source_file", F.col("_metadata.file_name"))
     label = F.regexp_replace(F.trim(F.col(label_col)), REPLACEMENT_CHAR, "-")
     feats = [clean_double(c).alias(c) for c in names[:-1]]
-    return (df.where(F.trim(F.col(label_col)) != F.lit(CIC_HEADER_LABEL))
+    return (df.where(~F.trim(F.col(label_col)).eqNullSafe(F.lit(CIC_HEADER_LABEL)))   # an empty label stays
             .select(*feats, label.alias(label_col), "source_file"))
 
 

@@ -27,7 +27,7 @@ EVENT_NUMERIC = ["value", "k"]
 LINEITEM_NORMAL_FLAG = "N"
 LINEITEM_CATEGORICAL = ["l_linestatus", "ship_year"]
 LINEITEM_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-EMBEDDING_NORMAL_LABEL = 0
+EMBEDDING_ATTACK_LABEL = 0        # one label of ten is the attack, the majority is normal
 EMBEDDING_WIDTH = 64
 
 
@@ -75,7 +75,7 @@ def embedding_vectors(spark: SparkSession, sf_dir: str) -> FlowTable:
     df = em.select(
         F.col("vec_id").alias("row_id"),
         F.col("label").cast("string").alias("label"),
-        F.when(F.col("label") == EMBEDDING_NORMAL_LABEL, 0).otherwise(1).cast("int").alias("y"),
+        F.when(F.col("label") == EMBEDDING_ATTACK_LABEL, 1).otherwise(0).cast("int").alias("y"),
         F.col("embedding").cast("array<double>").alias("x"),
     )
     return FlowTable(df, numeric=[], vector="x")
