@@ -130,6 +130,17 @@ def to_matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 1))
 
 
+def pair_products(q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray, run: int = 1 << 15) -> np.ndarray:
+    """Inner products of the pairs ``(q[r], x[c])``, summed in one order for every pair.
+
+    A matrix product may round equal vectors differently by their place in it; here they tie exactly.
+    """
+    out = np.empty(len(r))
+    for a in range(0, len(r), run):
+        out[a:a + run] = (q[r[a:a + run]] * x[c[a:a + run]]).sum(axis=1)
+    return out
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """``vec_id, embedding`` of rows whose vector takes part (of the commonest length)."""
     x = F.col("embedding").cast("array<double>")
@@ -211,22 +222,24 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 10, l
         ids = ids[order]
         x = to_matrix(left.column("embedding").combine_chunks())[order]
         asks, q = right.column("vec_id").to_numpy(), to_matrix(right.column("embedding").combine_chunks())
+        longest = np.linalg.norm(x, axis=1).max()
         out_q, out_v, out_s = [], [], []
         for a in range(0, len(asks), 256):
             s = q[a:a + 256] @ x.T
             s[asks[a:a + 256, None] == ids[None, :]] = -np.inf
-            if s.shape[1] > k:      # all that reach the k-th best score, then ties by the smaller id
-                least = -np.partition(-s, k - 1, axis=1)[:, k - 1:k]
+            if s.shape[1] > k:      # all that reach the k-th best score within rounding, then ties by the smaller id
+                least = -np.partition(-s, k - 1, axis=1)[:, k - 1:k] - 1e-12 * np.linalg.norm(q[a:a + 256], axis=1)[:, None] * longest
             else:
                 least = np.full((len(s), 1), -np.inf)
             r, c = np.nonzero((s >= least) & (s > -np.inf))
-            o = np.lexsort((ids[c], -s[r, c], r))
-            r, c = r[o], c[o]
+            exact = pair_products(q[a:a + 256], x, r, c)
+            o = np.lexsort((ids[c], -exact, r))
+            r, c, exact = r[o], c[o], exact[o]
             place = np.arange(len(r)) - np.searchsorted(r, r)
-            r, c = r[place < k], c[place < k]
-            out_q.append(asks[a + r])
-            out_v.append(ids[c])
-            out_s.append(s[r, c])
+            top = place < k
+            out_q.append(asks[a + r[top]])
+            out_v.append(ids[c[top]])
+            out_s.append(exact[top])
         return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
     found = (left_side.groupBy("leaf", "part", "ask").cogroup(right_side.groupBy("leaf", "part", "ask"))

@@ -441,6 +441,16 @@ def test_nearest_neighbours_hot_vector_and_odd_rows(spark):
     assert sorted(few.vec_id) == [1, 2, 3, 4] and ann.nearest(df.limit(0)).count() == 0
 
 
+def test_equal_vectors_tie_exactly_in_any_place():
+    rng = np.random.default_rng(4)
+    q, one = rng.normal(size=(3, 61)), rng.normal(size=61)
+    x = np.stack([one if i % 2 else rng.normal(size=61) for i in range(77)])
+    c = np.arange(1, 77, 2)
+    for i in range(3):
+        assert len(set(ann.pair_products(q, x, np.full(len(c), i), c, 7))) == 1
+    assert np.allclose(ann.pair_products(q, x, np.array([2, 0]), np.array([5, 6])), [q[2] @ x[5], q[0] @ x[6]])
+
+
 # --- pipeline ----------------------------------------------------------------------------------
 
 def test_pipeline_equals_its_parts(spark):
