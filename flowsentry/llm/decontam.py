@@ -5,9 +5,10 @@ window) form one automaton over normalised text: words joined by single blanks.
 document is normalised the same way and scanned once, whole; hits are mapped back through
 word numbers to byte offsets and code points of the original text.
 
-The automaton is broadcast only while the windows fit ``max_patterns`` (a checked bound on
-the benchmark, not on the documents).  A larger benchmark is cut into several automata of
-that size, each scanned in turn; nothing is left out.
+The windows are cut out of the items in tasks and written once.  While their weight is within
+``max_patterns`` they form one automaton; a larger benchmark is dealt by hash into slices of
+half that weight on average.  Slices are fetched, broadcast, scanned with and released one
+after the other, so the driver and the executors hold one slice at a time; nothing is left out.
 
 Edge cases: a NULL or word-free text has no words and no hits; items without words match
 nothing; items with a NULL id still mark words as hit but are not counted or listed;
@@ -28,53 +29,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM_WORDS, Words
-from .common import keep_rows
+from .common import drop_scratch, keep_rows, scratch
 
+#: weight of the pairs of windows and items in one automaton; a pair counts 1, and 1 more for every 256 bytes
 MAX_PATTERNS = 50_000
 
 SPAN_SCHEMA = ("doc_id long, n_words long, n_hit long, item_ids array<long>, "
                "spans array<struct<start:long,stop:long>>")
+STATE_SCHEMA = "doc_id long, text string, hits array<long>, item_ids array<long>"
 
 
 def normalised(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(ALNUM_WORDS).split()
 
 
-def item_windows(rows, window: int) -> dict[str, set]:
-    """Window text -> ids of the items that hold it; bytes are kept one-to-one as latin-1 characters."""
-    out: dict[str, set] = defaultdict(set)
-    for item_id, text in rows:
-        words = normalised(text)
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            out[(b" " + b" ".join(words[i:i + window]) + b" ").decode("latin-1")].add(item_id)
-    return out
-
-
-def automata(windows: dict[str, set], max_patterns: int) -> list[bytes]:
-    """Pickled automata of at most ``max_patterns`` windows each."""
+def window_pairs(benchmark: DataFrame, window: int) -> DataFrame:
+    """Distinct pairs of a window (its words between blanks) and an item that holds it."""
+    def run(batches):
+        for batch in batches:
+            pairs = []
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = normalised(text.as_py())
+                for i in range(max(1, len(words) - window + 1) if words else 0):
+                    pairs.append((b" " + b" ".join(words[i:i + window]) + b" ", item_id))
+                    if len(pairs) >= 10_000:
+                        yield table(pairs)
+                        pairs = []
+            if pairs:
+                yield table(pairs)
+
+    def table(pairs):
+        keys, ids = zip(*pairs)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "item_id"])
+
+    return (benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+            .mapInArrow(run, "key binary, item_id long").distinct())
+
+
+def automaton(pairs) -> bytes:
+    """Pickled automaton of ``(window, item id)`` pairs; bytes are kept one-to-one as latin-1 characters."""
     import ahocorasick
 
-    keys, out = sorted(windows), []
-    for i in range(0, len(keys), max_patterns):
-        a = ahocorasick.Automaton()
-        for k in keys[i:i + max_patterns]:
-            a.add_word(k, (k.count(" ") - 1, tuple(sorted(x for x in windows[k] if x is not None))))
-        a.make_automaton()
-        out.append(pickle.dumps(a))
-    return out
+    items: dict[bytes, set] = defaultdict(set)
+    for key, item_id in pairs:
+        items[bytes(key)].add(item_id)
+    a = ahocorasick.Automaton()
+    for key in sorted(items):
+        a.add_word(key.decode("latin-1"), (key.count(b" ") - 1, tuple(sorted(x for x in items[key] if x is not None))))
+    a.make_automaton()
+    return pickle.dumps(a)
 
 
 _LOADED: dict = {}
 
 
-def scan_text(text: bytes, machines) -> tuple[int, np.ndarray, set]:
+def scan_text(text: bytes, machine) -> tuple[int, np.ndarray, set]:
     """Word count, hit words (ascending numbers) and item ids of one text."""
     words = text.translate(ALNUM_WORDS).split()
     n = len(words)
     if not n:
         return 0, np.zeros(0, np.int64), set()
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    found = [(end, n_words, items) for m in machines for end, (n_words, items) in m.iter(line)]
+    found = [(end, *value) for end, value in machine.iter(line)] if machine is not None else []
     if not found:
         return n, np.zeros(0, np.int64), set()
     ends = np.fromiter((f[0] for f in found), np.int64, len(found))
@@ -98,44 +114,75 @@ def original_spans(text: bytes, hit: np.ndarray) -> list[dict]:
             for a, b in runs]
 
 
-def share(benchmark: DataFrame, window: int, max_patterns: int):
-    """Broadcast the automata of the benchmark; returns the broadcast and its key."""
+def slices(benchmark: DataFrame, window: int, max_patterns: int):
+    """``(broadcast, key, last)`` of each slice of the benchmark, one live at a time but for the last."""
     spark = benchmark.sparkSession
-    rows = [(r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator()]
-    shared = spark.sparkContext.broadcast(automata(item_windows(rows, window), max_patterns))
-    return shared, uuid.uuid4().hex
-
-
-def loaded(shared, key: str) -> list:
-    """The automata, unpickled once per Python worker."""
+    pairs = scratch(window_pairs(benchmark, window), "benchmark-windows")
+    weight = pairs.agg(F.sum(1 + F.floor(F.length("key") / 256))).first()[0] or 0
+    n = 1 if weight <= max_patterns else -(-2 * weight // max_patterns)
+    part = F.pmod(F.xxhash64("key", "item_id"), F.lit(n))
+    for k in range(n):
+        rows = pairs.where(part == k).collect()
+        shared = spark.sparkContext.broadcast(automaton(rows) if rows else b"")
+        del rows
+        if k == n - 1:
+            drop_scratch(pairs)
+            yield shared, uuid.uuid4().hex, True
+        else:
+            yield shared, uuid.uuid4().hex, False
+            shared.destroy()
+
+
+def loaded(shared, key: str):
+    """The automaton (``None`` without windows), unpickled once per Python worker."""
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = [pickle.loads(x) for x in shared.value]
+        _LOADED[key] = pickle.loads(shared.value) if shared.value else None
     return _LOADED[key]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_patterns: int = MAX_PATTERNS) -> DataFrame:
-    """Per document: word and hit counts, ids of the items found, spans in the original text."""
-    shared, key = share(benchmark, window, max_patterns)
-
+def marker(shared, key: str, last: bool):
+    """Scan with one slice: adds its hit words and items; the last slice also finds the spans."""
     def run(batches):
-        machines = loaded(shared, key)
+        machine = loaded(shared, key)
         for batch in batches:
-            n_words, n_hit, items, spans = [], [], [], []
-            for value in batch.column(1).cast(pa.large_binary()):
+            n_words, hits, items, spans = [], [], [], []
+            for value, old_hits, old_items in zip(batch.column(1).cast(pa.large_binary()), batch.column(2), batch.column(3)):
                 text = value.as_py() or b""
-                n, hit, ids = scan_text(text, machines)
+                n, hit, ids = scan_text(text, machine)
+                if len(old_hits):
+                    hit = np.union1d(hit, np.array(old_hits.as_py(), np.int64))
+                    ids = ids.union(old_items.as_py())
                 n_words.append(n)
-                n_hit.append(len(hit))
+                hits.append(hit)
                 items.append(sorted(ids))
-                spans.append(original_spans(text, hit))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
-                 pa.array(items, pa.list_(pa.int64())),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
-                ["doc_id", "n_words", "n_hit", "item_ids", "spans"])
+                if last:
+                    spans.append(original_spans(text, hit))
+            items = pa.array(items, pa.list_(pa.int64()))
+            if last:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(n_words, pa.int64()), pa.array(map(len, hits), pa.int64()), items,
+                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
+                    ["doc_id", "n_words", "n_hit", "item_ids", "spans"])
+            else:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(hits, pa.list_(pa.int64())), items],
+                    ["doc_id", "text", "hits", "item_ids"])
+    return run
 
-    return docs.select("doc_id", "text").mapInArrow(run, SPAN_SCHEMA)
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_patterns: int = MAX_PATTERNS) -> DataFrame:
+    """Per document: word and hit counts, ids of the items found, spans in the original text."""
+    none, done = F.lit([]).cast("array<long>"), None
+    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", none.alias("hits"), none.alias("item_ids"))
+    for shared, key, last in slices(benchmark, window, max_patterns):
+        marked = state.mapInArrow(marker(shared, key, last), SPAN_SCHEMA if last else STATE_SCHEMA)
+        if last:
+            return marked
+        state = scratch(marked, "decontamination")
+        if done is not None:
+            drop_scratch(done)
+        done = state
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -149,14 +196,22 @@ def digest(scanned: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                   max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """The rows that hold no benchmark window, with all their columns; nothing is shuffled."""
-    shared, key = share(benchmark, window, max_patterns)
-
-    def clean(batch):
-        machines = loaded(shared, key)
-        texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary())
-        return [not len(scan_text(t.as_py() or b"", machines)[1]) for t in texts]
-
-    return keep_rows(docs, clean)
+    def cleaner(shared, key):
+        def clean(batch):
+            machine = loaded(shared, key)
+            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary())
+            return [not len(scan_text(t.as_py() or b"", machine)[1]) for t in texts]
+        return clean
+
+    done = None
+    for shared, key, last in slices(benchmark, window, max_patterns):
+        kept = keep_rows(docs, cleaner(shared, key))
+        if last:
+            return kept
+        docs = scratch(kept, "decontamination")
+        if done is not None:
+            drop_scratch(done)
+        done = docs
 
 
 def items_digest(ids) -> str:

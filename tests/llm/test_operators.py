@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from flowsentry.llm import ann, chat, decontam, langid, lm, neardup, packing, quality, queries, toxicity, warc
 from flowsentry.llm.bytewords import ALNUM_WORDS, WHITESPACE_WORDS, Words
@@ -400,9 +401,12 @@ def test_decontamination_spans_shards_and_odd_rows(spark):
             (3, None), (4, ""), (5, "é one two three")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     want = {r[0]: r[1:3] for r in brute_hits(docs, items)}
-    for shard in (1, 1000):
+    for shard in (1, 4, 1000):
         got = {r.doc_id: r for r in decontam.scan(d, b, max_patterns=shard).collect()}
         assert {k: (r.n_words, r.n_hit) for k, r in got.items()} == want
+        kept = decontam.decontaminate(d.withColumn("n_hit", F.lit("x")), b, max_patterns=shard)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, v in want.items() if not v[1])
+        assert kept.columns == ["doc_id", "text", "n_hit"]
     assert [docs[4][1][s.start:s.stop] for s in got[5].spans] == ["one two three"]
     assert got[2].item_ids == [1, 2]
     assert decontam.decontaminate(odd_documents(spark), b).count() == 10
