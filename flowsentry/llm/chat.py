@@ -20,13 +20,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
 from urllib.parse import quote, unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .packing import ranks
+
 KNOWN = ("system", "user", "assistant", "tool")
 CLOSE = "\n</turn>\n"
 _ROLE = r"(?:System|User|Assistant|Tool|~|=[A-Za-z0-9_.~%-]*): "
@@ -87,49 +89,66 @@ _TOKENIZERS: dict = {}
 
 
 def tokenizer(name: str = "byte_bpe_50k"):
-    """The public tokenizer with the template's control strings as tokens of their own."""
+    """The public vocabulary with the template's control strings as tokens of their own, and each token's bytes.
+
+    Id ``len(ranks)`` stays free for the vocabulary's own end of text; the control strings follow it.
+    """
     if name not in _TOKENIZERS:
         import public_tokenizers as P
-        from tokenizers import AddedToken, Tokenizer
-
-        t = Tokenizer.from_file(P.path(f"{name}.json"))
-        t.add_special_tokens([AddedToken(s, normalized=False, special=True)
-                              for s in [f"### {r.capitalize()}: " for r in KNOWN] + [CLOSE]])
-        _TOKENIZERS[name] = t
+        import tiktoken
+
+        known = ranks(name)
+        own = {s: len(known) + 1 + i for i, s in enumerate([f"### {r.capitalize()}: " for r in KNOWN] + [CLOSE])}
+        size = np.zeros(len(known) + 1 + len(own), np.int64)
+        for token, i in [*known.items(), *own.items()]:
+            size[i] = len(token)            # control strings are ASCII
+        _TOKENIZERS[name] = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=known, special_tokens=own), size
     return _TOKENIZERS[name]
 
 
-def loss_mask(spans: list[tuple[int, int]], tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """``(token, start, stop)`` of every token part inside a span, by binary search for each span.
+def encode(text: str, name: str = "byte_bpe_50k") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a whole text, and the code points where each token starts and ends.
+
+    Tokens follow each other byte by byte; a token that begins or ends inside a character takes
+    the whole character as its place.
+    """
+    encoding, size = tokenizer(name)
+    ids = np.array(encoding.encode(text, allowed_special="all"), np.int32)
+    ends = np.cumsum(size[ids])
+    raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+    if len(raw) == len(text):
+        return ids, ends - size[ids], ends
+    character = np.cumsum((raw & 0xC0) != 0x80)         # number of the character of each byte, from 1
+    return ids, character[ends - size[ids]] - 1, character[ends - 1]
+
+
+def loss_mask(spans: list[tuple[int, int]], starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Rows ``token, start, stop`` of every token part inside a span, by binary search for all spans.
 
     Token starts and ends both ascend (parts of one character share its span), so the tokens that
     meet a span are one run.
     """
-    starts, stops = [t[0] for t in tokens], [t[1] for t in tokens]
-    out = []
-    for a, b in spans:
-        if a < b:
-            for k in range(bisect_right(stops, a), bisect_left(starts, b)):
-                out.append((k, max(a, starts[k]), min(b, stops[k])))
-    return out
+    a, b = np.array([s for s in spans if s[0] < s[1]], np.int64).reshape(-1, 2).T
+    first, last = np.searchsorted(stops, a, "right"), np.searchsorted(starts, b, "left")
+    n = last - first
+    token = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+    return np.stack([token, np.maximum(np.repeat(a, n), starts[token]), np.minimum(np.repeat(b, n), stops[token])], axis=1)
 
 
-def covered(mask: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+def covered(mask: np.ndarray) -> list[tuple[int, int]]:
     """The masked text as disjoint ascending spans (tokens of one character overlap)."""
-    out: list[tuple[int, int]] = []
-    for _, a, b in mask:
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    if not len(mask):
+        return []
+    reach = np.maximum.accumulate(mask[:, 2])
+    cut = np.flatnonzero(mask[1:, 1] > reach[:-1]) + 1
+    return list(zip(mask[np.append(0, cut), 1].tolist(), reach[np.append(cut - 1, len(mask) - 1)].tolist()))
 
 
 def format_conversation(turns: list[tuple[str | None, str]], name: str = "byte_bpe_50k") -> dict:
     """Formatted text, ids, masked token parts and the spans of the assistant texts."""
     text, spans = render(turns)
-    got = tokenizer(name).encode(text, add_special_tokens=False)
-    return {"text": text, "ids": got.ids, "mask": loss_mask(spans, got.offsets), "spans": spans}
+    ids, starts, stops = encode(text, name)
+    return {"text": text, "ids": ids, "mask": loss_mask(spans, starts, stops), "spans": spans}
 
 
 def digest(conv_id, turns: list[tuple[str | None, str]], name: str) -> tuple:
@@ -139,14 +158,12 @@ def digest(conv_id, turns: list[tuple[str | None, str]], name: str) -> tuple:
     said = hashlib.sha256()
     for role, text in back:
         said.update(f"{role or ''}\n{text}\n".encode("utf-8", "surrogatepass"))
-    # the mask's text, cut at the ends of the assistant texts so that each is unescaped on its own
-    masked, loss = covered(out["mask"]), []
-    for a, b in out["spans"]:
-        loss.append(unescape("".join(out["text"][max(a, x):min(b, y)] for x, y in masked if x < b and y > a)))
-    loss = "".join(loss)
+    # the mask's text; no part reaches over the control strings between two assistant texts, and a text
+    # is one part if the mask is whole, so each is unescaped on its own
+    loss = "".join(unescape(out["text"][a:b]) for a, b in covered(out["mask"]))
     return (conv_id, len(back), said.hexdigest(), len(loss),
             hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(out["text"]),
-            len(out["ids"]), len({k for k, _, _ in out["mask"]}))
+            len(out["ids"]), len(np.unique(out["mask"][:, 0])))
 
 
 def sorted_turns(rows: DataFrame) -> DataFrame:
@@ -171,7 +188,7 @@ def format_all(rows: DataFrame, name: str = "byte_bpe_50k", digests: bool = True
         if digests:
             return digest(conv_id, turns, name)
         out = format_conversation(turns, name)
-        return conv_id, out["text"], out["ids"], [dict(zip(("token", "start", "stop"), m)) for m in out["mask"]]
+        return conv_id, out["text"], out["ids"], [dict(zip(("token", "start", "stop"), m)) for m in out["mask"].tolist()]
 
     def table(done):
         kinds = [pa.string() if n in text_columns else pa.list_(pa.int32()) if n == "ids" else mask_type if n == "mask"

@@ -34,6 +34,14 @@ PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_token
 _ENCODERS: dict = {}
 
 
+def ranks(name: str = "byte_bpe_50k") -> dict[bytes, int]:
+    """Token bytes -> id of the public vocabulary."""
+    import public_tokenizers as P
+
+    with open(P.path(f"{name}.tiktoken"), "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 def encoder(name: str = "byte_bpe_50k"):
     """The byte-level BPE of the public vocabulary, once per Python worker.
 
@@ -45,9 +53,7 @@ def encoder(name: str = "byte_bpe_50k"):
         import public_tokenizers as P
         import tiktoken
 
-        with open(P.path(f"{name}.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[name] = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[name] = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks(name), special_tokens={})
     return _ENCODERS[name]
 
 
