@@ -7,9 +7,9 @@ unit come from a gated recurrent network in numpy; ``P(word | unit)`` is the add
 ``(c + 1) / (N_unit + V_unit + 1)`` from the counts of all training documents.
 
 * Counts: every training document, summed per task before the shuffle.
-* Network: trained by truncated backpropagation on a fixed share of the training documents
-  (``train_share``; the work grows with the corpus).  Each partition starts from the common
-  parameters; the partitions' results are averaged by token count, ``rounds`` times.
+* Network: trained by truncated backpropagation on every training document.  Each partition
+  starts from the common parameters and streams its documents in blocks of about
+  ``block_tokens``; the partitions' results are averaged by token count, ``rounds`` times.
 * Scoring: many documents run side by side as slots of one batch; a slot's state is carried
   from window to window until its document ends, so the score covers complete documents.
 * The counts of the ``head`` most frequent words (a bounded table) are broadcast.  Other words
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import WHITESPACE_WORDS, Words
-from .common import drop_scratch, hash_share, held_out, learnable, scratch, text_chunks
+from .common import drop_scratch, held_out, learnable, scratch, text_chunks
 
 #: key and suffix of the end token (no word has this suffix: words hold no zero byte pair)
 END = np.uint64(0x5E0D0F7EE7D0C0DE)
@@ -304,7 +304,32 @@ def score_units(net: Network, docs: list[np.ndarray], slots: int = 512, window:
     return out
 
 
-def train(net: Network, docs: list[np.ndarray], slots: int = 64, window: int = 20, rate: float = 0.01) -> float:
+class Adam:
+    """Moments and step count of one run of training, kept from block to block."""
+
+    def __init__(self, size: int):
+        self.m, self.v, self.steps = np.zeros(size, np.float32), np.zeros(size, np.float32), 0
+
+
+def blocks(docs, block_tokens: int):
+    """Runs of whole documents of at least ``block_tokens``; a rest below half of that joins the run before."""
+    last, held, n = [], [], 0
+    for d in docs:
+        held.append(d)
+        n += len(d)
+        if n >= block_tokens:
+            if last:
+                yield last
+            last, held, n = held, [], 0
+    if last and 2 * n >= block_tokens:
+        yield last
+        last = []
+    if last or held:
+        yield last + held
+
+
+def train(net: Network, docs: list[np.ndarray], slots: int = 64, window: int = 20, rate: float = 0.01,
+          adam: Adam | None = None) -> float:
     """Truncated backpropagation through time with Adam; returns the mean loss per token."""
     _, target, first = lay_out(docs, slots)
     n_slots, steps = target.shape
@@ -312,7 +337,8 @@ def train(net: Network, docs: list[np.ndarray], slots: int = 64, window: int = 2
     feed[:, 1:] = np.maximum(target[:, :-1], 0)
     feed[first] = 0
     h = np.zeros((n_slots, net.h), np.float32)
-    m, v = np.zeros_like(net.flat), np.zeros_like(net.flat)
+    adam = adam or Adam(len(net.flat))
+    m, v = adam.m, adam.v
     n, loss, seen, update = net.h, 0.0, 0, 0
     windows = -(-steps // window)
     for a in range(0, steps, window):
@@ -333,30 +359,36 @@ def train(net: Network, docs: list[np.ndarray], slots: int = 64, window: int = 2
         d_out = np.zeros_like(flat_states)
         d_out[ok] = ds
         d_out = d_out.reshape(b - a, n_slots, n)
-        d_gx = np.zeros((b - a, n_slots, 3 * n), np.float32)
-        g["w"] = np.zeros_like(net.p["w"])
+        d_gx = np.empty((b - a, n_slots, 3 * n), np.float32)
+        d_gh = np.empty_like(d_gx)
         dh = np.zeros_like(h)
         for t in range(b - a - 1, -1, -1):
             prev, keep, (r, z, cand, gh) = kept[t]
             dh = dh + d_out[t]
-            dn = dh * (1 - z) * (1 - cand * cand)
-            dz = dh * (prev - cand) * z * (1 - z)
-            dr = dn * gh * r * (1 - r)
-            d_gx[t] = np.concatenate([dr, dz, dn], axis=1)
-            d_gh = np.concatenate([dr, dz, dn * r], axis=1)
-            g["w"] += prev.T @ d_gh
-            dh = (dh * z + d_gh @ net.p["w"].T) * keep
+            left = dh * (1 - z)
+            x, w = d_gx[t], d_gh[t]
+            x[:, 2 * n:] = dn = left * (1 - cand * cand)
+            x[:, n:2 * n] = left * (prev - cand) * z
+            x[:, :n] = dn * gh * r * (1 - r)
+            w[:, :2 * n] = x[:, :2 * n]
+            w[:, 2 * n:] = dn * r
+            dh = (dh * z + w @ net.p["w"].T) * keep
+        g["w"] = np.concatenate([k[0] for k in kept]).T @ d_gh.reshape(-1, 3 * n)
         g["x"] = np.zeros_like(net.p["x"])
-        np.add.at(g["x"], feed[:, a:b].T.reshape(-1), d_gx.reshape(-1, 3 * n))
+        fed = feed[:, a:b].T.reshape(-1)
+        order = np.argsort(fed, kind="stable")
+        unit, at = np.unique(fed[order], return_index=True)
+        g["x"][unit] = np.add.reduceat(d_gx.reshape(-1, 3 * n)[order], at, axis=0)
         grad = np.concatenate([g[k].reshape(-1) for k in net.shapes]) / len(ok)
         norm = float(np.sqrt((grad * grad).sum()))
         if norm > 1:
             grad /= norm
         update += 1
+        adam.steps += 1
         m += 0.1 * (grad - m)
         v += 0.005 * (grad * grad - v)
         pace = rate * min(1.0, 1.5 * (1 - (update - 1) / max(windows, 1)) + 0.05)
-        net.flat -= pace * (m / (1 - 0.9 ** update)) / (np.sqrt(v / (1 - 0.995 ** update)) + 1e-6)
+        net.flat -= pace * (m / (1 - 0.9 ** adam.steps)) / (np.sqrt(v / (1 - 0.995 ** adam.steps)) + 1e-6)
         loss -= float(logp.sum())
         seen += len(ok)
     return loss / max(seen, 1)
@@ -374,20 +406,24 @@ def _unit_docs(vocab: Vocabulary, column):
             yield np.append(unit[a:b], 0).astype(np.int16), key[a:b]
 
 
-def fit(train_docs: DataFrame, vocab: Vocabulary, rounds: int) -> np.ndarray:
-    """Rounds of local training per partition and token-weighted averaging of the parameters."""
+def fit(train_docs: DataFrame, vocab: Vocabulary, rounds: int, block_tokens: int = 1 << 20) -> tuple[np.ndarray, int]:
+    """Rounds of local training per partition and token-weighted averaging of the parameters.
+
+    Returns the parameters and the tokens one round learned from (the ends included).
+    """
     spark = train_docs.sparkSession
-    flat = Network(vocab).flat
+    flat, total = Network(vocab).flat, 0
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((vocab, flat))
 
         def local(batches):
             vocab_, flat_ = shared.value
-            docs = [u for batch in batches for u, _ in _unit_docs(vocab_, batch.column(0))]
-            if docs:
-                net = Network(vocab_, flat_.copy())
-                train(net, docs, rate=0.012 / (k + 1))
-                n = sum(map(len, docs))
+            net, n = Network(vocab_, flat_.copy()), 0
+            adam = Adam(len(net.flat))
+            for docs in blocks((u for batch in batches for u, _ in _unit_docs(vocab_, batch.column(0))), block_tokens):
+                train(net, docs, rate=0.012 / (k + 1), adam=adam)
+                n += sum(map(len, docs))
+            if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([net.flat.tobytes()], pa.binary())],
                                                  ["n", "flat"])
 
@@ -406,26 +442,20 @@ def fit(train_docs: DataFrame, vocab: Vocabulary, rounds: int) -> np.ndarray:
         if total:
             flat = sum(r["n"] / total * np.frombuffer(r["flat"], np.float32).astype(np.float64) for r in rows).astype(np.float32)
         drop_scratch(parts)
-    return flat
+    return flat, total
 
 
 SCORE_SCHEMA = ("doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, unit_log double, "
                 "tail array<struct<key:long,m:int>>")
 
 
-def score_documents(docs: DataFrame, head: int = 1 << 18, train_share: float = 1 / 32, least_tokens: int = 1 << 20,
-                    rounds: int = 1, block_tokens: int = 1 << 21) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row of ``docs``.
-
-    The network is fitted on ``train_share`` of the training documents; on a small corpus on the
-    larger share that holds about ``least_tokens`` tokens.
-    """
+def score_documents(docs: DataFrame, head: int = 1 << 18, rounds: int = 1, block_tokens: int = 1 << 21) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row of ``docs``."""
     spark = docs.sparkSession
     learn = docs.where(learnable(F.col("doc_id"), 7))
     counts = scratch(word_counts(learn), "lm-counts")
     vocab = vocabulary(counts, head)
-    share = max(train_share, least_tokens / max(vocab.total, 1))
-    flat = fit(learn.where(hash_share(F.col("doc_id"), share, "lm-train")), vocab, rounds)
+    flat, _ = fit(learn, vocab, rounds)
     shared = spark.sparkContext.broadcast((vocab, flat))
 
     def run(batches):

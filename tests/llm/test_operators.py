@@ -360,6 +360,28 @@ def test_gradient_of_the_recurrent_model(spark):
     assert lm.score_units(net, [doc]).sum() > before
 
 
+def test_language_model_learns_from_every_training_document(spark, monkeypatch):
+    docs = spark.range(2400).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('word', id % 50, ' and more '), 300)").alias("text"))
+    calls, fit = [], lm.fit
+
+    def seen(train_docs, vocab, rounds):
+        calls.append((train_docs, vocab, fit(train_docs, vocab, rounds)))
+        return calls[-1][2]
+
+    monkeypatch.setattr(lm, "fit", seen)
+    got = lm.score_documents(docs).toPandas()
+    (train_docs, vocab, (flat, tokens)), = calls
+    assert train_docs.count() == (~got.held_out).sum() and tokens == got.train_tokens[0] > 1 << 20
+    assert fit(train_docs.limit(50).coalesce(1), vocab, 1, block_tokens=5000)[1] == 50 * 901     # many blocks in one task
+
+
+def test_blocks_hold_every_document_once():
+    docs = [np.zeros(n, np.int16) for n in (3, 30, 1, 9, 4, 200, 2)]
+    got = list(lm.blocks(iter(docs), 20))
+    assert [len(b) for b in got] == [2, 5] and [id(d) for b in got for d in b] == [id(d) for d in docs]
+    assert [len(b) for b in lm.blocks(iter(docs[:4] + docs[:2]), 20)] == [2, 4] and not list(lm.blocks(iter([]), 20))
+
+
 def test_language_model_odd_rows(spark):
     got = lm.score_documents(odd_documents(spark)).toPandas()
     assert len(got) == 10 and got[got.doc_id == 1].n_tokens.tolist() == [1] and np.isfinite(got.score).all()
