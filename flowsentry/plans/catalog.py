@@ -781,13 +781,13 @@ def m3_linear_svc(spark, d):
 
 @query("m4_rbf_svm")
 def m4_rbf_svm(spark, d):
-    """M-4: rbf SVM via random Fourier features (D = 256) + LinearSVC."""
+    """M-4: rbf SVM via random Fourier features (D = 512) + LinearSVC."""
     return E.run_kernel_svm_features(spark, d, "rbf")
 
 
 @query("m5_poly_svm")
 def m5_poly_svm(spark, d):
-    """M-5: poly SVM via a Nystrom map (256 hash-sampled landmarks) + LinearSVC."""
+    """M-5: poly SVM via a Nystrom map (512 hash-sampled landmarks) + LinearSVC."""
     return E.run_kernel_svm_features(spark, d, "poly")
 
 

@@ -93,7 +93,7 @@ def run_supervised(spark: SparkSession, sf_dir: str, kind: str = "rf", weighted:
 
 
 def run_kernel_svm_features(spark: SparkSession, sf_dir: str, kind: str = "rbf", C: float = 1.0,
-                            n_components: int = 256) -> DataFrame:
+                            n_components: int = 512) -> DataFrame:
     """M-4 / M-5: kernel SVM through an explicit kernel map + LinearSVC (class-weighted)."""
     from ..operators.forest import fit_kernel_map
     from ..operators.models import evaluate_classifier, fit_classifier

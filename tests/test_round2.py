@@ -1,11 +1,16 @@
 """Detector comparison, one-class grid, null-safe header filter."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from flowsentry.operators import forest as FR
 from flowsentry.plans import experiments as E
+from flowsentry.plans.catalog import QUERIES
 from flowsentry.sources.flows import read_cic
 
+from .conftest import SF_SMALL
+
 
 def test_header_filter_keeps_rows_with_an_empty_label(spark, tmp_path):
     path = tmp_path / "day.csv"
@@ -33,3 +38,28 @@ def test_counts_of_cuts_and_choice(spark):
     q = {r["cut"]: E.quality(r) for r in counts}
     assert 5 <= q[0.05]["flagged"] <= 6 and q[0.1]["recall"] == 1.0 and q[0.1]["rows"] == 100
     assert E.pick(models, counts, True)["d"][1] == 0.1 and "e" not in E.pick(models, counts, True)
+
+
+@pytest.mark.parametrize("kind", ["rbf", "poly"])
+def test_kernel_svm_queries_use_512_features(spark, monkeypatch, kind):
+    class Fitted(Exception):
+        pass
+
+    def stop(df, feat, kind_, gamma="scale", n_components=512, **kw):
+        raise Fitted(kind_, n_components)
+
+    monkeypatch.setattr(FR, "fit_kernel_map", stop)
+    query = {"rbf": "m4_rbf_svm", "poly": "m5_poly_svm"}[kind]
+    with pytest.raises(Fitted) as got:
+        QUERIES[query](spark, SF_SMALL)
+    assert got.value.args == (kind, 512)
+
+
+def test_sigmoid_map_gives_the_positive_part_of_the_kernel(spark):
+    x = np.random.default_rng(5).normal(size=(40, 6))
+    df = spark.createDataFrame([(str(i), r.tolist()) for i, r in enumerate(x)], "row_id string, x array<double>")
+    km = FR.fit_kernel_map(df, "x", "sigmoid", 0.3, 512)
+    phi = np.array([r.phi for r in km.transform(df, "x", "phi").orderBy(F.col("row_id").cast("int")).collect()])
+    values, vectors = np.linalg.eigh(np.tanh(0.3 * x @ x.T))
+    solid = values > 1e-10 * values.max()
+    assert np.allclose(phi @ phi.T, (vectors[:, solid] * values[solid]) @ vectors[:, solid].T, atol=1e-8)
