@@ -6,7 +6,7 @@
   vectors get one more coordinate that gives all of them the same length.
 * Index: every row goes down every tree and lands in one leaf per tree.  Of equal vectors only
   the ``k + 1`` smallest ids can ever be among the ``k`` nearest of any query, so only those are
-  indexed; this is exact and keeps a vector that fills a third of the table out of one leaf.
+  indexed, repeated rows once; this is exact and keeps a vector that fills a third of the table out of one leaf.
   A leaf with more rows or queries than a block is split by hash.
 * Search: one priority queue shared by all trees holds the nodes not yet entered, ordered by the
   distance to the nearest split plane on their way; the query enters the most promising ones
@@ -159,7 +159,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 10, l
     A tree has ``leaves`` leaves, fewer on a table too small to give each about ``leaf_rows`` rows.
     """
     spark = vectors.sparkSession
-    rows = scratch(usable(vectors), "ann-rows")
+    rows = scratch(usable(vectors).distinct(), "ann-rows")
     n = rows.count()
     leaves = max(1, min(leaves, n // leaf_rows))
     share = min(1.0, sample / max(n, 1))
@@ -170,7 +170,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 10, l
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
-    # equal vectors: the k + 1 smallest ids are all that any query can need
+    # equal vectors: the k + 1 smallest ids are all that any query can need (rows are distinct)
     same = Window.partitionBy("embedding").orderBy("vec_id")
     indexed = rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy")
 
@@ -221,20 +221,25 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 10, l
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         x = to_matrix(left.column("embedding").combine_chunks())[order]
+        start = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))        # first row of each id
         asks, q = right.column("vec_id").to_numpy(), to_matrix(right.column("embedding").combine_chunks())
         longest = np.linalg.norm(x, axis=1).max()
         out_q, out_v, out_s = [], [], []
         for a in range(0, len(asks), 256):
             s = q[a:a + 256] @ x.T
             s[asks[a:a + 256, None] == ids[None, :]] = -np.inf
-            if s.shape[1] > k:      # all that reach the k-th best score within rounding, then ties by the smaller id
-                least = -np.partition(-s, k - 1, axis=1)[:, k - 1:k] - 1e-12 * np.linalg.norm(q[a:a + 256], axis=1)[:, None] * longest
+            if len(start) > k:      # all that reach the k-th best score within rounding, then ties by the smaller id
+                of_id = s if len(start) == len(ids) else np.maximum.reduceat(s, start, axis=1)
+                least = -np.partition(-of_id, k - 1, axis=1)[:, k - 1:k] - 1e-12 * np.linalg.norm(q[a:a + 256], axis=1)[:, None] * longest
             else:
                 least = np.full((len(s), 1), -np.inf)
             r, c = np.nonzero((s >= least) & (s > -np.inf))
             exact = pair_products(q[a:a + 256], x, r, c)
             o = np.lexsort((ids[c], -exact, r))
             r, c, exact = r[o], c[o], exact[o]
+            if len(start) < len(ids):       # an id with several vectors counts once, by its best
+                first = np.sort(np.unique(np.column_stack([r, ids[c]]), axis=0, return_index=True)[1])
+                r, c, exact = r[first], c[first], exact[first]
             place = np.arange(len(r)) - np.searchsorted(r, r)
             top = place < k
             out_q.append(asks[a + r[top]])

@@ -467,6 +467,22 @@ def test_nearest_neighbours_hot_vector_and_odd_rows(spark):
     assert sorted(few.vec_id) == [1, 2, 3, 4] and ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_neighbours_repeated_rows_hide_no_id(spark):
+    rng = np.random.default_rng(6)
+    hot = [1.0, 0.5, 0.0]
+    rows = [(i, hot if i % 3 == 0 else rng.normal(size=3).tolist()) for i in range(300)] * 2
+    rows += [(3, hot)] * 40 + [(9, [1.0, 0.5, j * 1e-3]) for j in range(1, 40)]      # one id over and over, alike and nearly so
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf_rows=1000).toPandas()
+    x = collections.defaultdict(list)
+    for i, v in rows:
+        x[i].append(v)
+    assert not got.duplicated(["query_id", "vec_id"]).any()
+    for q, g in got.groupby("query_id"):
+        best = {i: max(np.dot(a, b) for a in x[q] for b in x[i]) for i in x if i != q}
+        want = sorted(best, key=lambda i: (-round(best[i], 9), i))[:20]
+        assert g.sort_values("rank").vec_id.tolist() == want
+
+
 def test_equal_vectors_tie_exactly_in_any_place():
     rng = np.random.default_rng(4)
     q, one = rng.normal(size=(3, 61)), rng.normal(size=61)
