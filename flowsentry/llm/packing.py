@@ -31,6 +31,9 @@ from .common import scratch
 EOD = 1
 PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
+#: the added token of the JSON file
+SPECIAL = {"<|endoftext|>": 50256}
+
 _ENCODERS: dict = {}
 
 
@@ -47,13 +50,15 @@ def encoder(name: str = "byte_bpe_50k"):
 
     The rank file holds the same vocabulary and splitting pattern as the JSON file and
     gives the same ids (checked over every code point in the tests) at 3-4 times the speed.
-    Strings of special tokens inside a text are ordinary text.
+    As in the JSON file the string ``<|endoftext|>`` inside a text is one id; ``encode`` with
+    ``allowed_special="all"`` gives the ids of the JSON tokenizer in its default setting.
     """
     if name not in _ENCODERS:
         import public_tokenizers as P
         import tiktoken
 
-        _ENCODERS[name] = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks(name), special_tokens={})
+        _ENCODERS[name] = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks(name),
+                                           special_tokens=SPECIAL)
     return _ENCODERS[name]
 
 
@@ -63,12 +68,12 @@ def tokenize_pieces(docs: DataFrame, max_len: int = 2048, with_ids: bool = False
     schema = PIECE_SCHEMA + (", ids array<int>" if with_ids else "")
 
     def run(batches):
-        encode = encoder(tokenizer).encode_ordinary
+        encode = encoder(tokenizer).encode
         for batch in batches:
             ids_col, texts = batch.column(0), batch.column(1)
             row, start, length, crc, total, ids = [], [], [], [], [], []
             for i, text in enumerate(texts):
-                got = np.array(encode(text.as_py() or "") + [EOD], dtype="<u4")
+                got = np.array(encode(text.as_py() or "", allowed_special="all") + [EOD], dtype="<u4")
                 n = len(got)
                 for s in range(0, n, max_len):
                     piece = got[s:s + max_len]

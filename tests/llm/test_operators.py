@@ -74,6 +74,18 @@ def test_encoder_gives_the_ids_of_the_json_tokenizer():
         assert packing.encoder().encode_ordinary(text) == got.ids
 
 
+def test_packing_gives_the_added_token_one_id(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a document <|endoftext|> and more", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext| > <|ENDOFTEXT|>",
+             " \n<|endoftext|>\n\n", "no token", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in packing.tokenize_pieces(docs, with_ids=True).collect()}
+    assert got == {i: e.ids + [packing.EOD] for i, e in enumerate(t.encode_batch(texts, add_special_tokens=False))}
+
+
 def check_packing(p: pd.DataFrame, texts: list, max_len=2048):
     assert p.length.between(1, max_len).all()
     assert p.length.sum() == sum(len(packing.encoder().encode_ordinary(t or "")) + 1 for t in texts)
