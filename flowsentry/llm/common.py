@@ -86,3 +86,23 @@ def keep_rows(docs: DataFrame, test) -> DataFrame:
 
 def read_documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, spread: list[str],
+                how: str = "inner", parts: int = 512) -> DataFrame:
+    """Join on ``keys``, unique in ``right``, whose ``weight`` counts the rows of ``left`` with that key.
+
+    A key with more than 1/``parts`` of all counted rows is hot; there are fewer than ``parts`` of
+    them whatever the tables' size, so the list of hot keys is small enough to broadcast.  Rows of a hot
+    key are dealt by a hash of ``spread``, and its row in ``right`` is repeated once per share.
+    ``right`` should be a written table, as it is read twice; its ``weight`` is dropped.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    share = max(4096, total // parts)
+    shares = F.greatest(F.lit(1), F.ceil(F.col(weight) / share)).cast("int")
+    hot = right.where(F.col(weight) > share).select(*keys, shares.alias("_shares"))
+    dealt = (left.join(F.broadcast(hot), keys, "left")
+             .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_shares")).cast("int"), F.lit(0)))
+             .drop("_shares"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), shares - 1))).drop(weight)
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")

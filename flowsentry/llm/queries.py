@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, lm, neardup, packing, quality, toxicity, warc
+from . import ann, chat, decontam, langid, linededup, lm, neardup, packing, periodic, prefixtrie, quality, toxicity, warc
 from .common import read_documents
 
 
@@ -50,9 +51,24 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_documents(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie_of(read_documents(spark, sf_dir, "conversations")).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(read_documents(spark, sf_dir), order=periodic.rewritten))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(read_documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_chat_format, op3_language_id, op4_quality, op5_toxicity, op6_warc_derivatives,
-    op7_near_duplicates, op8_language_model, op9_decontamination, op10_nearest_neighbours)}
+    op7_near_duplicates, op8_language_model, op9_decontamination, op10_nearest_neighbours,
+    op11_prefix_trie, op12_periodic_runs, op13_line_dedup)}
 
-#: none of them is checked by SQL: each is held against brute force, a round trip or held-out rows in tests/llm
-ORACLE: dict[str, str] = {}
+#: the others are held against brute force, a round trip or held-out rows in tests/llm
+ORACLE: dict[str, str] = {"op11_prefix_trie": prefixtrie.SQL, "op13_line_dedup": linededup.SQL}
