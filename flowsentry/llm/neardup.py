@@ -6,20 +6,23 @@
    order of the bins and takes the first that is filled).
 2. Rows with equal shingle sets form a class; only one row per class goes on, so a group of
    exact copies costs one row whatever its size.
-3. Band buckets with two classes or more give star-shaped candidates: the member that shares
-   most buckets is the centre.  Centres are confirmed against the members on the full
-   shingle sets of their whole texts.
+3. Band buckets with two classes or more give star-shaped candidates: the smallest member is the
+   centre, so buckets of the same classes agree on it.  Centres are confirmed against the
+   members on the full shingle sets of their whole texts.
 4. Confirmed links are contracted to components by alternating large and small stars.
    A bucket whose members are all in one component is done.  The members of the others are
    compared across components by an exact prefix-filter join, so a star loses no link: every
    pair that shares a bucket is compared or connected.  No bucket is capped.
 
+Rows are told apart by two hashes of id and text, not by the id, and classes by both words of their key.
+
 With r rows and b bands a pair of similarity s shares a bucket with probability
 1 - (1 - s^r)^b; the defaults (6, 64) miss a pair at exactly 0.75 with 4e-6.
 
 Edge cases: NULL, empty and word-free texts have no shingles and are linked with nothing;
 repeated rows fall into one class; rows with a NULL ``doc_id`` take part, but a component's
-id is its smallest non-NULL ``doc_id`` (NULL if there is none); extra columns are ignored.
+id is its smallest non-NULL ``doc_id`` (NULL if there is none); an id may occur with several texts;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,16 +31,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import WHITESPACE_WORDS, Words, mix
-from .common import drop_scratch, scratch, text_chunks
+from .common import drop_scratch, hot_shares, scratch, spread_join, text_chunks
 
 K_WORDS = 5
 ROWS, BANDS = 6, 64
-FINGERPRINT_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
+FINGERPRINT_SCHEMA = "doc_id long, r1 long, r2 long, n_shingles long, k1 long, k2 long, bands array<long>"
 
 _ODD = mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
 
@@ -126,7 +128,7 @@ def chunk_sets(raw: bytes, off: np.ndarray, k: int):
 
 
 def fingerprints(docs: DataFrame, rows: int = ROWS, bands: int = BANDS, k: int = K_WORDS) -> DataFrame:
-    """``doc_id, n_shingles, k1, k2, bands`` per row (keys and bands NULL without shingles)."""
+    """``doc_id, r1, r2`` (row key), ``n_shingles, k1, k2, bands`` per row (set key and bands NULL without shingles)."""
     def run(batches):
         for batch in batches:
             size, k1, k2, band = [], [], [], []
@@ -145,10 +147,15 @@ def fingerprints(docs: DataFrame, rows: int = ROWS, bands: int = BANDS, k: int =
             flat = np.concatenate(band).reshape(-1) if band else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(size), k1, k2, lists.take(place)],
-                ["doc_id", "n_shingles", "k1", "k2", "bands"])
+                [batch.column(0).cast(pa.int64()), batch.column(2), batch.column(3), pa.array(size), k1, k2, lists.take(place)],
+                ["doc_id", "r1", "r2", "n_shingles", "k1", "k2", "bands"])
+
+    return docs.select("doc_id", "text", *row_key()).mapInArrow(run, FINGERPRINT_SCHEMA)
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, FINGERPRINT_SCHEMA)
+def row_key():
+    """128 bits of a row's id and text; rows that agree in both are one and the same here."""
+    return (F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit("row"), "doc_id", "text").alias("r2"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int, k: int = K_WORDS) -> DataFrame:
@@ -202,19 +209,29 @@ def prefix_pairs(texts: DataFrame, nodes: DataFrame, percent: int, k: int = K_WO
 
     sets = scratch(texts.join(nodes, "node").select("node", "text", "comp")
                    .mapInArrow(run, "node long, comp long, size long, sh long"), "dup-sets")
-    often = sets.groupBy("sh").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "sh"))
-    prefix = scratch(sets.join(often, "sh").withColumn("place", place)
-                     .where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("df") > 1))
-                     .drop("df"), "dup-prefix")
+    often = scratch(sets.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumn("n_rows", F.col("df")), "dup-often")
+    # from the commonest shingle down; those of one set only come first in the order and meet nothing
+    from_end = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("df"), F.desc("sh")))
+    prefix = scratch(spread_join(sets, often, ["sh"], "n_rows", ["node"]).withColumn("place", F.col("size") - from_end + 1)
+                     .where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
+                     .select("sh", "node", "comp", "size", "place"), "dup-prefix")
+    drop_scratch(sets, often)
     by_comp = prefix.groupBy("sh", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = (by_comp.groupBy("sh").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("parts"))
-               .where("parts > 1").select("sh", "main"))
-    mixed = prefix.join(largest, "sh")
-    a, b = mixed.where("comp <> main").alias("a"), prefix.alias("b")
+    largest = scratch(by_comp.groupBy("sh").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"),
+                                                F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n_rows"))
+                      .where("parts > 1").select("sh", "main", "n_rows"), "dup-largest")
+    mixed = scratch(spread_join(prefix, largest, ["sh"], "n_rows", ["node"]), "dup-mixed")
+    drop_scratch(prefix)
+    # members outside the largest component meet all others; those of a hot shingle in shares
+    _, hot = hot_shares(largest, ["sh"], "n_rows")
+    dealt = (mixed.join(F.broadcast(hot), "sh", "left")
+             .withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"), F.lit(0))))
+    outside = (mixed.where("comp <> main").join(F.broadcast(hot), "sh", "left")
+               .withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shares"), F.lit(1)) - 1))))
+    a, b = outside.alias("a"), dealt.alias("b")
     sa, sb = F.col("a.size"), F.col("b.size")
     rest = F.least(sa - F.col("a.place"), sb - F.col("b.place")) + 1        # all that the two can still share
-    return (a.join(b, (F.col("a.sh") == F.col("b.sh")) & (F.col("a.comp") != F.col("b.comp"))
+    return (a.join(b, (F.col("a.sh") == F.col("b.sh")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.comp") != F.col("b.comp"))
                    & (F.least(sa, sb) * 100 >= F.greatest(sa, sb) * percent)
                    & (rest * (100 + percent) >= (sa + sb) * percent))
             .select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct())
@@ -249,87 +266,109 @@ def components(links: DataFrame) -> DataFrame:
             .union(edges.select("v", "v").distinct().toDF("node", "comp")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands: int = BANDS,
-                    k: int = K_WORDS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per row of ``docs``."""
+def grouped(docs: DataFrame, percent: int, rows: int, bands: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints of all rows, keys of rows that occur again, and ``k1, k2, rep`` per class.
+
+    ``rep`` is the first row of the class's component.
+
+    Rows are ordered by ``doc_id`` (NULL last), then row key; ``rep`` is a struct of these.
+    """
     prints = scratch(fingerprints(docs, rows, bands, k), "dup-prints")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "r1", "r2")
     # one row per distinct shingle set
-    classes = scratch(prints.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"),
-                      F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
-                      .select(F.col("k1").alias("node"), "rep", "size", "bands"), "dup-classes")
-    member = classes.select("node", "rep", "size", F.explode("bands").alias("key"))
-    crowded = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = scratch(prints.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r1", "r2"), "dup-again")
+    classes = scratch(told_apart(
+        prints.where("n_shingles > 0").groupBy("k1", "k2")
+        .agg(F.min(row).alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))), "dup-classes")
+    member = classes.select("node", F.explode("bands").alias("key"))
+    crowded = member.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = scratch(member.join(crowded, "key"), "dup-buckets")
-    weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"), F.first("rep").alias("rep"))
-    texts = scratch(class_texts(docs, weight.select("node", "rep"), k), "dup-texts")
+    stars = scratch(buckets.where("node <> centre").select("centre", "node").distinct(), "dup-stars")
+    wanted = stars.select("node").union(stars.select("centre")).distinct()
+    texts = scratch(class_texts(docs, classes.join(wanted, "node").select("node", "rep"), again), "dup-texts")
 
-    ranked = buckets.drop("rep").join(weight.drop("rep"), "node")
-    centre = ranked.groupBy("key").agg(F.max_by(F.struct("node", "size"), F.struct("weight", "node")).alias("c"))
+    of_a = classes.select(F.col("node").alias("centre"), F.col("size").alias("sa"))
+    of_b = classes.select("node", F.col("size").alias("sb"))
     close = F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent   # exact: no link beyond it
-    pairs = (ranked.join(centre, "key")
-             .select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.size").alias("sa"),
-                     F.col("size").alias("sb"))
-             .where("a <> b").where(close).select("a", "b").distinct())
+    pairs = stars.join(of_a, "centre").join(of_b, "node").where(close).select(F.col("centre").alias("a"), F.col("node").alias("b"))
     links = scratch(confirm(pairs, texts, percent, k), "dup-links")
     comps = scratch(components(links), "dup-comps")
 
     # buckets that still hold several components: their members meet once more, exactly
-    tagged = buckets.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    apart = (tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .where("lo <> hi").select("key"))
-    open_nodes = scratch(tagged.join(apart, "key").select("node", "comp").distinct(), "dup-open")
-    if not open_nodes.isEmpty():
-        pairs = prefix_pairs(texts, open_nodes, percent, k)
+    apart = scratch(with_comp(with_comp(stars, comps, "centre", "ca"), comps, "node", "cb")
+                    .where("ca <> cb").select("centre", "node"), "dup-apart")
+    if not apart.isEmpty():
+        open_keys = buckets.join(apart, ["centre", "node"], "left_semi").select("key").distinct()
+        members = buckets.join(open_keys, "key").select("node").distinct()
+        pairs = prefix_pairs(texts, with_comp(members, comps, "node", "comp"), percent, k)
         more = scratch(confirm(pairs, texts, percent, k), "dup-links")
         if not more.isEmpty():
             known = comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
             comps = scratch(components(known.union(more)), "dup-comps")
-    drop_scratch(buckets, texts)
-
-    # component id: smallest doc_id over all classes of the component
-    of_class = classes.select("node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    ids = of_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_class = of_class.join(ids, "comp").select(F.col("node").alias("k1"), "component_id")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return (prints.select("doc_id", "n_shingles", "k1").join(by_class, "k1", "left")
+    drop_scratch(buckets, texts, stars, links, apart)
+
+    of_class = with_comp(classes.select("node", "k1", "k2", "rep"), comps, "node", "comp")
+    first = of_class.groupBy("comp").agg(F.min("rep").alias("first"))
+    by_class = scratch(of_class.join(first, "comp").select("k1", "k2", F.col("first").alias("rep")), "dup-groups")
+    drop_scratch(classes, comps)
+    return prints, again, by_class
+
+
+def told_apart(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``node``: the first word of the key, or a hash of both where several classes share it."""
+    same = scratch(classes.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1"), "dup-same")
+    if same.isEmpty():
+        return classes.withColumn("node", F.col("k1"))
+    return (classes.join(same.withColumn("twice", F.lit(True)), "k1", "left")
+            .withColumn("node", F.when(F.col("twice"), F.xxhash64("k1", "k2")).otherwise(F.col("k1"))).drop("twice"))
+
+
+def with_comp(rows: DataFrame, comps: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the component of the node in ``column``; a node without links is its own."""
+    of = comps.select(F.col("node").alias(column), F.col("comp").alias(name))
+    return rows.join(of, column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = ROWS, bands: int = BANDS,
+                    k: int = K_WORDS) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` per row of ``docs``; the smallest id of a component is its id."""
+    prints, _, by_class = grouped(docs, percent, rows, bands, k)
+    own = F.when(F.col("n_shingles") > 0, F.col("rep.doc_id")).otherwise(F.col("doc_id"))
+    return (prints.select("doc_id", "n_shingles", "k1", "k2").join(by_class, ["k1", "k2"], "left")
             .select("doc_id", "n_shingles", own.alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
-def class_texts(docs: DataFrame, wanted: DataFrame, k: int = K_WORDS) -> DataFrame:
-    """``node, text``: the whole text of one row of each wanted class.
+def class_texts(docs: DataFrame, wanted: DataFrame, again: DataFrame) -> DataFrame:
+    """``node, text``: the whole text of the row that stands for each wanted class (``node, rep``).
 
-    Rows are found by the representative's id and checked by their own set key, as an id may
-    occur with several texts.
+    Rows whose key is in ``again`` occur more than once; one of them is taken.
     """
-    found = (docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
-             .select("node", "text"))
-
-    def run(batches):
-        for batch in batches:
-            key = []
-            for _, raw, off in text_chunks(batch.column(1)):
-                n, shingles, first = chunk_sets(raw, off, k)
-                own = np.zeros(len(n), np.int64)
-                if len(first):
-                    own[n > 0] = set_keys(shingles, first)[0]
-                key.append(pa.array(own, mask=n == 0))
-            key = pa.concat_arrays(key) if key else pa.array([], pa.int64())
-            yield batch.filter(pc.equal(key, batch.column(0)))
-
-    return found.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+    found = (docs.select("text", *row_key())
+             .join(wanted.select("node", F.col("rep.r1").alias("r1"), F.col("rep.r2").alias("r2")), ["r1", "r2"]))
+    if again.isEmpty():
+        return found.select("node", "text")
+    repeated = again.withColumn("repeated", F.lit(True))
+    marked = found.join(repeated, ["r1", "r2"], "left")
+    return (marked.where("repeated IS NULL").select("node", "text")
+            .union(marked.where("repeated").select("node", "text").dropDuplicates(["node"])))
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row of each near-duplicate group (that of the smallest ``doc_id``), with all columns.
+    """One row of each near-duplicate group (the first by ``doc_id``, NULL last), with all columns.
 
-    Rows without shingles stay.  Where the kept id occurs more than once, equal rows count once.
+    Rows without shingles stay, each of them.  Of rows with equal id and text one stays.
     """
-    found = near_duplicates(docs, percent)
-    kept = scratch(found.where("kept").groupBy(F.col("doc_id").alias("_kept_id"))
-                   .agg((F.count(F.lit(1)) > 1).alias("_again")), "dup-kept")
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")))
-    once = joined.where(~F.col("_again")).select(*docs.columns)
+    prints, again, by_class = grouped(docs, percent, ROWS, BANDS, K_WORDS)
+    chosen = by_class.select(F.col("rep.r1").alias("r1"), F.col("rep.r2").alias("r2")).distinct()
+    kept = scratch(chosen.join(again.withColumn("again", F.lit(True)), ["r1", "r2"], "left")
+                   .select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"),
+                           F.coalesce("again", F.lit(False)).alias("_again")), "dup-kept")
+    drop_scratch(prints)
+    r1, r2 = row_key()
+    keyed = docs.withColumns({"_r1": r1, "_r2": r2, "_words": F.length(F.btrim("text", F.lit(" \t\n\x0b\f\r"))) > 0})
+    joined = keyed.join(kept, ["_r1", "_r2"], "left")
+    single = joined.where(~F.coalesce("_words", F.lit(False)) | ~F.coalesce("_again", F.lit(True))).select(*docs.columns)
     if kept.where("_again").isEmpty():
-        return once
-    return once.union(joined.where("_again").select(*docs.columns).dropDuplicates())
+        return single
+    return single.union(keyed.join(kept.where("_again"), ["_r1", "_r2"]).dropDuplicates(["_r1", "_r2"]).select(*docs.columns))

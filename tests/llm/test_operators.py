@@ -331,6 +331,39 @@ def test_near_duplicate_odd_rows(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_under_repeated_and_missing_ids(spark):
+    a, b, z = ("one two three four five six %s" % w for w in ("seven", "of another kind", "and the last"))
+    schema = "doc_id long, text string, lang string"
+
+    def kept(rows):
+        docs = spark.createDataFrame([r + ("en",) for r in rows], schema)
+        return sorted((tuple(r)[:2] for r in neardup.keep_one(docs).collect()), key=repr)
+
+    assert kept([(1, a), (5, b), (5, a)]) == sorted([(1, a), (5, b)], key=repr)
+    assert kept([(1, a), (None, a), (None, b), (None, z)]) == sorted([(1, a), (None, b), (None, z)], key=repr)
+    assert kept([(5, b), (5, a), (5, a), (5, b), (None, None), (None, None), (7, ""), (7, "")]) == sorted(
+        [(5, a), (5, b), (None, None), (None, None), (7, ""), (7, "")], key=repr)
+    rows = [(5, a), (5, b), (5, b), (None, b), (None, z), (3, b), (9, a)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of = {a: 5, b: 3, z: None}
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == sorted(((i, of[t]) for i, t in rows), key=repr)
+
+
+def test_near_duplicate_chains_under_one_id(spark):
+    """Representatives are found by row, so texts that all carry the same id are still compared."""
+    rows = chained_documents()
+    want = brute_near(pd.DataFrame(rows, columns=["doc_id", "text"]))
+    groups = len({c for _, c in want.values()})
+    docs = spark.createDataFrame([(None, t) for _, t in rows + rows[:40]], "doc_id long, text string")
+    assert neardup.keep_one(docs).count() == groups
+
+
+def test_classes_that_share_half_a_key_are_told_apart(spark):
+    df = spark.createDataFrame([(1, 10, "a"), (1, 11, "b"), (2, 10, "c")], "k1 long, k2 long, x string")
+    got = {r.x: r.node for r in neardup.told_apart(df).collect()}
+    assert len(set(got.values())) == 3 and got["c"] == 2
+
+
 # --- 8 language model --------------------------------------------------------------------------
 
 def test_language_model_base_and_gain(spark):
