@@ -156,6 +156,10 @@ def fit(docs: DataFrame, sample: int = 3000, bits: int = 12, steps: int = 150) -
     return Model(langs, code, (w / spread[:, None]).astype(np.float32), b.astype(float), trust, bits)
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and (any(c.isalpha() for c in text[:200]) or any(c.isalpha() for c in text))
+
+
 def predictor(model: Model | None):
     """Function of a text column: languages, scores, ambiguity flags."""
     def run(texts):
@@ -169,8 +173,7 @@ def predictor(model: Model | None):
                 continue
             best, s, flag = model.decode(model.margins(raw, off))
             for k in range(n):
-                t = texts[i + k].as_py()
-                if t is None or not (any(c.isalpha() for c in t[:200]) or any(c.isalpha() for c in t)):
+                if not has_letter(texts[i + k].as_py()):
                     lang.append(UNDETERMINED)
                     score.append(0.0)
                     vague.append(True)
@@ -202,15 +205,23 @@ def identify(docs: DataFrame, sample: int = 3000) -> DataFrame:
 
 def keep_identified(docs: DataFrame, sample: int = 3000, sure: float = 0.95) -> DataFrame:
     """Rows with a recognised language, all columns: those without any letter go, and those whose
-    declared ``lang`` a clear prediction (not ambiguous, score at least ``sure``) contradicts."""
+    declared ``lang`` a clear prediction (not ambiguous, score at least ``sure``) contradicts.
+
+    A language that no training row carries cannot be contradicted, and without any labelled row
+    nothing but a missing letter speaks against a text: such rows stay.
+    """
     from .common import keep_rows
 
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
 
     def test(batch):
-        lang, score, vague = predictor(shared.value)(batch.column(batch.schema.get_field_index("text")))
+        model = shared.value
+        texts = batch.column(batch.schema.get_field_index("text"))
+        if model is None:
+            return [has_letter(t.as_py()) for t in texts]
+        lang, score, vague = predictor(model)(texts)
         said = batch.column(batch.schema.get_field_index("lang")).to_pylist()
-        return [p != UNDETERMINED and (v or x < sure or s is None or s == p)
+        return [p != UNDETERMINED and (v or x < sure or s not in model.langs or s == p)
                 for p, x, v, s in zip(lang, score, vague, said)]
 
     return keep_rows(docs, test)

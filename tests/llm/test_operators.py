@@ -182,6 +182,18 @@ def test_language_odd_rows(spark):
     assert {4, 5, 6, 8} <= set(kept) and not {1, 2, 3, 7} & set(kept)
 
 
+def test_language_stage_keeps_what_it_cannot_judge(spark):
+    unlabelled = odd_documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = [r.doc_id for r in langid.keep_identified(unlabelled).collect()]
+    assert sorted(x or 0 for x in kept) == [0, 4, 5, 5, 6, 8]
+    docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet")
+    # a language of held-out rows only: the model never learns it
+    rare = docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2) & F.col("text").rlike("[A-Za-z]")
+                      ).limit(40).withColumn("lang", F.lit("xx")).cache()
+    kept = langid.keep_identified(docs.join(rare.select("doc_id"), "doc_id", "left_anti").unionByName(rare))
+    assert kept.where("lang = 'xx'").count() == rare.count() > 0
+
+
 def test_toxicity_held_out(spark):
     got = run(spark, "op5_toxicity", SF_ORACLE).merge(table("labels", SF_ORACLE), on="doc_id")
     h = got[got.held_out]
