@@ -9,12 +9,14 @@ from a tiny per-bucket aggregate (a distributed prefix sum).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bce_with_logits, broadcast_if_small, col_, safe_ratio
+from ..session import cut_lineage
 from .stats import exact_quantiles
 
 # Percentile grid of the threshold sweep: linspace(80, 99.5, 40).
@@ -119,10 +121,9 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str], desce
     with the input so one bucket holds ~``rows_per_bucket`` rows), in-bucket
     window sums, plus bucket offsets computed over a (buckets)-row table.
     """
-    import math as _math
-
+    df = cut_lineage(df)        # read by the count, the sketch, the totals and the sums
     n = df.count()
-    buckets = int(min(max(min_buckets, _math.ceil(n / rows_per_bucket)), max_buckets))
+    buckets = int(min(max(min_buckets, math.ceil(n / rows_per_bucket)), max_buckets))
     qs = [i / buckets for i in range(1, buckets)]
     acc = max(10_000, 10 * buckets)
     row = df.agg(F.percentile_approx(order_col, qs, acc).alias("q")).collect()[0]
@@ -180,25 +181,49 @@ def roc_auc(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
 
 # --------------------------------------------------------------------------- threshold sweep
 
+def counts_beyond(df: DataFrame, score: str, y: str, thresholds: Sequence[float], strict: bool) -> DataFrame:
+    """``i, threshold, tp, fp, P`` per threshold: positives and negatives beyond it (``>``, or ``>=``), all positives.
+
+    Every row is put between two thresholds once (binary search) and counted there; the running
+    sums go over at most as many counts as there are thresholds.  NaN counts as beyond all, NULL as none.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    at = [math.nextafter(t, math.inf) if strict else t for t in thresholds]     # x > t is x >= the next double
+    edges = sorted({t for t in at if not math.isinf(t)})
+    if edges:
+        rows = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_s", outputCol="_b", handleInvalid="keep").transform(
+            df.select(F.col(score).cast("double").alias("_s"), F.col(y).alias("_y")))
+    else:
+        rows = df.select(F.col(score).cast("double").alias("_s"), F.col(y).alias("_y"), F.lit(0.0).alias("_b"))
+    top = len(edges) + 1        # +inf and NaN have places of their own above all edges
+    place = (F.when(F.col("_s").isNull(), -1).when(F.isnan("_s"), top + 1).when(F.col("_s") == math.inf, top)
+             .otherwise(F.col("_b").cast("int")))
+    counts = rows.groupBy(place.alias("b")).agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") != 1).alias("neg"))
+    whole = counts.agg(F.collect_list(F.struct("b", "pos", "neg")).alias("c"))
+    first = [0 if x == -math.inf else (top + 1 if strict and t == math.inf else top) if x == math.inf else edges.index(x) + 1
+             for t, x in zip(thresholds, at)]
+    ask = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("threshold"), F.lit(b).alias("first"))
+                              for i, (t, b) in enumerate(zip(thresholds, first))]))
+    asked = whole.select("c", ask.alias("q")).select("c", "q.*")
+
+    def total(name, from_bucket):
+        return F.aggregate(F.filter("c", lambda x: x["b"] >= from_bucket), F.lit(0).cast("long"), lambda acc, x: acc + x[name])
+
+    return asked.select("i", "threshold", total("pos", F.col("first")).alias("tp"), total("neg", F.col("first")).alias("fp"),
+                        total("pos", F.lit(-1)).alias("P"))
+
+
 def threshold_sweep(df: DataFrame, score: str = "score", y: str = "y",
                     percentiles: Sequence[float] = SWEEP_PERCENTILES) -> DataFrame:
-    """O-2: F1 at every percentile threshold (strict ``>``) in ONE scan.
+    """O-2: F1 at every percentile threshold (strict ``>``); one scan counts for all thresholds.
 
     Returns ``(pct, threshold, precision, recall, f1, best)``; ``best`` marks
     the first maximal F1 in grid order (the reference keeps the first).
     """
     ths = exact_quantiles(df, score, [p / 100.0 for p in percentiles])
-    s, yy = F.col(score), F.col(y)
-    aggs = []
-    for i, t in enumerate(ths):
-        hit = s > F.lit(t)
-        aggs += [F.count_if(hit & (yy == 1)).alias(f"tp{i}"), F.count_if(hit & (yy != 1)).alias(f"fp{i}")]
-    aggs.append(F.count_if(yy == 1).alias("P"))
-    row = df.agg(*aggs)
-    stacked = row.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("pct"), F.lit(t).cast("double").alias("threshold"),
-                 F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"), F.col("P").alias("P"))
-        for i, (p, t) in enumerate(zip(percentiles, ths))])).alias("r")).select("r.*")
+    stacked = counts_beyond(df, score, y, ths, strict=True).join(
+        F.broadcast(df.sparkSession.createDataFrame([(i, float(p)) for i, p in enumerate(percentiles)], "i int, pct double")), "i")
     out = stacked.select(
         "i", "pct", "threshold",
         safe_ratio("tp", F.col("tp") + F.col("fp")).alias("precision"),
@@ -238,16 +263,9 @@ def contamination_sweep(df: DataFrame, score: str = "score", y: str = "y",
 
     ``best`` marks the first maximal F1 in grid order (O-4)."""
     ths = exact_quantiles(df, score, [1.0 - c for c in contaminations])
-    s, yy = F.col(score), F.col(y)
-    aggs = [F.count_if(yy == 1).alias("P")]
-    for i, t in enumerate(ths):
-        hit = s >= F.lit(t)
-        aggs += [F.count_if(hit & (yy == 1)).alias(f"tp{i}"), F.count_if(hit & (yy != 1)).alias(f"fp{i}")]
-    row = df.agg(*aggs)
-    st = row.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(float(c)).alias("contamination"), F.lit(t).cast("double").alias("threshold"),
-                 F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"), F.col("P").alias("P"))
-        for i, (c, t) in enumerate(zip(contaminations, ths))])).alias("r")).select("r.*")
+    st = counts_beyond(df, score, y, ths, strict=False).join(
+        F.broadcast(df.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(contaminations)],
+                                                    "i int, contamination double")), "i")
     out = st.select("i", "contamination", "threshold",
                     safe_ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("P")).alias("f1"))
     w = Window.orderBy(F.desc("f1"), F.asc("i"))

@@ -2,21 +2,18 @@
 
 Everything is a partial+final hash aggregate except the exact quantile,
 which Spark only offers as ``percentile`` -- an aggregate that buffers every
-distinct value of the group in one task.  ``exact_quantiles`` instead does a
-distributed selection: a sketch brackets each wanted rank, a few counting
-passes narrow the bracket, and only a bounded band of values is ever
-brought to the driver.
+distinct value of the group in one task.  ``exact_quantiles`` instead selects
+the wanted ranks by counting (``operators.quantiles``).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_SKETCH_ACCURACY = 10_000
+from .quantiles import BINS, grouped_quantiles
 
 
 def value_counts(df: DataFrame, label: str, name: str = "n") -> DataFrame:
@@ -66,130 +63,13 @@ def distinct_classes(df: DataFrame, col: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- quantiles
 
-def _rank_bounds(fracs: Sequence[float], n: int) -> list[tuple[float, int, int]]:
-    out = []
-    for f in fracs:
-        h = float(f) * (n - 1)
-        out.append((h, int(math.floor(h)), int(math.ceil(h))))
-    return out
-
-
-def select_ranks(values: DataFrame, col: str, ranks: Sequence[int], n: int,
-                 band_rows: int = 50_000, max_rounds: int = 8, bins: int = 1024,
-                 seeds: dict[int, tuple[float, float]] | None = None) -> dict[int, float]:
-    """Exact values at 0-based ascending ranks, without a global sort.
-
-    Each round is one aggregation over ``values`` that counts, per open rank,
-    the rows below its band and inside it plus a histogram of the band.  Only
-    counts (bounded by ranks x bins) reach the driver until every band holds
-    at most ``band_rows`` rows; those bands are then collected and finished.
-    """
-    v = F.col(col)
-    ranks = sorted(set(int(r) for r in ranks))
-    band = {r: list(seeds.get(r, (-math.inf, math.inf))) if seeds else [-math.inf, math.inf] for r in ranks}
-    below: dict[int, int] = {}
-    inside: dict[int, int] = {}
-    done: dict[int, float] = {}
-    for it in range(max_rounds + 1):
-        open_r = [r for r in ranks if r not in done]
-        if not open_r:
-            break
-        aggs = []
-        for i, r in enumerate(open_r):
-            lo, hi = band[r]
-            in_band = (v >= F.lit(lo)) & (v <= F.lit(hi))
-            aggs += [F.count_if(v < F.lit(lo)).alias(f"b{i}"), F.count_if(in_band).alias(f"c{i}"),
-                     F.min(F.when(in_band, v)).alias(f"mn{i}"), F.max(F.when(in_band, v)).alias(f"mx{i}")]
-        row = values.agg(*aggs).collect()[0]
-        need_hist = []
-        for i, r in enumerate(open_r):
-            b, c, mn, mx = row[f"b{i}"], row[f"c{i}"], row[f"mn{i}"], row[f"mx{i}"]
-            if not (b <= r < b + c):  # sketch bracket missed: widen to everything
-                band[r] = [-math.inf, math.inf]
-                need_hist.append(r)
-                continue
-            below[r], inside[r] = b, c
-            band[r] = [mn, mx]
-            if mn == mx:
-                done[r] = float(mn)
-            elif c > band_rows:
-                need_hist.append(r)
-        if not need_hist or it == max_rounds:
-            break
-        # histogram round: narrow each oversized band to the bin holding its rank
-        hist_items = []
-        for i, r in enumerate(need_hist):
-            lo, hi = band[r]
-            if math.isinf(lo) or math.isinf(hi):
-                continue
-            width = (hi - lo) / bins
-            bin_ix = F.least(F.floor((v - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
-            hist_items.append(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)),
-                                     F.struct(F.lit(i).alias("t"), bin_ix.alias("bin"))))
-        if not hist_items:
-            continue
-        hist = (values.select(F.explode(F.filter(F.array(*hist_items), lambda s: s.isNotNull())).alias("s"))
-                .groupBy("s.t", "s.bin").agg(F.count(F.lit(1)).alias("n")).collect())
-        per_t: dict[int, dict[int, int]] = {}
-        for h in hist:
-            per_t.setdefault(h["t"], {})[h["bin"]] = h["n"]
-        for i, r in enumerate(need_hist):
-            if i not in per_t:
-                continue
-            lo, hi = band[r]
-            width = (hi - lo) / bins
-            acc = below[r]
-            for bi in sorted(per_t[i]):
-                cnt = per_t[i][bi]
-                if acc + cnt > r:
-                    # float bin edges may be off by an ulp: keep a one-bin margin, next round re-verifies
-                    band[r] = [lo + width * max(bi - 1, 0), min(hi, lo + width * (bi + 2))]
-                    break
-                acc += cnt
-    open_r = [r for r in ranks if r not in done]
-    if open_r:
-        conds = None
-        for r in open_r:
-            lo, hi = band[r]
-            cnd = (v >= F.lit(lo)) & (v <= F.lit(hi))
-            conds = cnd if conds is None else (conds | cnd)
-        vals = sorted(x[0] for x in values.where(conds).select(v).collect())
-        import bisect
-        for r in open_r:
-            lo, hi = band[r]
-            start = bisect.bisect_left(vals, lo)
-            done[r] = float(vals[start + (r - below[r])])
-    return done
-
-
-def exact_quantiles(df: DataFrame, col: str, fracs: Sequence[float], **kw) -> list[float | None]:
+def exact_quantiles(df: DataFrame, col: str, fracs: Sequence[float], bins: int = BINS) -> list[float | None]:
     """A-8: linear-interpolation quantiles, equal to numpy ``percentile`` / SQL ``quantile_cont``.
 
-    NULL and NaN are ignored.  Cost: 2-3 scans plus bounded driver traffic.
+    NULL and NaN are ignored.  Only counts reach the driver (``operators.quantiles``).
     """
-    fracs = [float(f) for f in fracs]
-    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    eps = 2.0 / _SKETCH_ACCURACY
-    seed_fracs = sorted({min(1.0, max(0.0, f + d)) for f in fracs for d in (-eps, eps)})
-    row = vals.agg(F.count(F.lit(1)).alias("n"),
-                   F.percentile_approx("v", [float(s) for s in seed_fracs], _SKETCH_ACCURACY).alias("q")).collect()[0]
-    n = row["n"]
-    if n == 0:
-        return [None] * len(fracs)
-    approx = dict(zip(seed_fracs, row["q"]))
-    bounds = _rank_bounds(fracs, n)
-    seeds = {}
-    for f, (_, lo_r, hi_r) in zip(fracs, bounds):
-        lo_v = approx[min(1.0, max(0.0, f - eps))]
-        hi_v = approx[min(1.0, max(0.0, f + eps))]
-        for r in (lo_r, hi_r):
-            seeds[r] = (lo_v, hi_v)
-    got = select_ranks(vals, "v", [r for b in bounds for r in b[1:]], n, seeds=seeds, **kw)
-    out = []
-    for h, lo_r, hi_r in bounds:
-        a, b = got[lo_r], got[hi_r]
-        out.append(a if lo_r == hi_r else a + (b - a) * (h - lo_r))
-    return out
+    got = grouped_quantiles(df, col, fracs, bins=bins)
+    return got.get(0, [None] * len(fracs))
 
 
 def quantile_table(df: DataFrame, col: str, fracs: Sequence[float]) -> DataFrame:

@@ -211,6 +211,28 @@ def a09_contamination_cut(spark, d):
     return A.contamination_cut(ev, "value", 0.1).select("row_id", "pred")
 
 
+GRID_CUTS = [0.01, 0.03, 0.05, 0.1, 0.15]
+
+
+@query("a09_grouped_cuts", f"""
+WITH s AS (SELECT i - 1 AS fit, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y, CAST(embedding[i] AS DOUBLE) AS score
+           FROM embeddings, range(1, 65) t(i)),
+c AS (SELECT unnest([{', '.join(O.dbl(c) for c in GRID_CUTS)}]) AS cut),
+q AS (SELECT fit, quantile_cont(score, [{', '.join(O.dbl(1.0 - c) for c in GRID_CUTS)}]) AS qs FROM s GROUP BY fit),
+t AS (SELECT fit, unnest([{', '.join(O.dbl(c) for c in GRID_CUTS)}]) AS cut, unnest(qs) AS threshold FROM q)
+SELECT CAST(t.fit AS INTEGER) AS fit, round(cut, 6) AS cut, round(threshold, 6) AS threshold,
+       count(*) FILTER (WHERE score >= threshold AND y = 1) AS tp, count(*) FILTER (WHERE score >= threshold AND y <> 1) AS fp,
+       count(*) FILTER (WHERE y = 1) AS p, count(*) AS n
+FROM s JOIN t ON s.fit = t.fit GROUP BY ALL""")
+def a09_grouped_cuts(spark, d):
+    """A-9 / E-2: the cuts of a whole grid over 64 given scores (the coordinates), all fits in one selection."""
+    from .experiments import Candidate, cut_counts
+
+    v = embedding_vectors(spark, d).df
+    scores = v.select("y", F.posexplode("x").alias("fit", "score"))
+    return _round_cols(cut_counts(scores, [Candidate(str(i), {}, tuple(GRID_CUTS)) for i in range(64)]))
+
+
 @query("a17_score_separation", """
 WITH q AS (SELECT quantile_cont(value, [0.75, 0.9, 0.99, 0.01, 0.1, 0.25]) AS qs FROM events)
 SELECT round((qs[1] + qs[2] + qs[3]) / 3.0 - (qs[4] + qs[5] + qs[6]) / 3.0, 6) AS separation FROM q""")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators.quantiles import grouped_quantiles
+from ..operators.stats import SEPARATION_BOTTOM, SEPARATION_TOP
 from ..operators.detect import fit_centroid, normal_rows
 from ..operators.features import fit_standardizer
 from ..operators.sample import stratified_split
@@ -204,39 +206,52 @@ class Candidate:
     cuts: tuple
     score: Callable[[DataFrame], DataFrame] | None = None
     status: str = "ok"
+    silhouette: Callable[[], float | None] | None = None
 
 
-def candidates(train: DataFrame) -> list[Candidate]:
-    """E-2: every model of the grids, fitted once; a fit that fails stays in the list with its reason (E-8)."""
+def candidates(train: DataFrame, held: DataFrame) -> list[Candidate]:
+    """E-2: every model of the grids, fitted once; a fit that fails stays in the list with its reason (E-8).
+
+    ``held`` holds the rows that the grids are compared on: all neighbour counts of LOF share one
+    neighbour search of them, and the silhouettes of k-means are taken there.
+    """
     from ..operators import forest as FR
     from ..operators import neighbors as NB
     from ..operators.detect import fit_kmeans
 
-    def lof(n):
-        def score(rows):
-            return NB.lof_scores(train, rows.select("row_id", "x"), n).join(rows.select("row_id", "y"), "row_id")
-        return score
-
-    def k_means(k):
-        model = fit_kmeans(train, "x", k)
-        return lambda rows: model.score(rows, "x")
-
     def one_class():
         maps = {km: FR.fit_kernel_map(train, "x", *km) for km in KERNEL_MAPS}
         fits = FR.fit_one_class_grid(train, "x", CUTS, maps)
         return [({"kernel": k, "gamma": g, "nu": nu, "converged": fits[(k, g), nu].converged}, (nu,),
                  fits[(k, g), nu].model.score) for nu in CUTS for k, g in KERNEL_MAPS]
 
+    def lof():
+        scores = NB.lof_scores_grid(train, held.select("row_id", "x"), NEIGHBOURS)
+
+        def score(k):
+            return lambda rows: scores.where(F.col("k") == k).drop("k").join(rows.select("row_id", "y"), "row_id")
+        return [({"n_neighbors": k}, CUTS, score(k)) for k in NEIGHBOURS]
+
+    def k_means(k):
+        model = fit_kmeans(train, "x", k)
+
+        def silhouette():
+            clustered = model.score(held, "x").select("row_id", "x", "cluster")
+            if clustered.select("cluster").distinct().count() < 2:
+                return None
+            return NB.silhouette_score(NB.silhouette_exact(clustered))
+        return {"n_clusters": k}, CUTS, lambda rows: model.score(rows, "x"), silhouette
+
     families = [
         ("IsolationForest", lambda: [({}, FOREST_CUTS, FR.fit_isolation_forest(train, "x").score)]),
         ("OneClassSVM", one_class),
-        ("LocalOutlierFactor", lambda: [({"n_neighbors": n}, CUTS, lof(n)) for n in NEIGHBOURS]),
-        ("KMeans-distance", lambda: [({"n_clusters": k}, CUTS, k_means(k)) for k in CLUSTERS]),
+        ("LocalOutlierFactor", lof),
+        ("KMeans-distance", lambda: [k_means(k) for k in CLUSTERS]),
     ]
     out = []
     for name, fit in families:
         try:
-            out += [Candidate(name, p, cuts, score) for p, cuts, score in fit()]
+            out += [Candidate(name, p, cuts, score, "ok", *rest) for p, cuts, score, *rest in fit()]
         except Exception as e:
             out.append(Candidate(name, {}, (), None, f"failed: {type(e).__name__}: {str(e)[:120]}"))
     return out
@@ -258,25 +273,34 @@ def score_all(models: list[Candidate], rows: DataFrame) -> DataFrame:
     return cut_lineage(reduce(DataFrame.unionAll, parts)) if parts else None
 
 
-def cut_counts(spark: SparkSession, scores: DataFrame, models: list[Candidate]) -> list:
-    """Counts at every cut of every model in two passes: thresholds, then one conditional sum per cut.
+def cut_counts(scores: DataFrame, models: list[Candidate]) -> DataFrame:
+    """``fit, cut, threshold, tp, fp, p, n`` at every cut of every model.
 
-    A threshold is the score of rank ``1 - cut`` (sketch with a rank error of 1e-5; exact up to
-    100,000 rows), and flagged rows reach it (inclusive).
+    The threshold is A-9's: the interpolated ``1 - cut`` quantile of the model's own scores, for all models
+    in one selection; flagged rows reach it (inclusive).  Two scans besides that selection's.
     """
-    wanted = [(i, float(c)) for i, m in enumerate(models) if m.status == "ok" for c in m.cuts]
-    grid = spark.createDataFrame(wanted, "fit int, cut double")
-    levels = sorted({1.0 - c for _, c in wanted})
-    marks = (scores.groupBy("fit").agg(F.percentile_approx("score", levels, 100_000).alias("t"))
-             .select("fit", F.posexplode("t").alias("at", "threshold")))
-    level = F.array(*[F.lit(x) for x in levels])
-    cuts = marks.withColumn("level", level[F.col("at")]).join(
-        F.broadcast(grid), ["fit"]).where(F.abs(F.col("level") - (1 - F.col("cut"))) < 1e-9)      # one row per cut
-    hit = F.col("score") >= F.col("threshold")
-    return (scores.join(F.broadcast(cuts.select("fit", "cut", "threshold")), "fit").groupBy("fit", "cut").agg(
+    grid = [(i, float(c)) for i, m in enumerate(models) if m.status == "ok" for c in m.cuts]
+    levels = sorted({1.0 - c for _, c in grid})
+    marks = grouped_quantiles(scores, "score", levels, "fit") if grid else {}
+    cuts = scores.sparkSession.createDataFrame(
+        [(i, c, marks[i][levels.index(1.0 - c)]) for i, c in grid if i in marks], "fit int, cut double, threshold double")
+    hit = F.col("score") >= F.col("threshold")      # one row per grid point: broadcast
+    return scores.join(F.broadcast(cuts), "fit").groupBy("fit", "cut", "threshold").agg(
         F.count_if(hit & (F.col("y") == 1)).alias("tp"), F.count_if(hit & (F.col("y") != 1)).alias("fp"),
-        F.count_if(F.col("y") == 1).alias("p"), F.count(F.lit(1)).alias("n"),
-        F.avg(F.when(hit, F.col("score"))).alias("above"), F.avg(F.when(~hit, F.col("score"))).alias("below")).collect())
+        F.count_if(F.col("y") == 1).alias("p"), F.count(F.lit(1)).alias("n"))
+
+
+def unsupervised_measure(scores: DataFrame, models: list[Candidate]) -> dict[int, float]:
+    """The study's measure without labels, per model: silhouette of the clusters for k-means, A-17 for the others."""
+    plain = [i for i, m in enumerate(models) if m.status == "ok" and m.silhouette is None]
+    marks = grouped_quantiles(scores.where(F.col("fit").isin(plain)), "score", [*SEPARATION_TOP, *SEPARATION_BOTTOM], "fit")
+    out = {i: sum(q[:3]) / 3.0 - sum(q[3:]) / 3.0 for i, q in marks.items()}
+    for i, m in enumerate(models):
+        if m.status == "ok" and m.silhouette is not None:
+            value = m.silhouette()
+            if value is not None:
+                out[i] = value
+    return out
 
 
 def quality(r) -> dict:
@@ -286,18 +310,18 @@ def quality(r) -> dict:
             "recall": tp / p if p else 0.0, "f1": 2 * tp / (tp + fp + p) if tp + fp + p else 0.0, "flagged": tp + fp, "rows": n}
 
 
-def pick(models: list[Candidate], counts: list, supervised: bool) -> dict:
-    """O-4: per detector the first grid point of the largest F1, or without labels of the widest
-    gap between the mean scores of flagged and other rows."""
+def pick(models: list[Candidate], counts: list, measure: dict[int, float] | None = None) -> dict:
+    """O-4: per detector the first grid point of the largest F1, or of the largest ``measure`` of its model.
+
+    A measure without labels does not depend on the cut, so there the first cut of the best model is taken.
+    """
     by = {(r["fit"], r["cut"]): r for r in counts}
     best: dict = {}
     for i, m in enumerate(models):
         for c in m.cuts if m.status == "ok" else ():
             r = by.get((i, float(c)))
-            if r is None:
-                continue
-            value = quality(r)["f1"] if supervised else float((r["above"] or 0.0) - (r["below"] or 0.0))
-            if m.detector not in best or value > best[m.detector][2]:
+            value = (quality(r)["f1"] if r is not None else None) if measure is None else measure.get(i)
+            if value is not None and (m.detector not in best or value > best[m.detector][2]):
                 best[m.detector] = (i, c, value)
     return best
 
@@ -317,9 +341,11 @@ def compare_detectors(spark: SparkSession, sf_dir: str, pca_components: int = 30
     pca = fit_pca(sp.where(F.col("split") == "train"), "x", pca_components, 64)
     red = cut_lineage(sp.select("row_id", "y", "split", pca.project("x").alias("x")) if pca else sp)
     tr, va, te = (red.where(F.col("split") == s).drop("split") for s in ("train", "val", "test"))
-    models = candidates(tr)
+    models = candidates(tr, va)
     scores = score_all(models, va)
-    best = pick(models, cut_counts(spark, scores, models), supervised) if scores is not None else {}
+    best = {}
+    if scores is not None:
+        best = pick(models, cut_counts(scores, models).collect(), None if supervised else unsupervised_measure(scores, models))
 
     final = []
     for name in dict.fromkeys(m.detector for m in models):
@@ -348,7 +374,7 @@ def compare_detectors(spark: SparkSession, sf_dir: str, pca_components: int = 30
     except Exception as e:
         final.append(Candidate("Reconstruction", {}, (), None, f"failed: {type(e).__name__}: {str(e)[:120]}"))
     scores = score_all(final, te)
-    counts = {r["fit"]: quality(r) for r in (cut_counts(spark, scores, final) if scores is not None else [])}
+    counts = {r["fit"]: quality(r) for r in (cut_counts(scores, final).collect() if scores is not None else [])}
     rows = []
     for i, m in enumerate(final):
         q = counts.get(i)
