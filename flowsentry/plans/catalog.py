@@ -601,6 +601,8 @@ def g7_cluster_to_anomaly(spark, d):
 # =========================================================================== neighbours / LOF (J-6, W-4, D-5, D-6)
 
 from ..operators import neighbors as NB  # noqa: E402
+from ..operators.features import fit_pca  # noqa: E402
+from ..operators.projections import knn_approximate  # noqa: E402
 
 LOF_K_OUTLIER = 10
 LOF_K_NOVELTY = 20
@@ -621,7 +623,7 @@ WITH v AS ({O.EMBEDDING_VECTORS}), {O.lof_ctes('v', None, LOF_K_OUTLIER)}
 SELECT row_id, round(score, 6) AS score FROM lf_lof""")
 def d6_lof_outlier(spark, d):
     v = embedding_vectors(spark, d).df.select("row_id", "x")
-    return NB.lof_scores(v, None, LOF_K_OUTLIER).select("row_id", r6("score").alias("score"))
+    return NB.lof_scores(v, None, LOF_K_OUTLIER, method="exact").select("row_id", r6("score").alias("score"))
 
 
 @query("d5_lof_novelty", f"""
@@ -636,7 +638,35 @@ def d5_lof_novelty(spark, d):
     sp = S.stratified_split(v, 0.25, "row_id", "y")
     tr = sp.where(F.col("split") == "train").select("row_id", "x")
     ev = sp.where(F.col("split") == "test").select("row_id", "x")
-    return NB.lof_scores(tr, ev, LOF_K_NOVELTY).select("row_id", r6("score").alias("score"))
+    return NB.lof_scores(tr, ev, LOF_K_NOVELTY, method="exact").select("row_id", r6("score").alias("score"))
+
+
+@query("w4_knn_all_probes", f"""
+WITH v AS ({O.EMBEDDING_VECTORS}), {O.knn_ctes('v', 'v', LOF_K_OUTLIER, True, 'k')}
+SELECT q AS row_id, round(max(d), 6) AS kdist, count(*) AS n_neighbors FROM k_nn GROUP BY q""")
+def w4_knn_all_probes(spark, d):
+    """W-4 by hashed projections with every bucket probed: exact, so the SQL holds for codes, buckets and merging."""
+    v = embedding_vectors(spark, d).df.select("row_id", "x")
+    nn = knn_approximate(v, v, LOF_K_OUTLIER, exclude_self=True, tables=1, bucket_rows=64, share=1.0)
+    return nn.groupBy(F.col("qid").alias("row_id")).agg(r6(F.max("d")).alias("kdist"), F.count(F.lit(1)).alias("n_neighbors"))
+
+
+@query("w4_knn_approximate")
+def w4_knn_approximate(spark, d):
+    """W-4 / J-6: k-distance over the 30 leading components by multi-probe hashing, with the distances computed per row."""
+    v = embedding_vectors(spark, d).df
+    z = v.select("row_id", fit_pca(v, "x", 30, 64).project("x").alias("x"))
+    nn = knn_approximate(z, z, LOF_K_OUTLIER, exclude_self=True)
+    return nn.groupBy(F.col("qid").alias("row_id")).agg(
+        r6(F.max("d")).alias("kdist"), F.count(F.lit(1)).alias("n_neighbors"), F.first("compared").alias("compared"))
+
+
+@query("d6_lof_approximate")
+def d6_lof_approximate(spark, d):
+    """D-6 on approximate neighbours."""
+    v = embedding_vectors(spark, d).df
+    z = v.select("row_id", fit_pca(v, "x", 30, 64).project("x").alias("x"))
+    return NB.lof_scores(z, None, LOF_K_OUTLIER).select("row_id", r6("score").alias("score"))
 
 
 # =========================================================================== silhouette, remaining detectors
