@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import math
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ END_SUFFIX = 0
 
 UNITS, CLASSES, HEAD_UNITS = 256, 16, 96
 HIDDEN = 16
+SLOTS, ROUNDS, RATE = 256, 2, 0.012
 
 
 def text_tokens(words: Words):
@@ -198,22 +200,18 @@ class Network:
             self.p["cb"][:] = np.log(mass)
             self.p["ub"][:] = np.log(vocab.unit_prior / mass[vocab.class_of])
 
-    def step(self, h, units):
-        """One step of all slots; returns the new state and what the backward pass needs."""
+    def step(self, h, fed):
+        """One step of all slots from the inputs' share ``fed``; the new state, gates, candidate and its state share."""
         n = self.h
-        gx, gh = self.p["x"].take(units, axis=0), h @ self.p["w"]
-        rz = sigmoid(gx[:, :2 * n] + gh[:, :2 * n])
-        r, z = rz[:, :n], rz[:, n:]
-        cand = np.tanh(gx[:, 2 * n:] + r * gh[:, 2 * n:])
-        return cand + z * (h - cand), (r, z, cand, gh[:, 2 * n:])
+        gh = h @ self.p["w"]
+        rz = sigmoid(fed[:, :2 * n] + gh[:, :2 * n])
+        cand = np.tanh(fed[:, 2 * n:] + rz[:, :n] * gh[:, 2 * n:])
+        return cand + rz[:, n:] * (h - cand), rz, cand, gh[:, 2 * n:]
 
     def output(self, states, target, grad: bool = False):
         """Natural log-probability of each target unit; with ``grad`` also the gradients of the negative sum."""
         p, cls = self.p, self.v.class_of[target]
-        lc = states @ p["c"] + p["cb"]
-        lc -= lc.max(axis=1, keepdims=True)
-        ec = np.exp(lc)
-        sc = ec.sum(axis=1)
+        ec, lc, sc = softmax_parts(states @ p["c"] + p["cb"])
         rows = np.arange(len(target))
         logp = lc[rows, cls] - np.log(sc)
         g = {}
@@ -221,21 +219,16 @@ class Network:
             dc = ec / sc[:, None]
             dc[rows, cls] -= 1
             ds = dc @ p["c"].T
-            g = {"c": states.T @ dc, "cb": dc.sum(axis=0), "u": np.zeros_like(p["u"]), "ub": np.zeros_like(p["ub"])}
+            g = {"c": states.T @ dc, "cb": np.ones(len(dc), dc.dtype) @ dc, "u": np.zeros_like(p["u"]), "ub": np.zeros_like(p["ub"])}
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             at = order[cuts[c]:cuts[c + 1]]
-            if not len(at):
-                continue
             m = self.v.members[c]
-            if len(m) < 2:
+            if not len(at) or len(m) < 2:
                 continue
             st = states[at]
-            lu = st @ p["u"][m].T + p["ub"][m]
-            lu -= lu.max(axis=1, keepdims=True)
-            eu = np.exp(lu)
-            su = eu.sum(axis=1)
+            eu, lu, su = softmax_parts(st @ p["u"][m].T + p["ub"][m])
             slot, k = self.v.slot_of[target[at]], np.arange(len(at))
             logp[at] += lu[k, slot] - np.log(su)
             if grad:
@@ -243,64 +236,75 @@ class Network:
                 du[k, slot] -= 1
                 ds[at] += du @ p["u"][m]
                 g["u"][m] += du.T @ st
-                g["ub"][m] += du.sum(axis=0)
+                g["ub"][m] += np.ones(len(du), du.dtype) @ du
         return (logp, ds, g) if grad else logp
 
 
-def lay_out(docs: list[np.ndarray], slots: int):
-    """Deal documents over slots, longest first to the shortest slot; one document follows another."""
-    slots = max(1, min(slots, len(docs)))
-    heap = [(0, s) for s in range(slots)]
-    where: list[list[int]] = [[] for _ in range(slots)]
-    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
-        n, s = heapq.heappop(heap)
-        where[s].append(i)
-        heapq.heappush(heap, (n + len(docs[i]), s))
-    steps = max(n for n, _ in heap)
-    target = np.full((slots, steps), -1, np.int16)
-    first = np.zeros((slots, steps), bool)
-    for s, row in enumerate(where):
-        if row:
-            line = np.concatenate([docs[i] for i in row])
-            target[s, :len(line)] = line
-            first[s, np.cumsum([0] + [len(docs[i]) for i in row[:-1]])] = True
-    return where, target, first
+def softmax_parts(logits):
+    """Exponentials, shifted logits and row sums.  One shift serves all rows unless the logits lie far apart."""
+    top = logits.max()
+    logits -= top if top - logits.min() < 60 else logits.max(axis=1, keepdims=True)
+    e = np.exp(logits)
+    return e, logits, e @ np.ones(e.shape[1], e.dtype)
+
+
+class Layout:
+    """Documents dealt over slots, longest first to the shortest slot; slots are sorted by length, longest first.
+
+    The tokens lie in one flat array, slot after slot; a window of all live slots is cut out when
+    it is needed, so memory is the tokens themselves and one window, however long a document is.
+    """
+
+    def __init__(self, docs: list[np.ndarray], slots: int):
+        slots = max(1, min(slots, len(docs)))
+        heap = [(0, s) for s in range(slots)]
+        where: list[list[int]] = [[] for _ in range(slots)]
+        for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+            n, s = heapq.heappop(heap)
+            where[s].append(i)
+            heapq.heappush(heap, (n + len(docs[i]), s))
+        size = dict((s, n) for n, s in heap)
+        by_size = sorted(range(slots), key=lambda s: -size[s])
+        self.order = np.array([i for s in by_size for i in where[s]], np.int64)
+        self.length = np.array([size[s] for s in by_size], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.target = np.concatenate([docs[i] for i in self.order])
+        self.doc_begin = np.cumsum([0] + [len(docs[i]) for i in self.order[:-1]])
+        self.first = np.zeros(len(self.target), bool)
+        self.first[self.doc_begin] = True
+
+    def windows(self, width: int):
+        """``(place, live)`` of each window: token numbers (steps x slots) and which of them are tokens of the slot."""
+        for a in range(0, int(self.length[0]), width):
+            k = int(np.searchsorted(-self.length, -a, "left"))          # slots with tokens left at a
+            steps = np.arange(a, min(a + width, int(self.length[0])))
+            live = steps[:, None] < self.length[None, :k]
+            yield np.where(live, self.begin[None, :k] + steps[:, None], self.begin[None, :k]), live
+
+    def feed(self, place: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        """The unit before each token; the end unit (0) starts a document."""
+        return np.where(fresh, 0, self.target[np.maximum(place - 1, 0)])
 
 
 def score_units(net: Network, docs: list[np.ndarray], slots: int = 512, window: int = 32) -> np.ndarray:
     """Natural log-probability of each document's units, the state carried across windows."""
     if not docs:
         return np.zeros(0)
-    where, target, first = lay_out(docs, slots)
-    n_slots, steps = target.shape
-    feed = np.zeros((n_slots, steps), np.int16)          # the end unit (0) starts a document
-    feed[:, 1:] = np.maximum(target[:, :-1], 0)
-    feed[first] = 0
-    logp = np.zeros((n_slots, steps), np.float32)
-    live = (target >= 0).sum(axis=1)
-    order = np.argsort(-live, kind="stable")             # slots that have ended drop out at the tail
-    where = [where[s] for s in order]
-    target, feed, first, live = target[order], feed[order], first[order], live[order]
-    h = np.zeros((n_slots, net.h), np.float32)
-    for a in range(0, steps, window):
-        b = min(a + window, steps)
-        k = int(np.searchsorted(-live, -a, "left"))      # slots with steps left at a
-        hs = np.zeros((b - a, k, net.h), np.float32)
-        h = h[:k]
-        for t in range(a, b):
-            h = h * ~first[:k, t, None]
-            h, _ = net.step(h, feed[:k, t])
-            hs[t - a] = h
-        want = target[:k, a:b].T.reshape(-1)
-        ok = np.flatnonzero(want >= 0)
-        got = np.zeros(len(want), np.float32)
-        got[ok] = net.output(hs.reshape(-1, net.h)[ok], want[ok])
-        logp[:k, a:b] = got.reshape(b - a, k).T
+    lay = Layout(docs, slots)
+    logp = np.zeros(len(lay.target), np.float32)
+    h = np.zeros((len(lay.length), net.h), np.float32)
+    for place, live in lay.windows(window):
+        fresh = lay.first[place]
+        feed = lay.feed(place, fresh)
+        steps, k = place.shape
+        hs = np.empty((steps, k, net.h), np.float32)
+        h, fed, keep = h[:k], net.p["x"].take(feed, axis=0), ~fresh[:, :, None]
+        for t in range(steps):
+            h = hs[t] = net.step(h * keep[t], fed[t])[0]
+        at = place[live]
+        logp[at] = net.output(hs[live], lay.target[at])
     out = np.zeros(len(docs))
-    for s, row in enumerate(where):
-        if row:
-            n = [len(docs[i]) for i in row]
-            out[row] = np.add.reduceat(logp[s, :sum(n)].astype(np.float64), np.cumsum([0] + n[:-1]))
+    out[lay.order] = np.add.reduceat(logp.astype(np.float64), lay.doc_begin)
     return out
 
 
@@ -328,69 +332,74 @@ def blocks(docs, block_tokens: int):
         yield last + held
 
 
-def train(net: Network, docs: list[np.ndarray], slots: int = 64, window: int = 20, rate: float = 0.01,
+def gradient(net: Network, h: np.ndarray, target, feed, fresh, live):
+    """Summed negative log-probability of a window's live tokens (steps x slots) from state ``h`` on.
+
+    Returns the loss, its gradients by parameter and the state after the window.
+    """
+    steps, k = target.shape
+    n, dtype = net.h, net.flat.dtype
+    keep, fed = ~fresh[:, :, None], net.p["x"].take(feed, axis=0)
+    prev, states, cand, share = (np.empty((steps, k, n), dtype) for _ in range(4))
+    rz = np.empty((steps, k, 2 * n), dtype)
+    for t in range(steps):
+        np.multiply(h, keep[t], out=prev[t])
+        h, rz[t], cand[t], share[t] = net.step(prev[t], fed[t])
+        states[t] = h
+    logp, ds, g = net.output(states[live], target[live], grad=True)
+    d_out = np.zeros_like(states)
+    d_out[live] = ds
+    r, z = rz[:, :, :n], rz[:, :, n:]
+    # what the state's gradient is multiplied with at each step, all steps at once
+    to_cand = (1 - z) * (1 - cand * cand)
+    to_z = (prev - cand) * z * (1 - z)
+    to_r = share * r * (1 - r)
+    d_gx = np.empty((steps, k, 3 * n), dtype)
+    d_gh = np.empty_like(d_gx)
+    dh, back = np.zeros((k, n), dtype), net.p["w"].T.copy()
+    for t in range(steps - 1, -1, -1):
+        dh += d_out[t]
+        x, w = d_gx[t], d_gh[t]
+        dn = np.multiply(dh, to_cand[t], out=x[:, 2 * n:])
+        np.multiply(dh, to_z[t], out=x[:, n:2 * n])
+        np.multiply(dn, to_r[t], out=x[:, :n])
+        w[:, :2 * n] = x[:, :2 * n]
+        np.multiply(dn, r[t], out=w[:, 2 * n:])
+        dh *= z[t]
+        dh += w @ back
+        dh *= keep[t]
+    g["w"] = prev.reshape(-1, n).T @ d_gh.reshape(-1, 3 * n)
+    g["x"] = np.zeros_like(net.p["x"])
+    fed = feed.reshape(-1)
+    order = np.argsort(fed, kind="stable")
+    unit, at = np.unique(fed[order], return_index=True)
+    g["x"][unit] = np.add.reduceat(d_gx.reshape(-1, 3 * n)[order], at, axis=0)
+    return -float(logp.sum()), g, h
+
+
+def train(net: Network, docs: list[np.ndarray], slots: int = SLOTS, window: int = 20, rate: float = 0.01,
           adam: Adam | None = None) -> float:
     """Truncated backpropagation through time with Adam; returns the mean loss per token."""
-    _, target, first = lay_out(docs, slots)
-    n_slots, steps = target.shape
-    feed = np.zeros_like(target)
-    feed[:, 1:] = np.maximum(target[:, :-1], 0)
-    feed[first] = 0
-    h = np.zeros((n_slots, net.h), np.float32)
+    lay = Layout(docs, slots)
+    h = np.zeros((len(lay.length), net.h), net.flat.dtype)
     adam = adam or Adam(len(net.flat))
     m, v = adam.m, adam.v
-    n, loss, seen, update = net.h, 0.0, 0, 0
-    windows = -(-steps // window)
-    for a in range(0, steps, window):
-        b = min(a + window, steps)
-        kept, states = [], []
-        for t in range(a, b):
-            keep = ~first[:, t, None]
-            prev = h * keep
-            h, more = net.step(prev, feed[:, t])
-            kept.append((prev, keep, more))
-            states.append(h)
-        want = target[:, a:b].T.reshape(-1)
-        ok = np.flatnonzero(want >= 0)
-        if not len(ok):
-            break
-        flat_states = np.concatenate(states)
-        logp, ds, g = net.output(flat_states[ok], want[ok], grad=True)
-        d_out = np.zeros_like(flat_states)
-        d_out[ok] = ds
-        d_out = d_out.reshape(b - a, n_slots, n)
-        d_gx = np.empty((b - a, n_slots, 3 * n), np.float32)
-        d_gh = np.empty_like(d_gx)
-        dh = np.zeros_like(h)
-        for t in range(b - a - 1, -1, -1):
-            prev, keep, (r, z, cand, gh) = kept[t]
-            dh = dh + d_out[t]
-            left = dh * (1 - z)
-            x, w = d_gx[t], d_gh[t]
-            x[:, 2 * n:] = dn = left * (1 - cand * cand)
-            x[:, n:2 * n] = left * (prev - cand) * z
-            x[:, :n] = dn * gh * r * (1 - r)
-            w[:, :2 * n] = x[:, :2 * n]
-            w[:, 2 * n:] = dn * r
-            dh = (dh * z + w @ net.p["w"].T) * keep
-        g["w"] = np.concatenate([k[0] for k in kept]).T @ d_gh.reshape(-1, 3 * n)
-        g["x"] = np.zeros_like(net.p["x"])
-        fed = feed[:, a:b].T.reshape(-1)
-        order = np.argsort(fed, kind="stable")
-        unit, at = np.unique(fed[order], return_index=True)
-        g["x"][unit] = np.add.reduceat(d_gx.reshape(-1, 3 * n)[order], at, axis=0)
-        grad = np.concatenate([g[k].reshape(-1) for k in net.shapes]) / len(ok)
+    loss, seen, total = 0.0, 0, len(lay.target)
+    for place, live in lay.windows(window):
+        fresh = lay.first[place]
+        lost, g, h = gradient(net, h[:place.shape[1]], lay.target[place], lay.feed(place, fresh), fresh, live)
+        count = int(live.sum())
+        grad = np.concatenate([g[k].reshape(-1) for k in net.shapes]) / count
         norm = float(np.sqrt((grad * grad).sum()))
         if norm > 1:
             grad /= norm
-        update += 1
         adam.steps += 1
         m += 0.1 * (grad - m)
         v += 0.005 * (grad * grad - v)
-        pace = rate * min(1.0, 1.5 * (1 - (update - 1) / max(windows, 1)) + 0.05)
+        pace = rate * min(1.0, 1.5 * (1 - seen / total) + 0.05)
         net.flat -= pace * (m / (1 - 0.9 ** adam.steps)) / (np.sqrt(v / (1 - 0.995 ** adam.steps)) + 1e-6)
-        loss -= float(logp.sum())
-        seen += len(ok)
+        loss += lost
+        seen += count
     return loss / max(seen, 1)
 
 
@@ -406,26 +415,43 @@ def _unit_docs(vocab: Vocabulary, column):
             yield np.append(unit[a:b], 0).astype(np.int16), key[a:b]
 
 
-def fit(train_docs: DataFrame, vocab: Vocabulary, rounds: int, block_tokens: int = 1 << 20) -> tuple[np.ndarray, int]:
-    """Rounds of local training per partition and token-weighted averaging of the parameters.
+def fit(train_docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, block_tokens: int = 1 << 20) -> tuple[np.ndarray, int]:
+    """Rounds of local training per group of documents and token-weighted averaging of the parameters.
 
-    Returns the parameters and the tokens one round learned from (the ends included).
+    Every document is learned from once: a hash of id and text deals it to one of ``rounds`` parts and to one
+    of a number of groups that grows with the square root of the corpus, and orders it there, so
+    the result depends neither on the partitions of the table nor on the cluster.  Round ``r`` trains on
+    part ``r``, each group from the average of the round before.
+    Returns the parameters and the number of tokens learned from (the ends included).
     """
     spark = train_docs.sparkSession
     flat, total = Network(vocab).flat, 0
+    groups = max(1, math.ceil(2 * math.sqrt(vocab.total / (1 << 20))))
+    place = F.xxhash64("doc_id", "text")
+    dealt = train_docs.select("text", place.alias("place"))
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((vocab, flat))
 
+        def units(batches):
+            for batch in batches:
+                rows = [u.tobytes() for u, _ in _unit_docs(shared.value[0], batch.column(0))]
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows, pa.binary())],
+                                                 ["grp", "place", "units"])
+
+        def stream(batches):
+            for batch in batches:
+                yield from zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(2)))
+
         def local(batches):
             vocab_, flat_ = shared.value
-            net, n = Network(vocab_, flat_.copy()), 0
-            adam = Adam(len(net.flat))
-            for docs in blocks((u for batch in batches for u, _ in _unit_docs(vocab_, batch.column(0))), block_tokens):
-                train(net, docs, rate=0.012 / (k + 1), adam=adam)
-                n += sum(map(len, docs))
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([net.flat.tobytes()], pa.binary())],
-                                                 ["n", "flat"])
+            for grp, rows in groupby(stream(batches), key=lambda r: r[0]):
+                net, n = Network(vocab_, flat_.copy()), 0
+                adam = Adam(len(net.flat))
+                for docs in blocks((np.frombuffer(u, np.int16) for _, u in rows), block_tokens):
+                    train(net, docs, rate=RATE / (k + 1), adam=adam)
+                    n += sum(map(len, docs))
+                yield pa.RecordBatch.from_arrays([pa.array([grp], pa.int32()), pa.array([n], pa.int64()),
+                                                  pa.array([net.flat.tobytes()], pa.binary())], ["grp", "n", "flat"])
 
         def average(table):
             n = table.column("n").to_numpy().astype(np.float64)
@@ -434,13 +460,18 @@ def fit(train_docs: DataFrame, vocab: Vocabulary, rounds: int, block_tokens: int
             return pa.table({"n": pa.array([int(n.sum())], pa.int64()),
                              "flat": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
-        parts = train_docs.select("text").mapInArrow(local, "n long, flat binary")
-        parts = scratch(parts.withColumn("part", F.spark_partition_id()), "lm-parts")
-        groups = max(1, math.isqrt(parts.count()))
-        rows = (parts.groupBy((F.col("part") % groups).alias("g")).applyInArrow(average, "n long, flat binary").collect())
-        total = sum(r["n"] for r in rows)
-        if total:
-            flat = sum(r["n"] / total * np.frombuffer(r["flat"], np.float32).astype(np.float64) for r in rows).astype(np.float32)
+        part = F.pmod(F.col("place"), F.lit(groups * rounds))
+        rows = (dealt.where(F.floor(part / groups) == k).select("text", (part % groups).cast("int").alias("grp"), "place")
+                .mapInArrow(units, "grp int, place long, units binary"))
+        parts = (rows.repartition(groups, "grp").sortWithinPartitions("grp", "place", "units")
+                 .mapInArrow(local, "grp int, n long, flat binary"))
+        parts = scratch(parts, "lm-parts")
+        bundles = max(1, math.isqrt(groups))
+        means = (parts.groupBy((F.col("grp") % bundles).alias("g")).applyInArrow(average, "n long, flat binary").collect())
+        n = sum(r["n"] for r in means)
+        if n:
+            flat = sum(r["n"] / n * np.frombuffer(r["flat"], np.float32).astype(np.float64) for r in means).astype(np.float32)
+        total += n
         drop_scratch(parts)
     return flat, total
 
@@ -449,7 +480,7 @@ SCORE_SCHEMA = ("doc_id long, held_out boolean, n_tokens long, head_known long,
                 "tail array<struct<key:long,m:int>>")
 
 
-def score_documents(docs: DataFrame, head: int = 1 << 18, rounds: int = 1, block_tokens: int = 1 << 21) -> DataFrame:
+def score_documents(docs: DataFrame, head: int = 1 << 18, rounds: int = ROUNDS, block_tokens: int = 1 << 21) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row of ``docs``."""
     spark = docs.sparkSession
     learn = docs.where(learnable(F.col("doc_id"), 7))

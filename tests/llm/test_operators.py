@@ -409,6 +409,41 @@ def test_unit_scores_do_not_depend_on_windows_or_slots(spark):
 
 
 def test_gradient_of_the_recurrent_model(spark):
+    """Against finite differences, in double precision, over a window with document starts and ended slots."""
+    counts = spark.createDataFrame([(int(lm.END.view(np.int64)), 0, 5)] + [(i * 7919, 97 + i % 20, 50 - i) for i in range(1, 40)],
+                                   "key long, suffix int, c long")
+    net = lm.Network(lm.vocabulary(counts, 16))
+    rng = np.random.default_rng(1)
+    flat = net.flat.astype(np.float64) + rng.normal(0, 0.3, net.flat.shape)
+
+    def at(values):
+        net.flat = values
+        place = 0
+        for k, shape in net.shapes.items():
+            net.p[k] = values[place:place + math.prod(shape)].reshape(shape)
+            place += math.prod(shape)
+
+    lay = lm.Layout([np.append(rng.integers(0, lm.UNITS, n), 0).astype(np.int16) for n in (9, 0, 4, 2, 6)], 3)
+    place, live = next(lay.windows(12))
+    fresh = lay.first[place]
+    feed = lay.feed(place, fresh)
+    start = rng.normal(size=(place.shape[1], net.h))
+    at(flat.copy())
+    _, g, _ = lm.gradient(net, start, lay.target[place], feed, fresh, live)
+    grad = np.concatenate([g[k].reshape(-1) for k in net.shapes])
+    some = np.flatnonzero(np.abs(grad) > 1e-6)
+    some = np.concatenate([rng.choice(some, 150, replace=False), rng.choice(len(flat), 30)])
+    for i in some:
+        loss = []
+        for step in (1e-5, -1e-5):
+            moved = flat.copy()
+            moved[i] += step
+            at(moved)
+            loss.append(lm.gradient(net, start, lay.target[place], feed, fresh, live)[0])
+        assert (loss[0] - loss[1]) / 2e-5 == pytest.approx(grad[i], rel=1e-4, abs=1e-6)
+
+
+def test_training_raises_the_score(spark):
     counts = spark.createDataFrame([(int(lm.END.view(np.int64)), 0, 5), (11, 97, 9), (12, 98, 3)], "key long, suffix int, c long")
     net = lm.Network(lm.vocabulary(counts, 16))
     doc = np.array([1, 2, 1, 1, 2, 0] * 30, np.int16)
@@ -417,6 +452,26 @@ def test_gradient_of_the_recurrent_model(spark):
     assert lm.score_units(net, [doc]).sum() > before
 
 
+def test_one_very_long_document_among_short_ones_holds_no_matrix(spark):
+    import tracemalloc
+
+    counts = spark.createDataFrame([(int(lm.END.view(np.int64)), 0, 5), (11, 97, 9), (12, 98, 3)], "key long, suffix int, c long")
+    net = lm.Network(lm.vocabulary(counts, 16))
+    docs = [np.zeros(200_000, np.int16)] + [np.zeros(50, np.int16)] * 600
+    tracemalloc.start()
+    lm.score_units(net, docs)
+    lm.train(net, docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6              # slots x longest document would be 100 MB for one byte a place
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.expr("concat('w', id % 7, ' b ', repeat('a c ', int(id % 5)))").alias("text"))
+    one, many = (lm.score_documents(docs.repartition(n)).orderBy("doc_id").collect() for n in (1, 9))
+    assert np.allclose([r.score for r in one], [r.score for r in many], rtol=1e-6)
+
+
 def test_language_model_learns_from_every_training_document(spark, monkeypatch):
     docs = spark.range(2400).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('word', id % 50, ' and more '), 300)").alias("text"))
     calls, fit = [], lm.fit
@@ -429,7 +484,7 @@ def test_language_model_learns_from_every_training_document(spark, monkeypatch):
     got = lm.score_documents(docs).toPandas()
     (train_docs, vocab, (flat, tokens)), = calls
     assert train_docs.count() == (~got.held_out).sum() and tokens == got.train_tokens[0] > 1 << 20
-    assert fit(train_docs.limit(50).coalesce(1), vocab, 1, block_tokens=5000)[1] == 50 * 901     # many blocks in one task
+    assert fit(train_docs.limit(50).coalesce(1), vocab, 2, block_tokens=5000)[1] == 50 * 901     # many blocks in one task
 
 
 def test_blocks_hold_every_document_once():
