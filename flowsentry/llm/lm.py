@@ -7,9 +7,9 @@ unit come from a gated recurrent network in numpy; ``P(word | unit)`` is the add
 ``(c + 1) / (N_unit + V_unit + 1)`` from the counts of all training documents.
 
 * Counts: every training document, summed per task before the shuffle.
-* Network: trained by truncated backpropagation on every training document.  Each partition
-  starts from the common parameters and streams its documents in blocks of about
-  ``block_tokens``; the partitions' results are averaged by token count, ``rounds`` times.
+* Network: trained by truncated backpropagation on every training document, once.  Documents are dealt by
+  hash to rounds and groups; in each round every group starts from the common parameters and
+  streams its documents in blocks of about ``block_tokens``, and the groups' results are averaged.
 * Scoring: many documents run side by side as slots of one batch; a slot's state is carried
   from window to window until its document ends, so the score covers complete documents.
 * The counts of the ``head`` most frequent words (a bounded table) are broadcast.  Other words
@@ -39,9 +39,9 @@ from .common import drop_scratch, held_out, learnable, scratch, text_chunks
 END = np.uint64(0x5E0D0F7EE7D0C0DE)
 END_SUFFIX = 0
 
-UNITS, CLASSES, HEAD_UNITS = 256, 16, 96
+UNITS, CLASSES, HEAD_UNITS = 512, 24, 300
 HIDDEN = 16
-SLOTS, ROUNDS, RATE = 256, 2, 0.012
+SLOTS, ROUNDS, RATE = 256, 2, 0.03
 
 
 def text_tokens(words: Words):
