@@ -31,8 +31,11 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import argmin, collect_array_sums, dot, lit_vector, sq_norm
 from ..functions.scalars import hash_key, hash_unit
@@ -94,6 +97,20 @@ class FeatureMap:
         return st
 
 
+    def states(self, x: np.ndarray) -> np.ndarray:
+        """Amplitudes of a block of angle rows as one complex matrix (rows x 2^n), the same closed form."""
+        bits = (np.arange(self.dim)[:, None] >> np.arange(self.n)) & 1
+        if self.map_type == "rx":
+            out = np.ones((len(x), self.dim), complex)
+            for i in range(self.n):
+                out *= np.where(bits[:, i], -1j * np.sin(x[:, i:i + 1] / 2), np.cos(x[:, i:i + 1] / 2))
+            return out
+        phase = 2.0 * x @ bits.T
+        for i, j in [] if self.map_type == "z" else entanglement_pairs(self.n, self.entanglement):
+            phase += np.outer(2.0 * (np.pi - x[:, i]) * (np.pi - x[:, j]), bits[:, i] ^ bits[:, j])
+        return np.exp(1j * phase) * 2.0 ** (-self.n / 2.0)
+
+
 def build_feature_map(n: int, reps: int = 1, map_type: str = "zz", entanglement: str = "full") -> FeatureMap:
     """G-1..G-5.  ``pauli`` with Z and ZZ terms is the ZZ map (full pairs)."""
     if map_type not in MAP_TYPES:
@@ -190,48 +207,134 @@ def cluster_state(df: DataFrame, label, k: int, v: str, width: int | None = None
     return ClusterState(sums, sizes)
 
 
-def _state_and_changes(df: DataFrame, new_label, old_label, k: int, v: str) -> tuple[ClusterState, int]:
-    """One pass: cluster sums under ``new_label`` and how many rows changed cluster."""
+class _Centres:
+    """Cluster sums and sizes of one Lloyd step, and the assignment of rows to them."""
+
+    def __init__(self, sums: np.ndarray, sizes: np.ndarray):
+        self.sums, self.sizes = sums, sizes
+
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        """Nearest cluster mean, the smaller number on ties; an empty cluster wins nothing."""
+        mean = self.sums / np.maximum(self.sizes, 1)[:, None]
+        d = (x * x).sum(axis=1)[:, None] - 2.0 * x @ mean.T + (mean * mean).sum(axis=1)
+        return np.where(self.sizes > 0, d, np.inf).argmin(axis=1)
+
+
+def _lloyd_step(base: DataFrame, new: _Centres | None, old: _Centres | None, k: int, v: str) -> tuple[_Centres, int]:
+    """Cluster sums under the labels that ``new`` gives (the initial ones if None) and how many labels changed from ``old``.
+
+    Each partition turns its blocks into ``k`` sums by a matrix product; the sums are added in Spark.
+    """
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
-    from pyspark.sql import functions as F2
 
-    lab = df.select(new_label.alias("_c"), (new_label != old_label).cast("long").alias("_chg"),
-                    array_to_vector(v).alias("_v"))
-    rows = lab.groupBy("_c").agg(Summarizer.metrics("sum", "count").summary(F2.col("_v")).alias("s"),
-                                 F2.sum("_chg").alias("chg")).collect()
-    sums, sizes, changed = [None] * k, [0] * k, 0
-    for r in rows:
-        sums[r["_c"]] = [float(x) for x in r["s"]["sum"].toArray()]
-        sizes[r["_c"]] = int(r["s"]["count"])
-        changed += r["chg"]
-    return ClusterState(sums, sizes), changed
+    def run(batches):
+        sums = sizes = None
+        changed = 0
+        for batch in batches:
+            x, first = matrix(batch.column(0)), batch.column(1).to_numpy()
+            to = first if new is None else new.assign(x)
+            before = to if new is None else first if old is None else old.assign(x)
+            one = (to[:, None] == np.arange(k)).astype(np.float64)
+            sums = one.T @ x + (0 if sums is None else sums)
+            sizes = one.sum(axis=0) + (0 if sizes is None else sizes)
+            changed += int((to != before).sum())
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(k, dtype=np.int32)), pa.array(sizes.astype(np.int64)),
+                 pa.array([changed] + [0] * (k - 1), pa.int64()), pa.array(list(sums), pa.list_(pa.float64()))],
+                ["c", "n", "changed", "s"])
+
+    parts = base.select(v, "_c0").mapInArrow(run, "c int, n long, changed long, s array<double>")
+    rows = parts.groupBy("c").agg(Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("n").alias("n"),
+                                  F.sum("changed").alias("changed")).collect()
+    if not rows:
+        return _Centres(np.zeros((k, 1)), np.zeros(k)), 0
+    rows.sort(key=lambda r: r["c"])
+    return (_Centres(np.array([r["s"].toArray() for r in rows]), np.array([r["n"] for r in rows], np.float64)),
+            sum(r["changed"] for r in rows))
 
 
 def kernel_kmeans(vecs: DataFrame, k: int = 2, max_iter: int = 100, v: str = "v", seed: int = 42,
                   key: str = "row_id") -> tuple[DataFrame, int]:
     """G-6: Lloyd iterations in kernel space; stops when no label changes.
 
-    Each step is ONE aggregation over the materialised vector table: it
-    assigns rows with the previous step's k cluster sums (literals), sums
-    the vectors per new cluster and counts changed labels.  The label of
-    step t is a pure expression of the step t-1 sums, so lineage never grows.
-    Returns ``(vecs + cluster, steps)``.
+    ``v`` holds vectors whose inner products are the kernel: density vectors (exact), or landmark
+    features.  Each step is ONE pass over the written vector table: rows are assigned by the
+    step's k x width sums, summed per new cluster with matrix products in the tasks, and changed
+    labels are counted.  Returns ``(vecs + cluster, steps)``.
     """
-    # reused every step: materialise once in the shared checkpoint folder; this also hands
-    # Catalyst a leaf instead of the long amplitude expression chain
-    base = cut_lineage(vecs).persist()  # checkpoint = durable copy; persist = fast re-reads per step
-    label = initial_clusters(base, k, key, seed)
-    state = cluster_state(base, label, k, v)
-    steps = 0
+    base = cut_lineage(vecs.withColumn("_c0", initial_clusters(vecs, k, key, seed)))
+    state, _ = _lloyd_step(base, None, None, k, v)
+    old, steps, changed = None, 0, 0
     for _ in range(max_iter):
-        new_label = argmin(state.distances(v))
-        new_state, changed = _state_and_changes(base, new_label, label, k, v)
+        after, changed = _lloyd_step(base, state, old, k, v)
         steps += 1
         if changed == 0:
             break
-        label, state = new_label, new_state
-    return base.withColumn("cluster", label), steps
+        old, state = state, after
+    last, at = (state, old)[changed > 0 and old is not None], base.columns.index(v)
+
+    def label(batches):
+        for batch in batches:
+            rows = pa.array(last.assign(matrix(batch.column(at))).astype(np.int32)) if batch.num_rows else pa.array([], pa.int32())
+            yield batch.set_column(batch.num_columns - 1, "cluster", rows)
+
+    schema = T.StructType(base.schema.fields[:-1] + [T.StructField("cluster", T.IntegerType())])
+    return base.mapInArrow(label, schema), steps
+
+
+# --------------------------------------------------------------------------- numpy vectors, landmark mode
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column as one matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _map_rows(df: DataFrame, angle: str, keep: Sequence[str], fn) -> DataFrame:
+    """``keep`` columns and ``v = fn(angles)`` per block of rows."""
+    keep = [c for c in keep if c in df.columns]
+    rows = df.select(*keep, F.col(angle).cast("array<double>").alias("v"))
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                out = fn(matrix(part.column(len(keep))))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(out.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), flat], [*keep, "v"])
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def density_rows(df: DataFrame, fmap: FeatureMap, angle: str = "angle", keep: Sequence[str] = ("row_id", "y")) -> DataFrame:
+    """``kernel_vectors`` by matrix arithmetic per block of rows (same order of entries)."""
+    i, j = np.triu_indices(fmap.dim, 1)
+
+    def vectors(x):
+        a = fmap.states(x)
+        off = a[:, i] * a[:, j].conj() * math.sqrt(2.0)
+        return np.concatenate([np.abs(a) ** 2, np.stack([off.real, off.imag], axis=2).reshape(len(x), -1)], axis=1)
+
+    return _map_rows(df, angle, keep, vectors)
+
+
+def landmark_features(df: DataFrame, fmap: FeatureMap, landmarks: int = 256, angle: str = "angle", key: str = "row_id",
+                      keep: Sequence[str] = ("row_id", "y"), seed: int = 42) -> DataFrame:
+    """G-6 landmark mode: Nystrom features ``v`` of the fidelity kernel from hash-chosen landmark rows.
+
+    ``<v_x, v_y>`` is the kernel projected on the span of the landmarks, exact for landmarks
+    themselves.  A row costs ``landmarks`` numbers instead of 4^n, whatever the number of angles.
+    """
+    from .sample import random_sample
+
+    chosen = random_sample(df, landmarks, key, seed).select(F.col(angle).cast("array<double>").alias("a")).collect()
+    marks = fmap.states(np.array([r["a"] for r in chosen], np.float64)).conj().T
+    gram = np.abs(fmap.states(np.array([r["a"] for r in chosen], np.float64)) @ marks) ** 2
+    values, vectors = np.linalg.eigh(gram)
+    solid = values > 1e-10 * values.max()
+    root = vectors[:, solid] / np.sqrt(values[solid])
+    return _map_rows(df, angle, keep, lambda x: np.abs(fmap.states(x) @ marks) ** 2 @ root)
 
 
 def kernel_kmeans_step(vecs: DataFrame, k: int = 2, v: str = "v", seed: int = 42, key: str = "row_id") -> DataFrame:

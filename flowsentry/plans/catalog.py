@@ -861,6 +861,14 @@ def e4_kernel_clustering(spark, d):
     return E.run_kernel_clustering(spark, d)
 
 
+@query("e4_landmark_clustering")
+def e4_landmark_clustering(spark, d):
+    """E-4 at eight angles through 256 landmark rows (65,536 entries a row otherwise)."""
+    from .experiments import run_kernel_clustering
+
+    return _round_cols(run_kernel_clustering(spark, d, n_qubits=8, landmarks=256))
+
+
 @query("e3_compare_detectors")
 def e3_compare_detectors(spark, d):
     """E-3: PCA 30 -> 80/10/10 -> grid search in one sweep -> test metrics and status per detector."""

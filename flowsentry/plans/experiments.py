@@ -136,15 +136,21 @@ def _reduced_angles(spark: SparkSession, sf_dir: str, n: int, train_frac: float
 
 
 def run_kernel_clustering(spark: SparkSession, sf_dir: str, n_qubits: int = 4, reps: int = 1,
-                          map_type: str = "zz", k: int = 2, max_iter: int = 100) -> DataFrame:
-    """E-4: fidelity-kernel k-means vs plain k-means on the same angles (G-6, G-7, G-8)."""
+                          map_type: str = "zz", k: int = 2, max_iter: int = 100, landmarks: int | None = None) -> DataFrame:
+    """E-4: fidelity-kernel k-means vs plain k-means on the same angles (G-6, G-7, G-8).
+
+    With ``landmarks`` the kernel is taken through that many landmark rows (any number of angles),
+    otherwise exactly, through vectors of 4^n entries.
+    """
     from ..operators import kernels as G
     from ..operators.detect import fit_kmeans
+    from ..session import cut_lineage
 
-    ang = _reduced_angles(spark, sf_dir, n_qubits)["all"]
+    ang = cut_lineage(_reduced_angles(spark, sf_dir, n_qubits)["all"])
     fmap = G.build_feature_map(n_qubits, reps, map_type)
-    vecs = G.kernel_vectors(ang, fmap)
+    vecs = G.density_rows(ang, fmap) if landmarks is None else G.landmark_features(ang, fmap, landmarks)
     clustered, steps = G.kernel_kmeans(vecs, k, max_iter)
+    clustered = clustered.select("row_id", "y", "cluster")
     q = M.binary_metrics(M.clusters_to_prediction(clustered, "cluster", "y")).collect()[0]
     km = fit_kmeans(ang, "angle", k)
     base = km.score(ang, "angle")
