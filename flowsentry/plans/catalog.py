@@ -18,7 +18,8 @@ from ..operators import sample as S
 from ..operators import stats as A
 from ..operators.detect import fit_centroid, normal_rows
 from ..operators.features import fit_flow_encoder
-from ..sources.standins import embedding_vectors, event_flows, lineitem_flows
+from ..sources.standins import dirty_events, embedding_vectors, event_flows, lineitem_flows
+from ..session import cut_lineage
 from ..sources.tables import read_table
 from . import oracle as O
 from .experiments import _round_cols, run_centroid_anomaly
@@ -602,6 +603,8 @@ def g7_cluster_to_anomaly(spark, d):
 
 from ..operators import neighbors as NB  # noqa: E402
 from ..operators.features import fit_pca  # noqa: E402
+from ..operators.impute import fit_imputer  # noqa: E402
+from ..operators.sparse import fit_vocabulary  # noqa: E402
 from ..operators.projections import knn_approximate  # noqa: E402
 
 LOF_K_OUTLIER = 10
@@ -669,6 +672,52 @@ def d6_lof_approximate(spark, d):
     return NB.lof_scores(z, None, LOF_K_OUTLIER).select("row_id", r6("score").alias("score"))
 
 
+# =========================================================================== dirty input, sparse categories (P-4, P-6..P-8, F-1)
+
+_DIRTY_SQL = """
+SELECT event_id AS row_id, event_type AS label,
+       CASE WHEN event_id % 11 = 0 THEN 'Infinity' WHEN event_id % 13 = 0 THEN 'NaN' WHEN event_id % 17 = 0 THEN 'n/a'
+            WHEN event_id % 19 = 0 THEN NULL WHEN event_id % 23 = 0 THEN '-Infinity' ELSE CAST(value AS VARCHAR) END AS value,
+       CASE WHEN event_id % 7 = 0 THEN '' ELSE json_extract_string(props, '$.k') END AS k FROM events
+UNION ALL SELECT event_id, 'label', 'value', 'k' FROM events WHERE event_type = 'error'"""
+
+
+@query("p7_median_imputer", f"""
+WITH d AS (SELECT * FROM ({_DIRTY_SQL}) WHERE label <> 'label'),
+n AS (SELECT row_id, label, TRY_CAST(value AS DOUBLE) AS v, TRY_CAST(k AS DOUBLE) AS k FROM d),
+f AS (SELECT row_id, label, CASE WHEN isfinite(v) THEN v END AS v, CASE WHEN isfinite(k) THEN k END AS k FROM n),
+m AS (SELECT quantile_cont(v, 0.5) AS mv, quantile_cont(k, 0.5) AS mk FROM f)
+SELECT row_id, label, round(coalesce(v, mv), 6) AS value, round(coalesce(k, mk), 6) AS k FROM f, m""")
+def p7_median_imputer(spark, d):
+    """P-4, P-6, P-7, P-8 on text with junk, blanks, NaN, infinities and header lines: rows cleaned, medians filled in."""
+    df = dirty_events(spark, d).where(~F.col("label").eqNullSafe("label"))
+    return fit_imputer(df, ["value", "k"]).transform(df).select("row_id", "label", r6("value").alias("value"), r6("k").alias("k"))
+
+
+@query("p4_clean_dirty", f"""
+WITH n AS (SELECT row_id, TRY_CAST(value AS DOUBLE) AS v FROM ({_DIRTY_SQL}) WHERE label <> 'label')
+SELECT row_id, round(CASE WHEN isfinite(v) THEN v ELSE 0.0 END, 6) AS value, v IS NULL AS was_junk FROM n""")
+def p4_clean_dirty(spark, d):
+    """P-4, P-6 and P-8 with the constant fill, on the same dirty text."""
+    df = dirty_events(spark, d).where(~F.col("label").eqNullSafe("label"))
+    return df.select("row_id", r6(clean_double("value")).alias("value"), F.col("value").try_cast("double").isNull().alias("was_junk"))
+
+
+@query("f1_sparse_one_hot", """
+WITH v AS (SELECT 0 AS pos, p_name AS value FROM part UNION SELECT 1, p_brand FROM part UNION SELECT 2, p_type FROM part),
+r AS (SELECT pos, value, row_number() OVER (ORDER BY pos, value) - 1 AS idx FROM v),
+l AS (SELECT p_partkey AS row_id, idx FROM part JOIN r ON pos = 0 AND value = p_name
+      UNION ALL SELECT p_partkey, idx FROM part JOIN r ON pos = 1 AND value = p_brand
+      UNION ALL SELECT p_partkey, idx FROM part JOIN r ON pos = 2 AND value = p_type)
+SELECT row_id, CAST((SELECT count(*) FROM r) AS INTEGER) AS size, array_to_string(list(idx ORDER BY idx), ',') AS indices
+FROM l GROUP BY row_id""")
+def f1_sparse_one_hot(spark, d):
+    """F-1 sparse: names, brands and types of parts over one vocabulary table."""
+    df = read_table(spark, d, "part", ["p_partkey", "p_name", "p_brand", "p_type"]).withColumnRenamed("p_partkey", "row_id")
+    out = fit_vocabulary(df, ["p_name", "p_brand", "p_type"]).encode(df)
+    return out.select("row_id", "onehot.size", F.concat_ws(",", F.col("onehot.indices").cast("array<string>")).alias("indices"))
+
+
 # =========================================================================== silhouette, remaining detectors
 
 from ..operators import forest as FR  # noqa: E402
@@ -714,6 +763,7 @@ def d9_threshold_decision(spark, d):
 
 def _detector_metrics(scored: DataFrame, contamination: float) -> DataFrame:
     """A-9 cut, then accuracy / P / R / F1 and AUC of the detector (E-7)."""
+    scored = cut_lineage(scored.select("y", "score"))      # read by the quantile, the metrics and the curve
     cut = A.contamination_cut(scored, "score", contamination)
     met = M.binary_metrics(cut)
     auc = M.roc_auc(scored, "score", "y").collect()[0]["auc"]

@@ -70,12 +70,17 @@ def _flow_split(spark: SparkSession, sf_dir: str, test_frac: float = 0.2):
 
 
 def run_supervised(spark: SparkSession, sf_dir: str, kind: str = "rf", weighted: bool = True,
-                   scaled: bool = True, **params) -> DataFrame:
-    """E-1: split -> encoder fitted on train (F-7) -> weights (A-3) -> fit -> score -> report."""
+                   scaled: bool = True, save_to: str | None = None, run_id: str | None = None, **params) -> DataFrame:
+    """E-1: split -> encoder fitted on train (F-7) -> weights (A-3) -> fit -> score -> report.
+
+    With ``save_to`` the run also leaves, in that folder, ``models/<run id>`` (encoder and classifier as one
+    ``PipelineModel``, K-2/K-3), ``reports/<run id>`` (A-14's rows) and its record in the ``runs`` table (K-4).
+    """
     import time
 
     from ..operators.features import Standardizer, fit_flow_encoder
-    from ..operators.models import evaluate_classifier, fit_classifier
+    from ..operators.models import RunRecord, evaluate_classifier, fit_classifier, pipeline_of
+    from ..sources.sinks import append_run
 
     ft, train, test = _flow_split(spark, sf_dir)
     enc = fit_flow_encoder(train, ft.numeric, ft.categorical)
@@ -87,6 +92,12 @@ def run_supervised(spark: SparkSession, sf_dir: str, kind: str = "rf", weighted:
     fitted = fit_classifier(tr, kind, "features", "y", weighted=weighted, **params)
     train_s = time.time() - t0
     met, auc, eval_s = evaluate_classifier(fitted, te)
+    if save_to is not None:
+        run_id = append_run(spark, f"{save_to}/runs", RunRecord(
+            kind, "lineitem", tr.count(), te.count(), train_s, eval_s, met["accuracy"], met["precision"], met["recall"],
+            met["f1"], auc), run_id)
+        pipeline_of(enc, fitted).write().overwrite().save(f"{save_to}/models/{run_id}")
+        M.classification_report(fitted.predict(te)).coalesce(1).write.mode("overwrite").parquet(f"{save_to}/reports/{run_id}")
     row = [(kind, "lineitem", float(train_s), float(eval_s), float(met["accuracy"]), float(met["precision"]),
             float(met["recall"]), float(met["f1"]), None if auc is None else float(auc), enc.width)]
     return spark.createDataFrame(row, "model string, dataset string, train_s double, eval_s double, "

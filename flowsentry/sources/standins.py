@@ -55,6 +55,18 @@ def event_flows(spark: SparkSession, sf_dir: str) -> FlowTable:
     return FlowTable(df, numeric=list(EVENT_NUMERIC))
 
 
+def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a line of text fields with the faults of the CIC files: infinities, NaN, junk, blanks and
+    missing values, and a header line after each ``error`` event (``row_id, label, value, k``)."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "event_type", "value", "props"])
+    i = F.col("event_id")
+    value = (F.when(i % 11 == 0, "Infinity").when(i % 13 == 0, "NaN").when(i % 17 == 0, "n/a").when(i % 19 == 0, F.lit(None))
+             .when(i % 23 == 0, "-Infinity").otherwise(F.col("value").cast("string")))
+    k = F.when(i % 7 == 0, "").otherwise(F.get_json_object("props", "$.k"))
+    rows = ev.select(i.alias("row_id"), F.col("event_type").alias("label"), value.alias("value"), k.alias("k"))
+    return rows.unionAll(ev.where("event_type = 'error'").select(i, F.lit("label"), F.lit("value"), F.lit("k")))
+
+
 def lineitem_flows(spark: SparkSession, sf_dir: str) -> FlowTable:
     li = read_table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",

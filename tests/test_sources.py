@@ -77,8 +77,14 @@ def test_runs_table_append_and_best(spark, tmp_path):
     path = str(tmp_path / "runs")
     SK.append_run(spark, path, RunRecord("rf", "a", 10, 5, 1.0, 0.1, 0.9, 0.8, 0.7, 0.75, 0.9))
     SK.append_run(spark, path, RunRecord("rf", "b", 10, 5, 1.0, 0.1, 0.9, 0.8, 0.7, 0.85, 0.9))
-    best = SK.best_runs(spark.read.parquet(path)).collect()[0]
+    best = SK.best_runs(SK.read_runs(spark, path)).collect()[0]
     assert best["n_runs"] == 2 and best["best_f1"] == 0.85 and best["dataset"] == "b"
+    for f1 in (0.1, 0.95):      # a run written again replaces itself
+        SK.append_run(spark, path, RunRecord("dt", "c", 10, 5, 1.0, 0.1, 0.9, 0.8, 0.7, f1, None), "run-7")
+    rows = {r.run_id: r for r in SK.read_runs(spark, path).collect()}
+    assert len(rows) == 3 and rows["run-7"].f1 == 0.95 and rows["run-7"].auc is None
+    with pytest.raises(ValueError):
+        SK.append_run(spark, path, {}, "../elsewhere")
 
 
 def test_streaming_scores_equal_batch(spark, tmp_path):
