@@ -893,6 +893,12 @@ def m5_poly_svm(spark, d):
     return E.run_kernel_svm_features(spark, d, "poly")
 
 
+@query("m5_sigmoid_svm")
+def m5_sigmoid_svm(spark, d):
+    """M-5 sigmoid kernel: Nystrom features of its positive part, 512 landmarks."""
+    return _round_cols(E.run_kernel_svm_features(spark, d, "sigmoid"))
+
+
 @query("m8_fidelity_kernel_svm")
 def m8_fidelity_kernel_svm(spark, d):
     """M-8 / E-6: one-layer ZZ (linear) fidelity-kernel SVM as LinearSVC on density vectors."""

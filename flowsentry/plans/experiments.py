@@ -95,7 +95,7 @@ def run_supervised(spark: SparkSession, sf_dir: str, kind: str = "rf", weighted:
     if save_to is not None:
         run_id = append_run(spark, f"{save_to}/runs", RunRecord(
             kind, "lineitem", tr.count(), te.count(), train_s, eval_s, met["accuracy"], met["precision"], met["recall"],
-            met["f1"], auc), run_id)
+            met["f1"], auc, fitted.status), run_id)
         pipeline_of(enc, fitted).write().overwrite().save(f"{save_to}/models/{run_id}")
         M.classification_report(fitted.predict(te)).coalesce(1).write.mode("overwrite").parquet(f"{save_to}/reports/{run_id}")
     row = [(kind, "lineitem", float(train_s), float(eval_s), float(met["accuracy"]), float(met["precision"]),
@@ -107,7 +107,7 @@ def run_supervised(spark: SparkSession, sf_dir: str, kind: str = "rf", weighted:
 
 def run_kernel_svm_features(spark: SparkSession, sf_dir: str, kind: str = "rbf", C: float = 1.0,
                             n_components: int = 512) -> DataFrame:
-    """M-4 / M-5: kernel SVM through an explicit kernel map + LinearSVC (class-weighted)."""
+    """M-4 / M-5: kernel SVM through an explicit kernel map and a linear SVM (class-weighted), with its status."""
     from ..operators.forest import fit_kernel_map
     from ..operators.models import evaluate_classifier, fit_classifier
     from ..operators.features import fit_flow_encoder
@@ -122,8 +122,8 @@ def run_kernel_svm_features(spark: SparkSession, sf_dir: str, kind: str = "rbf",
     met, auc, eval_s = evaluate_classifier(fitted, tep)
     return spark.createDataFrame(
         [(f"svm_{kind}", float(met["accuracy"]), float(met["precision"]), float(met["recall"]), float(met["f1"]),
-          None if auc is None else float(auc))],
-        "model string, accuracy double, precision double, recall double, f1 double, auc double")
+          None if auc is None else float(auc), fitted.status)],
+        "model string, accuracy double, precision double, recall double, f1 double, auc double, status string")
 
 
 # =========================================================================== E-4 / E-6 kernel runs
@@ -174,19 +174,19 @@ def run_kernel_clustering(spark: SparkSession, sf_dir: str, n_qubits: int = 4, r
 
 def run_kernel_svm(spark: SparkSession, sf_dir: str, n_qubits: int = 2, reps: int = 1,
                    entanglement: str = "linear", C: float = 1.0) -> DataFrame:
-    """E-6 / M-8: fidelity-kernel SVM = LinearSVC on the density vectors (exact primal form)."""
+    """E-6 / M-8: fidelity-kernel SVM = linear SVM on the density vectors (exact primal form), with its status."""
     from ..operators import kernels as G
     from ..operators.models import evaluate_classifier, fit_classifier
 
     parts = _reduced_angles(spark, sf_dir, n_qubits, train_frac=0.75)
     fmap = G.build_feature_map(n_qubits, reps, "zz", entanglement)
-    tr = G.kernel_vectors(parts["train"], fmap)
-    te = G.kernel_vectors(parts["test"], fmap)
+    tr = G.density_rows(parts["train"], fmap)
+    te = G.density_rows(parts["test"], fmap)
     fitted = fit_classifier(tr, "linear_svc", "v", "y", weighted=False, C=C)
     met, auc, eval_s = evaluate_classifier(fitted, te)
     return spark.createDataFrame(
-        [("kernel_svm", float(met["accuracy"]), float(met["precision"]), float(met["recall"]), float(met["f1"]))],
-        "model string, accuracy double, precision double, recall double, f1 double")
+        [("kernel_svm", float(met["accuracy"]), float(met["precision"]), float(met["recall"]), float(met["f1"]), fitted.status)],
+        "model string, accuracy double, precision double, recall double, f1 double, status string")
 
 
 def run_angle_logit(spark: SparkSession, sf_dir: str, n_qubits: int = 2) -> DataFrame:
@@ -239,7 +239,7 @@ def candidates(train: DataFrame, held: DataFrame) -> list[Candidate]:
     def one_class():
         maps = {km: FR.fit_kernel_map(train, "x", *km) for km in KERNEL_MAPS}
         fits = FR.fit_one_class_grid(train, "x", CUTS, maps)
-        return [({"kernel": k, "gamma": g, "nu": nu, "converged": fits[(k, g), nu].converged}, (nu,),
+        return [({"kernel": k, "gamma": g, "nu": nu, "gap": round(fits[(k, g), nu].gap, 5)}, (nu,),
                  fits[(k, g), nu].model.score) for nu in CUTS for k, g in KERNEL_MAPS]
 
     def lof():
