@@ -865,14 +865,14 @@ from . import experiments as E  # noqa: E402
 
 @query("m1_decision_tree")
 def m1_decision_tree(spark, d):
-    """M-1 via E-1: unweighted tree (D1), depth <= 30."""
-    return E.run_supervised(spark, d, "dt", weighted=False).drop("train_s", "eval_s")
+    """M-1 via E-1: unweighted tree (D1), no depth limit."""
+    return E.run_supervised(spark, d, "tree", weighted=False).drop("train_s", "eval_s")
 
 
 @query("m2_random_forest")
 def m2_random_forest(spark, d):
-    """M-2 via E-1: 200 trees, balanced class weights."""
-    return E.run_supervised(spark, d, "rf", weighted=True).drop("train_s", "eval_s")
+    """M-2 via E-1: 200 trees on bootstraps, sqrt of the features a node, balanced class weights, no depth limit."""
+    return E.run_supervised(spark, d, "forest", weighted=True).drop("train_s", "eval_s")
 
 
 @query("m3_linear_svc")

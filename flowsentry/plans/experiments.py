@@ -96,7 +96,9 @@ def run_supervised(spark: SparkSession, sf_dir: str, kind: str = "rf", weighted:
         run_id = append_run(spark, f"{save_to}/runs", RunRecord(
             kind, "lineitem", tr.count(), te.count(), train_s, eval_s, met["accuracy"], met["precision"], met["recall"],
             met["f1"], auc, fitted.status), run_id)
-        pipeline_of(enc, fitted).write().overwrite().save(f"{save_to}/models/{run_id}")
+        if kind in ("tree", "forest"):
+            fitted.model.save(f"{save_to}/models/{run_id}/forest")
+        pipeline_of(enc, fitted).write().overwrite().save(f"{save_to}/models/{run_id}/pipeline")
         M.classification_report(fitted.predict(te)).coalesce(1).write.mode("overwrite").parquet(f"{save_to}/reports/{run_id}")
     row = [(kind, "lineitem", float(train_s), float(eval_s), float(met["accuracy"]), float(met["precision"]),
             float(met["recall"]), float(met["f1"]), None if auc is None else float(auc), enc.width)]

@@ -159,7 +159,7 @@ def test_supervised_runs_leave_model_report_and_record(spark, tmp_path):
     report = spark.read.parquet(f"{out}/reports/dt-1")
     assert {"0", "1", "macro avg", "weighted avg"} <= {r.row for r in report.collect()}
     from flowsentry.sources.standins import lineitem_flows
-    model = PipelineModel.load(f"{out}/models/dt-1")
+    model = PipelineModel.load(f"{out}/models/dt-1/pipeline")
     assert model.transform(lineitem_flows(spark, SF_SMALL).df).where("prediction IS NULL").count() == 0
 
 
