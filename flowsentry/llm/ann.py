@@ -10,12 +10,12 @@
   A leaf with more rows or queries than a block is split by hash.
 * Search: one priority queue shared by all trees holds the nodes not yet entered, ordered by the
   distance to the nearest split plane on their way; the query enters the most promising ones
-  until it has visited ``visits`` leaves.  Leaves are reranked by exact inner products in double
+  until it has visited its share of the leaves.  Leaves are reranked by exact inner products in double
   precision, and the best of all leaves merge into the answer.
 
 Recall against brute force is measured in the tests.  Vectors without structure (as in the test
-tables, drawn from all directions alike) need about half of the leaves for a recall above 0.9,
-as any partition of space does in 64 dimensions; with structure a smaller ``visits`` will do.
+tables, drawn from all directions alike) need about half of all rows for a recall above 0.9,
+as any partition of space does in 64 dimensions; with structure a smaller ``share`` will do.
 
 Edge cases: vectors that are NULL, empty, zero, of another length than most, or with a NULL or
 non-finite component take no part; a query with fewer candidates than ``k`` returns all;
@@ -26,6 +26,7 @@ candidate with the best of their scores; rows without an id take no part; extra
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +45,7 @@ class Forest:
     roots: list
     n_leaves: int
     longest: float
+    leaf_rows: list          # rows of the sample in each leaf
 
     def extend(self, x: np.ndarray) -> np.ndarray:
         """The extra coordinate: equal lengths, so that the largest inner product is the nearest."""
@@ -62,13 +64,13 @@ class Forest:
             out[:, t] = -at - 1
         return out
 
-    def search(self, q: np.ndarray, visits: int) -> np.ndarray:
-        """Leaves of a query in the order of the shared queue."""
+    def search(self, q: np.ndarray, visits: int, least: float) -> np.ndarray:
+        """Leaves of a query in the order of the shared queue: ``visits`` of them, and ``least`` sampled rows."""
         margin = np.append(q, 0.0) @ self.planes.T - self.offsets
         heap = [(-np.inf, i, r) for i, r in enumerate(self.roots)]      # (largest margin crossed, order, node)
         heapq.heapify(heap)
-        order, found = len(heap), []
-        while heap and len(found) < visits:
+        order, found, held = len(heap), [], 0
+        while heap and (len(found) < visits or held < least):
             cost, _, at = heapq.heappop(heap)
             while at >= 0:
                 m = margin[at]
@@ -77,6 +79,7 @@ class Forest:
                 order += 1
                 at = self.children[at, near]
             found.append(-at - 1)
+            held += self.leaf_rows[-at - 1]
         return np.array(found, np.int32)
 
 
@@ -84,15 +87,19 @@ def grow(x: np.ndarray, trees: int, leaves: int, seed: int = 5) -> Forest:
     """Trees over a sample; a node is split while it may still have several leaves and rows."""
     longest = float(np.sqrt((x * x).sum(axis=1).max())) if len(x) else 1.0
     dim = x.shape[1] + 1 if x.ndim == 2 else 1
-    forest = Forest(np.zeros((0, dim)), np.zeros(0), np.zeros((0, 2), np.int64), [], 0, longest)
+    forest = Forest(np.zeros((0, dim)), np.zeros(0), np.zeros((0, 2), np.int64), [], 0, longest, [])
     full = forest.extend(x) if len(x) else np.zeros((0, dim))
     rng = np.random.default_rng(seed)
     planes, offsets, children = [], [], []
 
+    def leaf(rows):
+        forest.n_leaves += 1
+        forest.leaf_rows.append(len(rows))
+        return -forest.n_leaves
+
     def build(rows, budget):
         if budget < 2 or len(rows) < 2:
-            forest.n_leaves += 1
-            return -forest.n_leaves
+            return leaf(rows)
         for _ in range(8):
             a, b = full[rng.choice(rows, 2, replace=False)]
             w = a - b
@@ -100,15 +107,13 @@ def grow(x: np.ndarray, trees: int, leaves: int, seed: int = 5) -> Forest:
             if size > 0:
                 break
         else:
-            forest.n_leaves += 1
-            return -forest.n_leaves
+            return leaf(rows)
         w = w / size
         p = full[rows] @ w
         cut = float(np.median(p))
         right = p > cut
         if not right.any() or right.all():
-            forest.n_leaves += 1
-            return -forest.n_leaves
+            return leaf(rows)
         at = len(planes)
         planes.append(w)
         offsets.append(cut)
@@ -152,21 +157,23 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == (lengths["d"] if lengths else 0))
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 10, leaves: int = 64, visits: int = 52,
-            sample: int = 20000, leaf_rows: int = 100, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 10, leaves: int = 64, share: float = 0.1,
+            sample: int = 20000, block: int = 4096) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row whose id is divisible by ``every``.
 
-    A tree has ``leaves`` leaves, fewer on a table too small to give each about ``leaf_rows`` rows.
+    Every tree has ``leaves`` leaves, whatever the table's size.  A query visits ``share`` of all leaves of the forest,
+    and goes on until they hold ``4 * (k + 1)`` rows per tree (all rows, if there are fewer).  For tables with structure, more leaves and a smaller share read far fewer rows.
     """
     spark = vectors.sparkSession
     rows = scratch(usable(vectors).distinct(), "ann-rows")
     n = rows.count()
-    leaves = max(1, min(leaves, n // leaf_rows))
-    share = min(1.0, sample / max(n, 1))
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1 << 40)) < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 40))))
     fit = drawn.select("embedding").toArrow().column(0).combine_chunks()
     fit = fit.chunk(0) if isinstance(fit, pa.ChunkedArray) and fit.num_chunks else fit
-    forest = spark.sparkContext.broadcast(grow(to_matrix(fit) if len(fit) else np.zeros((0, 1)), trees, leaves))
+    grown = grow(to_matrix(fit) if len(fit) else np.zeros((0, 1)), trees, leaves)
+    visits = max(1, math.ceil(share * grown.n_leaves))
+    least = trees * min(len(fit), 4 * (k + 1) * len(fit) / max(n, 1))
+    forest = spark.sparkContext.broadcast(grown)
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
@@ -190,7 +197,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 10, l
     def visit(batches):
         for batch in batches:
             if batch.num_rows:
-                yield lists(batch, [forest.value.search(q, visits) for q in to_matrix(batch.column(1))])
+                yield lists(batch, [forest.value.search(q, visits, least) for q in to_matrix(batch.column(1))])
 
     entries = scratch(indexed.select("vec_id", "embedding").mapInArrow(index, schema), "ann-entries")
     asked = scratch(rows.where(F.col("vec_id") % every == 0).repartition("vec_id").mapInArrow(visit, schema), "ann-asked")

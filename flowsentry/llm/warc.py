@@ -31,15 +31,16 @@ RECORD_SCHEMA = ("page_id long, warc_type string, record_id string, refers_to st
                  "warc_date string, content_type string, content_length long, block_digest string, "
                  "payload_digest string, n_links long, block string")
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*(?:>|\Z).*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|head|body|"
                     r"blockquote|pre|hr|td|th|option|form)\b[^>]*(?:>|\Z)", re.I)
 _TAG = re.compile(r"<[!/?a-zA-Z][^>]*(?:>|\Z)")
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[\s]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<(a|link|img|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE = re.compile(r"<title\b[^>]*(?:>|\Z)(.*?)(?:</title|\Z)", re.S | re.I)
+_HTML_TAG, _LANG = re.compile(r"<(html)\b", re.I), re.compile(r"\b(lang)\s*=\s*[\"']?([\w-]+)", re.I)
+_LINK_TAG = re.compile(r"<(a|link|img|script|iframe)\b", re.I)
+_LINK = re.compile(r"\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HTTP = re.compile(r"HTTP/\d(?:\.\d)? \d{3}[^\r\n]*\r?\n")
 
 
@@ -69,15 +70,35 @@ def plain_text(body: str) -> str:
     return _LINES.sub("\n", _SPACE.sub(" ", text)).strip()
 
 
+def attributes(body: str, tag: re.Pattern, attribute: re.Pattern):
+    """``(tag, attribute)`` matches: the first wanted attribute of each tag, before the tag's ``>`` or the end.
+
+    The next ``>`` and the next attribute are looked up once and kept until the tags pass them, so a
+    page of unclosed tags takes time in proportion to its length.
+    """
+    at, close, found, more = 0, -1, None, True
+    while start := tag.search(body, at):
+        at = start.end()
+        if close < at:
+            close = body.find(">", at)
+            close = len(body) if close < 0 else close
+        if more and (found is None or found.start() < at):
+            found = attribute.search(body, at)
+            more = found is not None
+        if more and found.start() < close:
+            yield start, found
+            at = found.end()
+
+
 def links(body: str, base: str) -> list[dict]:
     seen = []
-    for tag, attribute, *value in _LINK.findall(_DROP.sub(" ", body) if "<!--" in body else body):
-        target = html_lib.unescape(next((v for v in value if v), "")).strip()
+    for start, found in attributes(_DROP.sub(" ", body) if "<!--" in body else body, _LINK_TAG, _LINK):
+        target = html_lib.unescape(next((v for v in found.groups()[1:] if v), "")).strip()
         try:
             address = urljoin(base, target)
         except ValueError:      # not an address; kept as written
             address = target
-        seen.append({"path": f"{tag.upper()}@/{attribute.lower()}", "url": address})
+        seen.append({"path": f"{start[1].upper()}@/{found[1].lower()}", "url": address})
     return seen
 
 
@@ -90,12 +111,12 @@ def derive(page_id, url: str | None, capture: str | None, date: str) -> list[tup
     source = record_id("response", page_id, url, digest(raw))
     found = links(body, url)
     title = _TITLE.search(body)
-    lang = _LANG.search(body)
+    lang = next((found for _, found in attributes(body, _HTML_TAG, _LANG)), None)
     meta = json.dumps({
         "envelope": {"record-id": source, "target-uri": url, "date": date, "block-digest": digest(raw),
                      "payload-digest": payload, "content-length": len(raw)},
         "response": {"status-line": status, "headers": headers},
-        "html": {"title": plain_text(title[1]) if title else None, "lang": lang[1] if lang else None, "links": found},
+        "html": {"title": plain_text(title[1]) if title else None, "lang": lang[2] if lang else None, "links": found},
     }, ensure_ascii=False)
     text = plain_text(body)
     out = [(page_id, "response", source, None, url, date,
@@ -118,6 +139,23 @@ def serialise(record: tuple, block: bytes) -> bytes:
     return f"WARC/1.1\r\n{lines}\r\n".encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
+def warc_records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """``page_id, warc_type, record``: the three records of every page in WARC/1.1 form, the response with its capture."""
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                out = []
+                for page, url, capture in zip(*(batch.column(k).slice(a, 64).to_pylist() for k in range(3))):
+                    for r in derive(page, url, capture, date):
+                        block = capture or "" if r[1] == "response" else r[-1]
+                        out.append((page, r[1], serialise(r, block.encode("utf-8", "surrogatepass"))))
+                page, kind, record = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(kind), pa.array(record, pa.binary())],
+                                                 ["page_id", "warc_type", "record"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, warc_type string, record binary")
+
+
 def derivatives(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Three rows per page, see ``RECORD_SCHEMA``; no shuffle."""
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]

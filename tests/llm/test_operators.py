@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -259,6 +260,28 @@ def test_warc_headers_and_odd_pages(spark):
     assert warc.serialise(record, record[11].encode()).startswith(b"WARC/1.1\r\nWARC-Type: conversion\r\n")
 
 
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for part in ("<a ", "<html ", "<script ", "<title ", "<a href ", "<!--", "<img src=", '<a href="', "</div ", "&amp", "<style>"):
+        start = time.time()
+        warc.derive(1, "http://h/", part * (1_000_000 // len(part)), "d")
+        assert time.time() - start < 3, part        # 0.02 to 0.5 s; a quadratic pattern takes hours
+    assert [x["url"] for x in warc.links('<a x <a href=1 y="><a href="2>3"><img\nsrc=\'4\'><a> href=5<link href=6', "")] == ["1", "2>3", "4", "6"]
+
+
+def test_warc_records_hold_their_blocks(spark):
+    rows = spark.createDataFrame([(1, "http://h/", "HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>é", "x"), (None, None, None, "x")],
+                                 "page_id long, url string, html string, record string")
+    got = {(r.page_id, r.warc_type): bytes(r.record) for r in warc.warc_records(rows).collect()}
+    assert len(got) == 6
+    for record in got.values():
+        head, _, block = record.partition(b"\r\n\r\n")
+        size = int(re.search(rb"Content-Length: (\d+)", head)[1])
+        assert head.startswith(b"WARC/1.1\r\n") and block[size:] == b"\r\n\r\n"
+    assert got[1, "response"].partition(b"\r\n\r\n")[2][:-4].decode().endswith("<p>é")
+
+
 # --- 7 near duplicates -------------------------------------------------------------------------
 
 def brute_near(docs: pd.DataFrame) -> dict:
@@ -564,6 +587,17 @@ def test_nearest_neighbours_recall(spark):
         assert list(zip(-order.score, order.vec_id)) == sorted(zip(-order.score, order.vec_id))
 
 
+def test_nearest_neighbours_of_clustered_rows_read_a_small_share(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(250, 32))
+    x = centres[rng.integers(0, 250, 10000)] + rng.normal(size=(10000, 32)) * 0.15
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    want = ann.brute_force(np.arange(10000), x)
+    got = ann.nearest(df, leaves=128, share=0.025).toPandas()       # at most a quarter of the rows, overlaps included
+    assert np.mean([len(set(g.vec_id) & set(want[q])) / 20 for q, g in got.groupby("query_id")]) >= 0.9
+
+
 def test_nearest_neighbours_hot_vector_and_odd_rows(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [1.0, 0.5, 0.0] if i % 3 else rng.normal(size=3).tolist(), 7) for i in range(600)]
@@ -584,7 +618,7 @@ def test_nearest_neighbours_repeated_rows_hide_no_id(spark):
     hot = [1.0, 0.5, 0.0]
     rows = [(i, hot if i % 3 == 0 else rng.normal(size=3).tolist()) for i in range(300)] * 2
     rows += [(3, hot)] * 40 + [(9, [1.0, 0.5, j * 1e-3]) for j in range(1, 40)]      # one id over and over, alike and nearly so
-    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf_rows=1000).toPandas()
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaves=1).toPandas()
     x = collections.defaultdict(list)
     for i, v in rows:
         x[i].append(v)
