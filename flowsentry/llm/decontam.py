@@ -6,9 +6,11 @@ document is normalised the same way and scanned once, whole; hits are mapped bac
 word numbers to byte offsets and code points of the original text.
 
 The windows are cut out of the items in tasks and written once.  While their weight is within
-``max_patterns`` they form one automaton; a larger benchmark is dealt by hash into slices of
-half that weight on average.  Slices are fetched, broadcast, scanned with and released one
-after the other, so the driver and the executors hold one slice at a time; nothing is left out.
+``max_patterns`` (about 5 kB of a worker's memory each) they form one automaton; a larger benchmark is
+dealt by hash into slices of half that weight on average.  Slices are fetched, broadcast, scanned with and
+released one after the other, so the driver and the executors hold one slice at a time; nothing
+is left out.  What a slice finds is kept as row key, hit words and items of the documents it hits; texts
+are read again but never written.
 
 Edge cases: a NULL or word-free text has no words and no hits; items without words match
 nothing; items with a NULL id still mark words as hit but are not counted or listed;
@@ -22,6 +24,7 @@ import hashlib
 import pickle
 import uuid
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,6 @@ MAX_PATTERNS = 50_000
 
 SPAN_SCHEMA = ("doc_id long, n_words long, n_hit long, item_ids array<long>, "
                "spans array<struct<start:long,stop:long>>")
-STATE_SCHEMA = "doc_id long, text string, hits array<long>, item_ids array<long>"
 
 
 def normalised(text: str | None) -> list[bytes]:
@@ -141,48 +143,71 @@ def loaded(shared, key: str):
     return _LOADED[key]
 
 
-def marker(shared, key: str, last: bool):
-    """Scan with one slice: adds its hit words and items; the last slice also finds the spans."""
+def row_key():
+    """128 bits of a row's id and text; rows that agree in both have the same hits."""
+    return (F.xxhash64("doc_id", "text").alias("_r1"), F.xxhash64(F.lit("row"), "doc_id", "text").alias("_r2"))
+
+
+def hit_rows(docs: DataFrame, shared, key: str) -> DataFrame:
+    """``_r1, _r2, hits, items`` of the rows in which one slice occurs."""
     def run(batches):
         machine = loaded(shared, key)
         for batch in batches:
-            n_words, hits, items, spans = [], [], [], []
-            for value, old_hits, old_items in zip(batch.column(1).cast(pa.large_binary()), batch.column(2), batch.column(3)):
-                text = value.as_py() or b""
-                n, hit, ids = scan_text(text, machine)
-                if len(old_hits):
-                    hit = np.union1d(hit, np.array(old_hits.as_py(), np.int64))
-                    ids = ids.union(old_items.as_py())
-                n_words.append(n)
-                hits.append(hit)
-                items.append(sorted(ids))
-                if last:
-                    spans.append(original_spans(text, hit))
-            items = pa.array(items, pa.list_(pa.int64()))
-            if last:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n_words, pa.int64()), pa.array(map(len, hits), pa.int64()), items,
-                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
-                    ["doc_id", "n_words", "n_hit", "item_ids", "spans"])
-            else:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(hits, pa.list_(pa.int64())), items],
-                    ["doc_id", "text", "hits", "item_ids"])
-    return run
+            at, hits, items = [], [], []
+            for i, value in enumerate(batch.column(0).cast(pa.large_binary())):
+                _, hit, ids = scan_text(value.as_py() or b"", machine)
+                if len(hit):
+                    at.append(i)
+                    hits.append(hit)
+                    items.append(sorted(ids))
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1).take(rows), batch.column(2).take(rows), pa.array(hits, pa.list_(pa.int64())),
+                 pa.array(items, pa.list_(pa.int64()))], ["_r1", "_r2", "hits", "items"])
+
+    return docs.select("text", *row_key()).mapInArrow(run, "_r1 long, _r2 long, hits array<long>, items array<long>")
+
+
+def all_hits(docs: DataFrame, benchmark: DataFrame, window: int, max_patterns: int):
+    """The last slice if it is the only one, else None; and the hits of all slices together, one row per row key."""
+    found = []
+    for shared, key, last in slices(benchmark, window, max_patterns):
+        if last and not found:
+            return (shared, key), None
+        found.append(scratch(hit_rows(docs, shared, key), "decontamination"))
+    every = reduce(DataFrame.unionAll, found)
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    return None, scratch(every.groupBy("_r1", "_r2").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("hits"), ids.alias("items")), "decontamination")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """Per document: word and hit counts, ids of the items found, spans in the original text."""
-    none, done = F.lit([]).cast("array<long>"), None
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", none.alias("hits"), none.alias("item_ids"))
-    for shared, key, last in slices(benchmark, window, max_patterns):
-        marked = state.mapInArrow(marker(shared, key, last), SPAN_SCHEMA if last else STATE_SCHEMA)
-        if last:
-            return marked
-        state = scratch(marked, "decontamination")
-        if done is not None:
-            drop_scratch(done)
-        done = state
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    only, hits = all_hits(docs, benchmark, window, max_patterns)
+    if only is None:
+        docs = docs.select("*", *row_key()).join(hits, ["_r1", "_r2"], "left").select("doc_id", "text", "hits", "items")
+
+    def run(batches):
+        machine = loaded(*only) if only else None
+        for batch in batches:
+            n_words, n_hit, items, spans = [], [], [], []
+            for i, value in enumerate(batch.column(1).cast(pa.large_binary())):
+                text = value.as_py() or b""
+                if only:
+                    n, hit, ids = scan_text(text, machine)
+                else:
+                    n, hit, ids = scan_text(text, None)[0], np.array(batch.column(2)[i].as_py() or [], np.int64), batch.column(3)[i].as_py() or []
+                n_words.append(n)
+                n_hit.append(len(hit))
+                items.append(sorted(ids))
+                spans.append(original_spans(text, hit))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())),
+                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
+                ["doc_id", "n_words", "n_hit", "item_ids", "spans"])
+
+    return docs.mapInArrow(run, SPAN_SCHEMA)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -195,23 +220,17 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                   max_patterns: int = MAX_PATTERNS) -> DataFrame:
-    """The rows that hold no benchmark window, with all their columns; nothing is shuffled."""
-    def cleaner(shared, key):
-        def clean(batch):
-            machine = loaded(shared, key)
-            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary())
-            return [not len(scan_text(t.as_py() or b"", machine)[1]) for t in texts]
-        return clean
-
-    done = None
-    for shared, key, last in slices(benchmark, window, max_patterns):
-        kept = keep_rows(docs, cleaner(shared, key))
-        if last:
-            return kept
-        docs = scratch(kept, "decontamination")
-        if done is not None:
-            drop_scratch(done)
-        done = docs
+    """The rows that hold no benchmark window, with all their columns; nothing is shuffled under one automaton."""
+    only, hits = all_hits(docs, benchmark, window, max_patterns)
+    if only is None:
+        return (docs.select("*", *row_key()).join(hits.select("_r1", "_r2"), ["_r1", "_r2"], "left_anti").select(*docs.columns))
+
+    def clean(batch):
+        machine = loaded(*only)
+        texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary())
+        return [not len(scan_text(t.as_py() or b"", machine)[1]) for t in texts]
+
+    return keep_rows(docs, clean)
 
 
 def items_digest(ids) -> str:

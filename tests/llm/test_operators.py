@@ -570,6 +570,22 @@ def test_decontamination_spans_shards_and_odd_rows(spark):
     assert decontam.scan(d.limit(0), b).count() == 0 and decontam.scan(d, b.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_a_large_benchmark_is_scanned_in_slices_that_write_no_text(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    word = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(word, 30))) for i in range(150)]
+    docs = [(i, " ".join([*rng.choice(word, 12), items[i % 150][1][int(rng.integers(0, 20)):], *rng.choice(word, 5)])
+             if i % 3 else " ".join(rng.choice(word, 40))) for i in range(200)] + [(None, items[3][1]), (7, items[3][1]), (7, items[3][1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = [tuple(r) for r in decontam.scan(d, b).collect()]
+    written, scratch = [], decontam.scratch
+    monkeypatch.setattr(decontam, "scratch", lambda df, tag: written.append(df.columns) or scratch(df, tag))
+    parts = [tuple(r) for r in decontam.scan(d, b, max_patterns=300).collect()]
+    assert sorted(map(repr, parts)) == sorted(map(repr, whole)) and sum(r[2] > 0 for r in whole) > 100
+    assert decontam.decontaminate(d, b, max_patterns=300).count() == sum(r[2] == 0 for r in whole)
+    assert len(written) > 20 and not any("text" in c for c in written)
+
+
 # --- 10 nearest neighbours ---------------------------------------------------------------------
 
 def test_nearest_neighbours_recall(spark):
