@@ -103,17 +103,25 @@ def sample_features(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[li
                     [pa.array(rows, pa.binary()), batch.column(1).slice(i, len(rows)).cast(pa.int32())], ["x", "toxic"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")      # y: about `sample` rows
-    rows = [(r["toxic"], np.frombuffer(bytes(r["x"]), np.uint64)) for r in
-            joined.select("text", "toxic").mapInArrow(run, "x binary, toxic int").collect()]
+    got = joined.select("text", "toxic").mapInArrow(run, "x binary, toxic int").toArrow()
+    rows = [(y, np.frombuffer(x.as_buffer(), np.uint64)) for x, y in zip(got.column("x"), got.column("toxic").to_pylist())]    # views
     return rows, sum(n for k, n in sizes.items() if k) / max(sum(sizes.values()), 1)
 
 
+def key_counts(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and in how many lists each occurs."""
+    keys = np.concatenate(lists)
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def propose_voters(rows: list, most: int = 160, cover: int = 4, least: int = 4, candidates: int = 4000) -> np.ndarray:
     """Keys of features that mark toxic rows: greedy cover, the widest first, precision at least 0.9."""
     toxic = [x for y, x in rows if y]
     if not toxic:
         return np.zeros(0, np.uint64)
-    key, n = np.unique(np.concatenate(toxic), return_counts=True)
+    key, n = key_counts(toxic)
     key, n = key[n >= least], n[n >= least]
     clean = np.zeros(len(key), np.int64)
     n_clean = 0
@@ -188,11 +196,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, features_kept: i
     post, accuracy = label_model(votes, float(np.clip(y.mean(), 0.02, 0.6)))
     # linear classifier on posterior labels: the voters, and those of the most frequent other features
     # whose share among toxic rows differs beyond chance
-    allk, n = np.unique(np.concatenate([x for _, x in rows]), return_counts=True)
-    common = np.sort(allk[np.argsort(-n, kind="stable")[:features_kept]])
-    held = np.array([np.isin(common, r, assume_unique=True) for _, r in rows], np.float32)
+    common, n = key_counts([x for _, x in rows])
+    common = np.sort(common[np.argsort(-n, kind="stable")[:features_kept]])
     n1, n0 = max(post.sum(), 1e-9), max((1 - post).sum(), 1e-9)
-    p1, p0, p = post @ held / n1, (1 - post) @ held / n0, held.mean(axis=0)
+    p1, p0, p = np.zeros(len(common)), np.zeros(len(common)), np.zeros(len(common))
+    for (_, r), toxic in zip(rows, post):
+        has = np.isin(common, r, assume_unique=True)
+        p1[has] += toxic / n1
+        p0[has] += (1 - toxic) / n0
+        p[has] += 1.0 / len(rows)
     z = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     keys = np.unique(np.concatenate([voters, common[z > 5]]))
     x = np.array([np.isin(keys, r, assume_unique=True) for _, r in rows], np.float32)
