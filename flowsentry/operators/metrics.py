@@ -166,6 +166,13 @@ def roc_points(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
                       safe_ratio("cum_pos", P).alias("recall"))
 
 
+def closed_curves(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
+    """W-1 / W-3 with the curves' starts: one more row (threshold NULL) at ROC point (0, 0) and at precision 1, recall 0."""
+    points = roc_points(df, score, y).select("threshold", "fpr", "tpr", "precision", "recall")
+    start = df.sparkSession.createDataFrame([(None, 0.0, 0.0, 1.0, 0.0)], points.schema)
+    return points.unionByName(start)
+
+
 def roc_auc(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
     """W-2: ROC AUC with ties = P(s+ > s-) + 0.5 P(s+ = s-) (trapezoid rule).
 

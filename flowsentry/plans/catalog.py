@@ -420,6 +420,20 @@ def w1_roc_curve(spark, d):
     return _round_cols(M.roc_points(_event_scores(spark, d)))
 
 
+@query("w3_closed_curves", f"""
+WITH s AS ({_EVENT_SCORES}),
+g AS (SELECT score, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y <> 1) AS neg FROM s GROUP BY score),
+t AS (SELECT sum(pos) AS P, sum(neg) AS Nn FROM g),
+c AS (SELECT score, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp,
+             sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp FROM g)
+SELECT round(score, 6) AS threshold, round(CAST(fp AS DOUBLE) / Nn, 6) AS fpr, round(CAST(tp AS DOUBLE) / P, 6) AS tpr,
+       round(CAST(tp AS DOUBLE) / (tp + fp), 6) AS precision, round(CAST(tp AS DOUBLE) / P, 6) AS recall
+FROM c, t
+UNION ALL SELECT CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)""")
+def w3_closed_curves(spark, d):
+    return _round_cols(M.closed_curves(_event_scores(spark, d)))
+
+
 @query("w2_roc_auc", f"""
 WITH s AS ({_EVENT_SCORES}), {O.auc_ctes('s', 'au')}
 SELECT round(auc, 6) AS auc FROM au_auc""")
