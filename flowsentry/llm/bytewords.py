@@ -74,8 +74,3 @@ class Words:
             pos += 8
             left = left[length[left] > pos]
         return h
-
-
-def row_of_word(words: Words) -> np.ndarray:
-    """Row number of each word."""
-    return np.repeat(np.arange(len(words.row_first) - 1), np.diff(words.row_first))
