@@ -22,7 +22,7 @@ from ..sources.standins import dirty_events, embedding_vectors, event_flows, lin
 from ..session import cut_lineage
 from ..sources.tables import read_table
 from . import oracle as O
-from .experiments import _round_cols, run_centroid_anomaly
+from .experiments import _round_cols, run_centroid_anomaly, run_centroid_flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -473,6 +473,12 @@ def e5_centroid_anomaly(spark, d):
     return run_centroid_anomaly(spark, d)
 
 
+@query("e5_centroid_flows", O.centroid_flows_sql())
+def e5_centroid_flows(spark, d):
+    """E-5 on all features of the mixed flow records: scaled numbers and one-hot categories."""
+    return run_centroid_flows(spark, d)
+
+
 @query("a10_normal_centroid", f"""
 WITH v AS ({O.EMBEDDING_VECTORS}), e AS (SELECT i, x[i] AS xi FROM v, range(1, 65) t(i) WHERE y = 0)
 SELECT CAST(i - 1 AS INTEGER) AS dim, round(avg(xi), 6) AS center FROM e GROUP BY i""")
@@ -527,8 +533,7 @@ def _rowsum_query(map_type: str, reps: int, ent: str, n: int):
 
     sql = f"""
 WITH {O.angle_ctes(n)},
-{O.amplitude_ctes(fmap, 'an')},
-{O.pair_kernel_cte('am')}
+{O.kernel_pairs_cte(map_type, n, ent)}
 SELECT i AS row_id, round(sum(k) / count(*), 6) AS k_mean FROM kp GROUP BY i"""
     return run, sql
 
@@ -549,9 +554,8 @@ def _landmark_ids_sql(prefix: str = "lm") -> str:
 
 @query("j7_kernel_to_landmarks", f"""
 WITH {O.angle_ctes(2)},
-{O.amplitude_ctes(G.build_feature_map(2, 1, 'zz', 'linear'), 'an')},
 {_landmark_ids_sql()},
-{O.pair_kernel_cte('am')}
+{O.kernel_pairs_cte('zz', 2, 'linear')}
 SELECT i AS row_id, j AS landmark, round(k, 6) AS k FROM kp WHERE j IN (SELECT row_id FROM lm)""")
 def j7_kernel_to_landmarks(spark, d):
     """J-7 / M-8: test rows x a bounded landmark set (hash-sampled support rows)."""
@@ -563,12 +567,10 @@ def j7_kernel_to_landmarks(spark, d):
 
 
 def _kmeans_step_sql(k: int = 2) -> str:
-    fmap = G.build_feature_map(4, 1, "zz", "full")
     return f"""
 WITH {O.angle_ctes(4)},
-{O.amplitude_ctes(fmap, 'an')},
-{O.pair_kernel_cte('am')},
-c0 AS (SELECT row_id, CAST(least(floor({O.hash_unit_sql('row_id')} * {k}), {k - 1}) AS INTEGER) AS c0 FROM am),
+{O.kernel_pairs_cte('zz', 4)},
+c0 AS (SELECT row_id, CAST(least(floor({O.hash_unit_sql('row_id')} * {k}), {k - 1}) AS INTEGER) AS c0 FROM an),
 sz AS (SELECT c0 AS c, count(*) AS n FROM c0 GROUP BY 1),
 sx AS (SELECT p.i, cb.c0 AS c, sum(p.k) AS s FROM kp p JOIN c0 cb ON p.j = cb.row_id GROUP BY ALL),
 cc AS (SELECT ca.c0 AS c, sum(p.k) AS q FROM kp p JOIN c0 ca ON p.i = ca.row_id JOIN c0 cb ON p.j = cb.row_id
@@ -599,7 +601,7 @@ def a20_kernel_cluster_sums(spark, d):
 
 
 @query("g7_cluster_to_anomaly", _kmeans_step_sql() + """,
-lab AS (SELECT best.cluster, v.y FROM best JOIN am v ON v.row_id = best.i),
+lab AS (SELECT best.cluster, v.y FROM best JOIN an v ON v.row_id = best.i),
 mp AS (SELECT cluster, CAST(round_even(avg(y), 0) AS INTEGER) AS mapped FROM lab GROUP BY cluster),
 pr AS (SELECT lab.y, mp.mapped AS pred FROM lab JOIN mp USING (cluster)),
 met AS (""" + O.metrics_select("pr") + """)
@@ -1018,7 +1020,7 @@ def p3_project_strict_cast(spark, d):
 
 
 @query("a15_cluster_majority", _kmeans_step_sql() + """,
-lab AS (SELECT best.cluster, v.y FROM best JOIN am v ON v.row_id = best.i)
+lab AS (SELECT best.cluster, v.y FROM best JOIN an v ON v.row_id = best.i)
 SELECT cluster, CAST(round_even(avg(y), 0) AS INTEGER) AS mapped, count(*) AS n FROM lab GROUP BY cluster""")
 def a15_cluster_majority(spark, d):
     """A-15: cluster -> class by the half-to-even rounded mean label (0.5 -> 0), on the G-6 step clusters."""

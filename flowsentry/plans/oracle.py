@@ -140,13 +140,7 @@ def metrics_select(src: str) -> str:
 FROM {src}"""
 
 
-CENTROID_ANOMALY = f"""
-WITH f AS ({EVENT_FLOWS}),
-st AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(k) AS mk, stddev_pop(k) AS sk FROM f),
-z AS (SELECT row_id, y, (value - mv) * (1.0 / sv) AS z1, (k - mk) * (1.0 / sk) AS z2 FROM f, st),
-c AS (SELECT avg(z1) AS c1, avg(z2) AS c2 FROM z WHERE y = 0),
-s AS (SELECT row_id, y, sqrt((z1 - c1) * (z1 - c1) + (z2 - c2) * (z2 - c2)) AS score FROM z, c),
-{split_ctes('s', 'row_id', 'y', 0.25, 'sp')},
+_CENTROID_TAIL = f"""{split_ctes('s', 'row_id', 'y', 0.25, 'sp')},
 val AS (SELECT score, y FROM sp_split WHERE split = 'test'),
 {sweep_ctes('val', 'sw')},
 best AS (SELECT pct, threshold, f1 FROM sw_sweep WHERE best = 1),
@@ -159,6 +153,36 @@ SELECT round(best.pct, 6) AS best_pct, round(best.threshold, 6) AS threshold, ro
 FROM best, met, au_auc
 """
 
+CENTROID_ANOMALY = f"""
+WITH f AS ({EVENT_FLOWS}),
+st AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(k) AS mk, stddev_pop(k) AS sk FROM f),
+z AS (SELECT row_id, y, (value - mv) * (1.0 / sv) AS z1, (k - mk) * (1.0 / sk) AS z2 FROM f, st),
+c AS (SELECT avg(z1) AS c1, avg(z2) AS c2 FROM z WHERE y = 0),
+s AS (SELECT row_id, y, sqrt((z1 - c1) * (z1 - c1) + (z2 - c2) * (z2 - c2)) AS score FROM z, c),
+{_CENTROID_TAIL}"""
+
+
+def centroid_flows_sql() -> str:
+    """E-5 on the mixed flow records: scaled numbers, one-hot categories by their shares among normal rows."""
+    num = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    cats = ["l_linestatus", "ship_year"]
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in num)
+    z = ", ".join(f"({c} - m_{c}) * (1.0 / s_{c}) AS z_{c}" for c in num)
+    centre = ", ".join(f"avg(z_{c}) AS c_{c}" for c in num)
+    shares = ",\n".join(f"""
+p_{c} AS (SELECT {c}, count(*) FILTER (WHERE y = 0) / (SELECT CAST(count(*) AS DOUBLE) FROM z WHERE y = 0) AS p FROM z GROUP BY {c}),
+q_{c} AS (SELECT sum(p * p) AS q FROM p_{c})""" for c in cats)
+    # squared distance of a one-hot vector from the shares: 1 - 2 p(own category) + sum of p^2
+    far = " + ".join([f"pow(z_{c} - c_{c}, 2)" for c in num] + [f"(1.0 - 2.0 * p_{c}.p + q_{c}.q)" for c in cats])
+    joins = " ".join(f"JOIN p_{c} USING ({c}) CROSS JOIN q_{c}" for c in cats)
+    return f"""
+WITH f AS ({LINEITEM_FLOWS}),
+st AS (SELECT {stats} FROM f),
+z AS (SELECT row_id, y, {', '.join(cats)}, {z} FROM f, st),
+cn AS (SELECT {centre} FROM z WHERE y = 0),{shares},
+s AS (SELECT row_id, y, round(sqrt({far}), 9) AS score FROM z CROSS JOIN cn {joins}),
+{_CENTROID_TAIL}"""
+
 
 # --------------------------------------------------------------------------- kernels
 
@@ -188,34 +212,24 @@ def angle_ctes(n: int, prefix: str = "an") -> str:
 {prefix} AS (SELECT row_id, y, {xs} FROM {prefix}_z, {prefix}_mm)"""
 
 
-def amplitude_ctes(fmap, src: str, prefix: str = "am") -> str:
-    """Amplitude stages of a feature map as CTEs ending in ``{prefix}(row_id, y, re, im)``."""
-    xs = [f"x{i}" for i in range(fmap.n)]
-    stages = fmap.stages(xs)
-    ctes, prev, existing = [], src, set()
-    for si, st in enumerate(stages):
-        name = f"{prefix}_s{si}"
-        exprs = ", ".join(f"{e} AS {k}" for k, e in st.items())
-        redefined = [k for k in st if k in existing]
-        star = f"* EXCLUDE ({', '.join(redefined)})" if redefined else "*"
-        ctes.append(f"{name} AS (SELECT {star}, {exprs} FROM {prev})")
-        existing |= set(st)
-        prev = name
-    dim = fmap.dim
-    # later stages redefine re/im: DuckDB keeps the last definition via the final projection
-    re = ", ".join(f"re{z}" for z in range(dim))
-    im = ", ".join(f"im{z}" for z in range(dim))
-    ctes.append(f"{prefix} AS (SELECT row_id, y, [{re}] AS re, [{im}] AS im FROM {prev})")
-    return ",\n".join(ctes)
-
-
-def pair_kernel_cte(src: str, name: str = "kp") -> str:
-    """Brute-force K(i, j) = |<a_i|a_j>|^2 over all pairs of ``src(row_id, re, im)``."""
-    return f"""{name} AS (
-  SELECT a.row_id AS i, b.row_id AS j,
-         pow(list_dot_product(a.re, b.re) + list_dot_product(a.im, b.im), 2)
-         + pow(list_dot_product(a.re, b.im) - list_dot_product(a.im, b.re), 2) AS k
-  FROM {src} a, {src} b)"""
+def kernel_pairs_cte(map_type: str, n: int, entanglement: str = "full", src: str = "an", name: str = "kp") -> str:
+    """K(i, j) of all pairs of ``src(row_id, x0..)`` from textbook forms, without amplitudes or basis states.
+
+    Z and RX maps are products of one-qubit overlaps, cos^2 of the angle difference (of half of it for RX).
+    The ZZ map is exp(i sum x_i s_i + i sum (pi - x_i)(pi - x_j) s_i s_j) over spins s = +-1, so the
+    kernel is the squared modulus of the mean over all spins of exp(i times the difference of both sums).
+    """
+    if map_type in ("z", "rx"):
+        scale = " / 2.0" if map_type == "rx" else ""
+        k = " * ".join(f"pow(cos((a.x{i} - b.x{i}){scale}), 2)" for i in range(n))
+        return f"{name} AS (SELECT a.row_id AS i, b.row_id AS j, {k} AS k FROM {src} a, {src} b)"
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if entanglement == "full" or j == i + 1]
+    spins = ", ".join(f"1 - 2 * ((z >> {i}) & 1) AS s{i}" for i in range(n))
+    terms = [f"(a.x{i} - b.x{i}) * s{i}" for i in range(n)]
+    terms += [f"((pi() - a.x{i}) * (pi() - a.x{j}) - (pi() - b.x{i}) * (pi() - b.x{j})) * s{i} * s{j}" for i, j in pairs]
+    return f"""{name}_spins AS (SELECT {spins} FROM range({2 ** n}) t(z)),
+{name}_turn AS (SELECT a.row_id AS i, b.row_id AS j, {' + '.join(terms)} AS d FROM {src} a, {src} b, {name}_spins),
+{name} AS (SELECT i, j, pow(avg(cos(d)), 2) + pow(avg(sin(d)), 2) AS k FROM {name}_turn GROUP BY i, j)"""
 
 
 # --------------------------------------------------------------------------- neighbours / LOF
