@@ -13,10 +13,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import affine, assemble, lit_vector, matvec
+from ..functions.arrays import affine, assemble, collect_array_sums, lit_vector, matvec
+from ..functions.blocks import matrix
 
 ANGLE_EPS = 1e-9
 
@@ -149,42 +151,43 @@ class PCAFit:
         return matvec(self.components, centred)
 
 
+def _centred_gram(df: DataFrame, arr: str, mean: np.ndarray) -> np.ndarray:
+    """Sum of the outer products of the centred rows: one matrix per partition, added up in Spark."""
+    width = len(mean)
+
+    def run(batches):
+        gram = np.zeros((width, width))
+        for batch in batches:
+            x = matrix(batch.column(0)) - mean if batch.num_rows else np.zeros((0, width))
+            gram += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([gram.reshape(-1)], pa.list_(pa.float64()))], ["gram"])
+
+    parts = df.select(F.col(arr).cast("array<double>")).mapInArrow(run, "gram array<double>")
+    sums, _ = collect_array_sums(parts, "gram").get(None, ([0.0] * width ** 2, 0))
+    return np.asarray(sums).reshape(width, width)
+
+
 def fit_pca(df: DataFrame, arr: str, k: int, width: int | None = None) -> PCAFit | None:
-    """Centred PCA with scikit-learn's sign rule (largest |loading| positive).
+    """Centred PCA with scikit-learn's sign rule (largest |loading| positive), variances over n - 1.
 
-    The d x d Gram matrix is tree-aggregated by Spark ML (``RowMatrix``);
-    only means, loadings and variances (bounded by d^2) reach the driver.
-    Returns ``None`` when ``k`` is out of range (F-5 bypass).
+    Two scans: means and row count, then the Gram matrix of the centred rows.  Only means and that
+    matrix (width^2 numbers) reach the driver.  Returns ``None`` when ``k`` is out of range (F-5 bypass).
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
     if width is None:
         width = df.select(F.size(arr).alias("w")).first()["w"]
     if not (0 < k < width):
         return None
-    means = df.agg(*[F.avg(F.element_at(arr, i + 1)).alias(f"m{i}") for i in range(width)]).collect()[0]
-    mean = [means[f"m{i}"] for i in range(width)]
-    centred = df.select(array_to_vector(F.zip_with(arr, lit_vector(mean), lambda a, m: a - m)).alias("v"))
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(centred)
-    pc = model.pc.toArray()  # d x k
-    n = df.count()
-    comps = []
-    for j in range(k):
-        v = pc[:, j]
-        if v[int(np.argmax(np.abs(v)))] < 0:
-            v = -v
-        comps.append([float(x) for x in v])
-    # explained variance with the n-1 denominator, from the projected data
-    ev = [float(x) for x in model.explainedVariance.toArray()]
-    total_var = None
-    try:
-        var_rows = df.agg(*[F.var_samp(F.element_at(arr, i + 1)).alias(f"v{i}") for i in range(width)]).collect()[0]
-        total_var = sum(var_rows[f"v{i}"] or 0.0 for i in range(width))
-    except Exception:  # pragma: no cover - informative only
-        pass
-    variances = [e * total_var for e in ev] if total_var is not None and n > 1 else ev
-    return PCAFit(mean, comps, variances)
+    first = df.agg(F.count(arr).alias("n"), *[F.avg(F.element_at(arr, i + 1)).alias(f"m{i}") for i in range(width)]).first()
+    if not first["n"]:
+        raise ValueError("no rows to fit a PCA on")
+    mean = np.asarray([first[f"m{i}"] for i in range(width)], np.float64)
+    values, vectors = np.linalg.eigh(_centred_gram(df.where(F.col(arr).isNotNull()), arr, mean))
+    order = np.argsort(-values, kind="stable")[:k]
+    comps = vectors[:, order].T
+    largest = np.take_along_axis(comps, np.abs(comps).argmax(axis=1)[:, None], axis=1)
+    comps = np.where(largest < 0, -comps, comps)
+    variances = np.maximum(values[order], 0.0) / max(first["n"] - 1, 1)
+    return PCAFit(mean.tolist(), comps.tolist(), variances.tolist())
 
 
 # --------------------------------------------------------------------------- angle scaling (F-6)

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import argmin, collect_array_sums, dot, lit_vector, sq_norm
+from ..functions.blocks import matrix
 from ..functions.scalars import hash_key, hash_unit
 from ..session import cut_lineage
 
@@ -286,11 +287,6 @@ def kernel_kmeans(vecs: DataFrame, k: int = 2, max_iter: int = 100, v: str = "v"
 
 # --------------------------------------------------------------------------- numpy vectors, landmark mode
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a list column as one matrix."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
 def _map_rows(df: DataFrame, angle: str, keep: Sequence[str], fn) -> DataFrame:
     """``keep`` columns and ``v = fn(angles)`` per block of rows."""
     keep = [c for c in keep if c in df.columns]

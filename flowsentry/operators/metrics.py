@@ -127,18 +127,14 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str], desce
     qs = [i / buckets for i in range(1, buckets)]
     acc = max(10_000, 10 * buckets)
     row = df.agg(F.percentile_approx(order_col, qs, acc).alias("q")).collect()[0]
-    edges = sorted(set(float(v) for v in (row["q"] or [])))
+    edges = sorted({float(v) for v in (row["q"] or []) if math.isfinite(v)})
     o = F.col(order_col)
-    if len(edges) <= min_buckets:
-        bucket = F.lit(0)
-        for e in edges:
-            bucket = bucket + F.when(o > F.lit(e), 1).otherwise(0)
-        b = df.withColumn("_bucket", bucket)
-    else:  # many edges: JVM binary search instead of one comparison per edge
+    if edges:       # JVM binary search; NULL comes first and NaN last, as in the sort order
         from pyspark.ml.feature import Bucketizer
-        b = Bucketizer(splits=[-float("inf")] + edges + [float("inf")], inputCol=order_col,
-                       outputCol="_bk", handleInvalid="keep").transform(df)
-        b = b.withColumn("_bucket", F.col("_bk").cast("int")).drop("_bk")
+        b = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol=order_col, outputCol="_bk", handleInvalid="keep").transform(df)
+        b = b.withColumn("_bucket", F.when(o.isNull(), 0).otherwise(F.col("_bk").cast("int"))).drop("_bk")
+    else:
+        b = df.withColumn("_bucket", F.lit(0))
     if descending:
         b = b.withColumn("_bucket", F.lit(len(edges)) - F.col("_bucket"))
     tot = b.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
