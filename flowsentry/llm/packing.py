@@ -144,7 +144,9 @@ def assign(pieces: DataFrame, max_len: int = 2048, salt_rows: int = 1000, min_sa
     plan = plan_packs(histogram, max_len)
     largest = max(histogram.values(), default=0)
     salts = max(min_salts, min(1 << 16, largest // (salt_rows * 1000) + 1))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
+    # by the piece, not by its id alone: pieces under one id, or none, still spread
+    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(salts)).cast("int")
+    salted = pieces.withColumn("salt", salt)
     before = (salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
               .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")
                                                     .rowsBetween(Window.unboundedPreceding, -1)))
