@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from flowsentry.operators import neighbors as NB
+from flowsentry.operators.projections import knn_approximate
+from flowsentry.operators.slices import SLICE_ROWS, slices
 
 
 def frame(spark, x, labels=None, ids=None):
@@ -61,5 +63,17 @@ def test_silhouette_over_many_slices_equals_brute_force(spark, slice_rows):
 
 def test_copies_of_a_row_stay_few():
     for n in (100, 10_000, 100_000, 600_000):
-        a, b = NB.slices(n, n, NB.SLICE_ROWS, 12)
-        assert a * b >= min(12, n // 256) and a + b <= 26 and n / b <= NB.SLICE_ROWS
+        a, b = slices(n, n, SLICE_ROWS, 12)
+        assert a * b >= min(12, n // 256) and a + b <= 26 and n / b <= SLICE_ROWS
+
+
+def test_every_bucket_can_be_probed_whatever_their_number(spark):
+    x = np.random.default_rng(4).normal(size=(6_000, 3))        # 2^13 buckets of one row
+    df = frame(spark, x)
+    got = {}
+    for r in knn_approximate(df.where("row_id < 50"), df, 5, exclude_self=True, tables=1, bucket_rows=1, share=1.0).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.rid, r.compared))
+    d = np.sqrt(((x[:50, None] - x[None]) ** 2).sum(-1))
+    d[np.arange(50), np.arange(50)] = np.inf
+    for i in range(50):
+        assert [v for _, v, _ in sorted(got[i])] == list(np.argsort(d[i], kind="stable")[:5]) and got[i][0][2] == 5_999
