@@ -77,3 +77,13 @@ def test_every_bucket_can_be_probed_whatever_their_number(spark):
     d[np.arange(50), np.arange(50)] = np.inf
     for i in range(50):
         assert [v for _, v, _ in sorted(got[i])] == list(np.argsort(d[i], kind="stable")[:5]) and got[i][0][2] == 5_999
+
+
+def test_repeated_rows_leave_room_for_other_neighbours(spark):
+    x = np.random.default_rng(5).normal(size=(40, 3))
+    df = frame(spark, np.concatenate([x, x[:20]]), ids=[*range(40), *range(20)])
+    rows = knn_approximate(df, df, 6, exclude_self=True, tables=1, bucket_rows=64, share=1.0).collect()
+    d = distances(x)
+    np.fill_diagonal(d, np.inf)
+    for i in range(40):
+        assert [r.rid for r in sorted(rows, key=lambda r: r["rank"]) if r.qid == i] == list(np.argsort(d[i])[:6])
