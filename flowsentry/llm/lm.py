@@ -173,7 +173,11 @@ def vocabulary(counts: DataFrame, head: int) -> Vocabulary:
 # --- network ------------------------------------------------------------------------------------
 
 def sigmoid(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
 
 
 class Network:
@@ -200,52 +204,84 @@ class Network:
             self.p["cb"][:] = np.log(mass)
             self.p["ub"][:] = np.log(vocab.unit_prior / mass[vocab.class_of])
 
-    def step(self, h, fed):
-        """One step of all slots from the inputs' share ``fed``; the new state, gates, candidate and its state share."""
+    def fed(self, units):
+        """The inputs' share of a step: number by slot."""
+        return np.ascontiguousarray(self.p["x"].take(units, axis=0).T)
+
+    def step(self, h, fed, rz, cand, share, back):
+        """The state of all slots after one step from ``h`` with the inputs' share ``fed`` (number by slot each).
+
+        Gates, candidate and its state share go to ``rz``, ``cand``, ``share``; ``back`` is ``w`` transposed.
+        """
         n = self.h
-        gh = h @ self.p["w"]
-        rz = sigmoid(fed[:, :2 * n] + gh[:, :2 * n])
-        cand = np.tanh(fed[:, 2 * n:] + rz[:, :n] * gh[:, 2 * n:])
-        return cand + rz[:, n:] * (h - cand), rz, cand, gh[:, 2 * n:]
+        np.matmul(back[:2 * n], h, out=rz)
+        rz += fed[:2 * n]
+        sigmoid(rz)
+        np.matmul(back[2 * n:], h, out=share)
+        np.multiply(rz[:n], share, out=cand)
+        cand += fed[2 * n:]
+        np.tanh(cand, out=cand)
+        new = h - cand
+        new *= rz[n:]
+        new += cand
+        return new
 
     def output(self, states, target, grad: bool = False):
         """Natural log-probability of each target unit; with ``grad`` also the gradients of the negative sum."""
         p, cls = self.p, self.v.class_of[target]
-        ec, lc, sc = softmax_parts(states @ p["c"] + p["cb"])
-        rows = np.arange(len(target))
-        logp = lc[rows, cls] - np.log(sc)
+        order = np.argsort(cls, kind="stable")      # tokens of one class lie together from here on
+        cls, slot, states = cls[order], self.v.slot_of[target[order]], states.take(order, axis=0)
+        # no logit is larger than this, either way
+        far = np.abs(states).max(initial=0)
+        shift = not (far * np.abs(p["u"]).sum(axis=1) + np.abs(p["ub"])).max() < 80 or not (
+            far * np.abs(p["c"]).sum(axis=0) + np.abs(p["cb"])).max() < 80
+        logits = states @ p["c"]
+        logits += p["cb"]
+        e, logp = softmax_parts(logits, cls, shift, grad)
         g = {}
         if grad:
-            dc = ec / sc[:, None]
-            dc[rows, cls] -= 1
-            ds = dc @ p["c"].T
-            g = {"c": states.T @ dc, "cb": np.ones(len(dc), dc.dtype) @ dc, "u": np.zeros_like(p["u"]), "ub": np.zeros_like(p["ub"])}
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[cuts[c]:cuts[c + 1]]
-            m = self.v.members[c]
-            if not len(at) or len(m) < 2:
+            ds = e @ p["c"].T
+            g = {"c": states.T @ e, "cb": np.ones(len(e), e.dtype) @ e, "u": np.zeros_like(p["u"]), "ub": np.zeros_like(p["ub"])}
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+        for c, m in enumerate(self.v.members):
+            a, b = cuts[c:c + 2]
+            if a == b or len(m) < 2:
                 continue
-            st = states[at]
-            eu, lu, su = softmax_parts(st @ p["u"][m].T + p["ub"][m])
-            slot, k = self.v.slot_of[target[at]], np.arange(len(at))
-            logp[at] += lu[k, slot] - np.log(su)
+            u, st = p["u"].take(m, axis=0), states[a:b]
+            logits = st @ u.T
+            logits += p["ub"][m]
+            e, part = softmax_parts(logits, slot[a:b], shift, grad)
+            logp[a:b] += part
             if grad:
-                du = eu / su[:, None]
-                du[k, slot] -= 1
-                ds[at] += du @ p["u"][m]
-                g["u"][m] += du.T @ st
-                g["ub"][m] += np.ones(len(du), du.dtype) @ du
-        return (logp, ds, g) if grad else logp
+                ds[a:b] += e @ u
+                g["u"][m] = e.T @ st
+                g["ub"][m] = np.ones(len(e), e.dtype) @ e
+        out = np.empty_like(logp)
+        out[order] = logp
+        if not grad:
+            return out
+        back = np.empty_like(ds)
+        back[order] = ds
+        return out, back, g
 
 
-def softmax_parts(logits):
-    """Exponentials, shifted logits and row sums.  One shift serves all rows unless the logits lie far apart."""
-    top = logits.max()
-    logits -= top if top - logits.min() < 60 else logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    return e, logits, e @ np.ones(e.shape[1], e.dtype)
+def softmax_parts(logits, target, shift: bool, grad: bool = False):
+    """Log-probability of each row's target; with ``grad`` before it the gradient of its negative by the logits.
+
+    The logits are overwritten; ``shift`` keeps the exponentials of large ones finite.
+    """
+    if shift:
+        logits -= logits.max(axis=1, keepdims=True)
+    at = np.arange(len(target)) * logits.shape[1] + target
+    flat = logits.reshape(-1)
+    logp = flat[at]
+    e = np.exp(logits, out=logits)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    logp -= np.log(total)
+    if grad:
+        e /= total[:, None]
+        flat[at] -= 1
+    return e, logp
 
 
 class Layout:
@@ -292,15 +328,17 @@ def score_units(net: Network, docs: list[np.ndarray], slots: int = 512, window:
         return np.zeros(0)
     lay = Layout(docs, slots)
     logp = np.zeros(len(lay.target), np.float32)
-    h = np.zeros((len(lay.length), net.h), np.float32)
+    n, back = net.h, net.p["w"].T.copy()
+    h = np.zeros((n, len(lay.length)), np.float32)
     for place, live in lay.windows(window):
         fresh = lay.first[place]
         feed = lay.feed(place, fresh)
         steps, k = place.shape
-        hs = np.empty((steps, k, net.h), np.float32)
-        h, fed, keep = h[:k], net.p["x"].take(feed, axis=0), ~fresh[:, :, None]
+        hs, (rz, cand, share) = np.empty((steps, k, n), np.float32), (np.empty((m, k), np.float32) for m in (2 * n, n, n))
+        h, keep = h[:, :k], ~fresh
         for t in range(steps):
-            h = hs[t] = net.step(h * keep[t], fed[t])[0]
+            h = net.step(h * keep[t], net.fed(feed[t]), rz, cand, share, back)
+            hs[t] = h.T
         at = place[live]
         logp[at] = net.output(hs[live], lay.target[at])
     out = np.zeros(len(docs))
@@ -339,41 +377,52 @@ def gradient(net: Network, h: np.ndarray, target, feed, fresh, live):
     """
     steps, k = target.shape
     n, dtype = net.h, net.flat.dtype
-    keep, fed = ~fresh[:, :, None], net.p["x"].take(feed, axis=0)
-    prev, states, cand, share = (np.empty((steps, k, n), dtype) for _ in range(4))
-    rz = np.empty((steps, k, 2 * n), dtype)
+    keep, back = ~fresh, net.p["w"].T.copy()
+    # by step, number of the state or gate, slot: all slots lie side by side
+    prev, cand, share = (np.empty((steps, n, k), dtype) for _ in range(3))
+    rz, states = np.empty((steps, 2 * n, k), dtype), np.empty((steps, k, n), dtype)
+    h = np.ascontiguousarray(h.T)
     for t in range(steps):
         np.multiply(h, keep[t], out=prev[t])
-        h, rz[t], cand[t], share[t] = net.step(prev[t], fed[t])
-        states[t] = h
-    logp, ds, g = net.output(states[live], target[live], grad=True)
-    d_out = np.zeros_like(states)
-    d_out[live] = ds
-    r, z = rz[:, :, :n], rz[:, :, n:]
-    # what the state's gradient is multiplied with at each step, all steps at once
-    to_cand = (1 - z) * (1 - cand * cand)
-    to_z = (prev - cand) * z * (1 - z)
-    to_r = share * r * (1 - r)
-    d_gx = np.empty((steps, k, 3 * n), dtype)
-    d_gh = np.empty_like(d_gx)
-    dh, back = np.zeros((k, n), dtype), net.p["w"].T.copy()
+        h = net.step(prev[t], net.fed(feed[t]), rz[t], cand[t], share[t], back)
+        states[t] = h.T
+    at = np.flatnonzero(live)
+    logp, ds, g = net.output(states.reshape(-1, n).take(at, axis=0), target.reshape(-1)[at], grad=True)
+    d_out = states      # no longer needed
+    d_out[:] = 0
+    d_out.reshape(-1, n)[at] = ds
+    d_fed, x, w = np.empty((steps, k, 3 * n), dtype), np.empty((3 * n, k), dtype), np.empty((3 * n, k), dtype)
+    dh, g["w"] = np.zeros((n, k), dtype), np.zeros_like(net.p["w"])
     for t in range(steps - 1, -1, -1):
-        dh += d_out[t]
-        x, w = d_gx[t], d_gh[t]
-        dn = np.multiply(dh, to_cand[t], out=x[:, 2 * n:])
-        np.multiply(dh, to_z[t], out=x[:, n:2 * n])
-        np.multiply(dn, to_r[t], out=x[:, :n])
-        w[:, :2 * n] = x[:, :2 * n]
-        np.multiply(dn, r[t], out=w[:, 2 * n:])
-        dh *= z[t]
-        dh += w @ back
+        r, z, c = rz[t, :n], rz[t, n:], cand[t]
+        dh += d_out[t].T
+        dn, dz, dr = x[2 * n:], x[n:2 * n], x[:n]
+        rest = 1 - z
+        np.subtract(prev[t], c, out=dz)
+        dz *= z
+        dz *= rest
+        dz *= dh
+        np.multiply(c, c, out=dn)
+        np.subtract(1, dn, out=dn)
+        dn *= rest
+        dn *= dh
+        np.subtract(1, r, out=dr)
+        dr *= r
+        dr *= share[t]
+        dr *= dn
+        d_fed[t] = x.T
+        w[:2 * n] = x[:2 * n]
+        np.multiply(dn, r, out=w[2 * n:])
+        g["w"] += prev[t] @ w.T
+        dh *= z
+        dh += net.p["w"] @ w
         dh *= keep[t]
-    g["w"] = prev.reshape(-1, n).T @ d_gh.reshape(-1, 3 * n)
     g["x"] = np.zeros_like(net.p["x"])
     fed = feed.reshape(-1)
     order = np.argsort(fed, kind="stable")
     unit, at = np.unique(fed[order], return_index=True)
-    g["x"][unit] = np.add.reduceat(d_gx.reshape(-1, 3 * n)[order], at, axis=0)
+    g["x"][unit] = np.add.reduceat(d_fed.reshape(-1, 3 * n).take(order, axis=0), at, axis=0)
+    h = h.T
     return -float(logp.sum()), g, h
 
 
