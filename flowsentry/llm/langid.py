@@ -112,6 +112,19 @@ def sample_rows(docs: DataFrame, sample: int) -> DataFrame:
     return labelled.where(take)
 
 
+def dense(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of half-precision bytes as one single-precision matrix, filled row by row."""
+    x = np.empty((len(column), width), np.float32)
+    for i, row in enumerate(column):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    return x
+
+
+def mean_squares(x: np.ndarray, width: int = 256) -> np.ndarray:
+    """Mean square of each column; only ``width`` columns of squares exist at a time."""
+    return np.concatenate([(x[:, k:k + width] ** 2).mean(axis=0) for k in range(0, x.shape[1], width)])
+
+
 def fit(docs: DataFrame, sample: int = 3000, bits: int = 12, steps: int = 150) -> Model | None:
     """Logistic bit classifiers on gram frequencies of the sample."""
     def histograms(batches):
@@ -126,18 +139,20 @@ def fit(docs: DataFrame, sample: int = 3000, bits: int = 12, steps: int = 150) -
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1).slice(i, len(rows))],
                                                  ["x", "lang"])
 
-    got = sample_rows(docs, sample).select("text", "lang").mapInArrow(histograms, "x binary, lang string").collect()
-    if not got:
+    got = sample_rows(docs, sample).select("text", "lang").mapInArrow(histograms, "x binary, lang string").toArrow()
+    if not got.num_rows:
         return None
-    langs = sorted({r["lang"] for r in got})
-    y = np.array([langs.index(r["lang"]) for r in got])
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float16).reshape(len(got), -1).astype(np.float32)
+    said = got.column("lang").to_pylist()
+    langs = sorted(set(said))
+    y = np.array([langs.index(lang) for lang in said])
+    x = dense(got.column("x"), 1 << bits)
     del got
+    pa.default_memory_pool().release_unused()
     code = codewords(len(langs))
     target = code[y].astype(np.float32)
     weigh = (1.0 / np.bincount(y, minlength=len(langs)))[y].astype(np.float32)
     weigh /= weigh.sum()
-    spread = np.sqrt((x * x).mean(axis=0)) + 1e-3
+    spread = np.sqrt(mean_squares(x)) + 1e-3
     x /= spread
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     mw, vw = np.zeros_like(w), np.zeros_like(w)

@@ -108,12 +108,25 @@ def sample_features(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[li
     return rows, sum(n for k, n in sizes.items() if k) / max(sum(sizes.values()), 1)
 
 
-def key_counts(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and in how many lists each occurs."""
-    keys = np.concatenate(lists)
-    keys.sort()
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
-    return keys[first], np.diff(np.append(first, len(keys)))
+def key_counts(lists: list, at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and in how many lists each occurs.
+
+    Lists are merged in runs of about ``at_once`` keys, so the driver holds distinct keys and one run.
+    """
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    run, held = [], 0
+    for k, x in enumerate(lists):
+        run.append(x)
+        held += len(x)
+        if held >= at_once or k == len(lists) - 1:
+            new, n = np.unique(np.concatenate(run), return_counts=True)
+            at = np.searchsorted(keys, new)
+            known = np.append(keys, 0)[at] == new
+            known &= at < len(keys)
+            counts[at[known]] += n[known]
+            keys, counts = np.insert(keys, at[~known], new[~known]), np.insert(counts, at[~known], n[~known])
+            run, held = [], 0
+    return keys, counts
 
 
 def propose_voters(rows: list, most: int = 160, cover: int = 4, least: int = 4, candidates: int = 4000) -> np.ndarray:
@@ -136,17 +149,21 @@ def propose_voters(rows: list, most: int = 160, cover: int = 4, least: int = 4,
     key, n = key[good], n[good]
     wide = np.argsort(-n, kind="stable")[:candidates]
     key, n = key[wide], n[wide]
-    has = np.array([np.isin(key, x, assume_unique=True) for x in toxic]).reshape(len(toxic), -1)
+    has = np.empty((len(toxic), len(key)), bool)
+    for i, x in enumerate(toxic):
+        has[i] = np.isin(key, x, assume_unique=True)
     need = np.full(len(toxic), cover)
+    gain = has.sum(axis=0)      # of rows that are not covered yet
     chosen: list[int] = []
     while len(chosen) < min(most, len(key)):
-        gain = has[need > 0].sum(axis=0)
-        gain[chosen] = 0
-        k = int(gain.argmax())
-        if gain[k] < least:
+        left = gain.copy()
+        left[chosen] = 0
+        k = int(left.argmax())
+        if left[k] < least:
             break
         chosen.append(k)
         need[has[:, k]] -= 1
+        gain -= has[has[:, k] & (need == 0)].sum(axis=0)
     return key[chosen]
 
 
@@ -186,6 +203,12 @@ def label_model(votes: np.ndarray, prior: float, steps: int = 60):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, features_kept: int = 4096) -> Model:
+    model = fit_sample(docs, labels, sample, features_kept)
+    pa.default_memory_pool().release_unused()       # what the sample took on the driver
+    return model
+
+
+def fit_sample(docs: DataFrame, labels: DataFrame, sample: int, features_kept: int) -> Model:
     rows, prior = sample_features(docs, labels, sample)
     seeds = np.array([word_key(w) for w in SEED_LEXICON], np.uint64)
     voters = np.unique(np.concatenate([seeds, propose_voters(rows)]))
