@@ -180,6 +180,17 @@ def sigmoid(x):
     x += 0.5
 
 
+def slot_product(w, h, out=None):
+    """``w @ h``; if the slots fill no whole registers, from their rows, which rounds alike for every slot."""
+    if h.shape[1] % 16 == 0:
+        return np.matmul(w, h, out=out)
+    got = (h.T.copy() @ w.T.copy()).T
+    if out is None:
+        return got
+    out[:] = got
+    return out
+
+
 class Network:
     """Gated recurrent units over unit numbers, two softmax levels; parameters are one flat vector."""
 
@@ -214,10 +225,10 @@ class Network:
         Gates, candidate and its state share go to ``rz``, ``cand``, ``share``; ``back`` is ``w`` transposed.
         """
         n = self.h
-        np.matmul(back[:2 * n], h, out=rz)
+        slot_product(back[:2 * n], h, rz)
         rz += fed[:2 * n]
         sigmoid(rz)
-        np.matmul(back[2 * n:], h, out=share)
+        slot_product(back[2 * n:], h, share)
         np.multiply(rz[:n], share, out=cand)
         cand += fed[2 * n:]
         np.tanh(cand, out=cand)
@@ -229,19 +240,19 @@ class Network:
     def output(self, states, target, grad: bool = False):
         """Natural log-probability of each target unit; with ``grad`` also the gradients of the negative sum."""
         p, cls = self.p, self.v.class_of[target]
-        order = np.argsort(cls, kind="stable")      # tokens of one class lie together from here on
-        cls, slot, states = cls[order], self.v.slot_of[target[order]], states.take(order, axis=0)
-        # no logit is larger than this, either way
+        # no logits lie farther apart than twice this
         far = np.abs(states).max(initial=0)
-        shift = not (far * np.abs(p["u"]).sum(axis=1) + np.abs(p["ub"])).max() < 80 or not (
-            far * np.abs(p["c"]).sum(axis=0) + np.abs(p["cb"])).max() < 80
+        near = (far * np.abs(p["u"]).sum(axis=1) + np.abs(p["ub"])).max() < 29 and (
+            far * np.abs(p["c"]).sum(axis=0) + np.abs(p["cb"])).max() < 29
         logits = states @ p["c"]
         logits += p["cb"]
-        e, logp = softmax_parts(logits, cls, shift, grad)
+        e, logp = softmax_parts(logits, cls, near, grad)
+        order = np.argsort(cls, kind="stable")      # tokens of one class lie together from here on
         g = {}
         if grad:
-            ds = e @ p["c"].T
+            ds = (e @ p["c"].T).take(order, axis=0)
             g = {"c": states.T @ e, "cb": np.ones(len(e), e.dtype) @ e, "u": np.zeros_like(p["u"]), "ub": np.zeros_like(p["ub"])}
+        cls, slot, states, logp = cls[order], self.v.slot_of[target[order]], states.take(order, axis=0), logp.take(order)
         cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
         for c, m in enumerate(self.v.members):
             a, b = cuts[c:c + 2]
@@ -250,7 +261,7 @@ class Network:
             u, st = p["u"].take(m, axis=0), states[a:b]
             logits = st @ u.T
             logits += p["ub"][m]
-            e, part = softmax_parts(logits, slot[a:b], shift, grad)
+            e, part = softmax_parts(logits, slot[a:b], near, grad)
             logp[a:b] += part
             if grad:
                 ds[a:b] += e @ u
@@ -265,13 +276,13 @@ class Network:
         return out, back, g
 
 
-def softmax_parts(logits, target, shift: bool, grad: bool = False):
+def softmax_parts(logits, target, near: bool, grad: bool = False):
     """Log-probability of each row's target; with ``grad`` before it the gradient of its negative by the logits.
 
-    The logits are overwritten; ``shift`` keeps the exponentials of large ones finite.
+    The logits are overwritten.  One shift serves all rows unless the logits lie far apart (never, if ``near``).
     """
-    if shift:
-        logits -= logits.max(axis=1, keepdims=True)
+    top = logits.max()
+    logits -= top if near or top - logits.min() < 60 else logits.max(axis=1, keepdims=True)
     at = np.arange(len(target)) * logits.shape[1] + target
     flat = logits.reshape(-1)
     logp = flat[at]
@@ -392,7 +403,7 @@ def gradient(net: Network, h: np.ndarray, target, feed, fresh, live):
     d_out[:] = 0
     d_out.reshape(-1, n)[at] = ds
     d_fed, x, w = np.empty((steps, k, 3 * n), dtype), np.empty((3 * n, k), dtype), np.empty((3 * n, k), dtype)
-    dh, g["w"] = np.zeros((n, k), dtype), np.zeros_like(net.p["w"])
+    before, d_state, dh = np.empty((steps, k, n), dtype), np.empty((steps, k, 3 * n), dtype), np.zeros((n, k), dtype)
     for t in range(steps - 1, -1, -1):
         r, z, c = rz[t, :n], rz[t, n:], cand[t]
         dh += d_out[t].T
@@ -406,17 +417,17 @@ def gradient(net: Network, h: np.ndarray, target, feed, fresh, live):
         np.subtract(1, dn, out=dn)
         dn *= rest
         dn *= dh
-        np.subtract(1, r, out=dr)
-        dr *= r
-        dr *= share[t]
+        np.multiply(share[t], r, out=dr)
+        dr *= 1 - r
         dr *= dn
         d_fed[t] = x.T
         w[:2 * n] = x[:2 * n]
         np.multiply(dn, r, out=w[2 * n:])
-        g["w"] += prev[t] @ w.T
+        before[t], d_state[t] = prev[t].T, w.T
         dh *= z
-        dh += net.p["w"] @ w
+        dh += slot_product(net.p["w"], w)
         dh *= keep[t]
+    g["w"] = before.reshape(-1, n).T @ d_state.reshape(-1, 3 * n)
     g["x"] = np.zeros_like(net.p["x"])
     fed = feed.reshape(-1)
     order = np.argsort(fed, kind="stable")
